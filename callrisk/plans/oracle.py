@@ -28,7 +28,12 @@ FE_A = {
 
 
 def _r(c: str) -> str:
-    return f"round({c}, 6) AS {c}"
+    return f"{r6(c)} AS {c}"
+
+
+def r6(c: str) -> str:
+    """Same rounding as the Spark side: 1e-12 relative nudge, then 6 digits."""
+    return f"round(({c}) * (1 + 1e-12), 6)"
 
 
 def _cleaned_calls() -> str:
@@ -96,14 +101,14 @@ def _scored_customers_cte() -> str:
 ORACLE = {
     "call_records": _call_records_sql(),
     "crm_customers": with_views("crm") + """
-SELECT customer_id, name, round(account_balance, 6) AS account_balance,
+SELECT customer_id, name, round(account_balance * (1 + 1e-12), 6) AS account_balance,
        array_to_string(payment_history, '') AS payment_history, payment_count,
        array_to_string(risk_factors, ',') AS risk_factors, previous_calls,
-       round(satisfaction_score, 6) AS satisfaction_score, segment FROM crm""",
+       round(satisfaction_score * (1 + 1e-12), 6) AS satisfaction_score, segment FROM crm""",
     "customer_features": _customer_features_sql(),
     "top_risk_customers": _scored_customers_cte() + f"""
-SELECT record_no, call_count, round(customer_sentiment_score, 6) AS customer_sentiment_score,
-       round(account_balance, 6) AS account_balance, n_risk_factors, round(risk_score, 6) AS risk_score,
+SELECT record_no, call_count, {r6('customer_sentiment_score')} AS customer_sentiment_score,
+       round(account_balance * (1 + 1e-12), 6) AS account_balance, n_risk_factors, round(risk_score, 6) AS risk_score,
        {_RT_BAND.format(x='risk_score')} AS risk_category
 FROM scored ORDER BY risk_score DESC, record_no LIMIT 10""",
 }
