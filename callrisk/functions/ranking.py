@@ -34,7 +34,7 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def running_count(freq: DataFrame, keys: list[str], order: str, weight,
+def running_count(freq: DataFrame, keys: list[str], order, weight,
                   partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Inclusive running sum of ``weight`` in ``order`` within each key.
 
@@ -51,9 +51,10 @@ def running_count(freq: DataFrame, keys: list[str], order: str, weight,
     tot = (lambda w: "_total") if single else (lambda w: f"_total_{w}")
     spark = freq.sparkSession
     p = partitions or shuffle_partitions(spark)
-    parted = freq.repartitionByRange(p, *keys, order).withColumn("_pid", F.spark_partition_id())
+    order = [order] if isinstance(order, str) else list(order)
+    parted = freq.repartitionByRange(p, *keys, *order).withColumn("_pid", F.spark_partition_id())
     parted = cut_lineage(parted)
-    w_local = (Window.partitionBy("_pid", *keys).orderBy(order)
+    w_local = (Window.partitionBy("_pid", *keys).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = parted.select("*", *[F.sum(w).over(w_local).alias(f"_l_{w}") for w in weights])
     ptot = parted.groupBy("_pid", *keys).agg(*[F.sum(w).alias(f"_p_{w}") for w in weights])
@@ -68,6 +69,25 @@ def running_count(freq: DataFrame, keys: list[str], order: str, weight,
     return ranked, totals
 
 
+def rank_within(df: DataFrame, keys: list[str], order: list, out: str = "rank",
+                total: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Row number (1-based) of each row within ``keys`` in ``order`` (which must
+    be a total order, e.g. end with a unique id), plus the key's row count
+    when ``total`` is given.
+
+    Unlike ``row_number().over(partitionBy(keys))``, a key holding a third of
+    all rows is not sorted in one task: the range partitioning splits it into
+    many partitions and each partition adds the counts of the earlier ones.
+    """
+    one = df.withColumn("_one", F.lit(1))
+    ranked, totals = running_count(one, keys, order, "_one", partitions)
+    ranked = ranked.withColumn(out, F.col("_cum").cast("long")).drop("_one", "_cum")
+    if total:
+        ranked = _null_safe_join(ranked, totals.withColumnRenamed("_total", total)
+                                 .withColumn(total, F.col(total).cast("long")), keys)
+    return ranked
+
+
 def long_values(df: DataFrame, cols: list[str], by: tuple = (), name: str = "column",
                 value: str = "value") -> DataFrame:
     """Stack numeric columns into (by..., column, value) with value as double; nulls dropped."""

@@ -56,8 +56,8 @@ def customer_means(df: DataFrame, order_by, key: str = S.ID_COL, target: str = S
 def value_counts(df: DataFrame, col: str, name: str = "value") -> DataFrame:
     """AGG-4: count and percentage per value (null is its own value)."""
     g = df.groupBy(F.col(col).alias(name)).agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()   # one scalar
-    return g.withColumn("pct", F.round(F.col("n") * 100.0 / F.lit(total), 6))
+    # the window runs over the grouped rows only: one per category value
+    return g.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0))))
 
 
 def score_summary(df: DataFrame, score: str = "risk_score") -> DataFrame:
@@ -97,7 +97,7 @@ def band_distribution(df: DataFrame, band_col: str = "risk_category") -> DataFra
     """AGG-9 distribution part: count and share of each band (window total over
     the few band rows only)."""
     g = df.groupBy(band_col).agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0))), 6))
+    return g.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0))))
 
 
 def live_gauges(sessions: DataFrame) -> DataFrame:

@@ -84,29 +84,33 @@ def profile_features(df: DataFrame) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
+def _opt(df: DataFrame, name: str, default) -> F.Column:
+    """A live input field with the reference's default when absent or null."""
+    if name in df.columns:
+        return F.coalesce(F.col(name).cast("double"), F.lit(float(default)))
+    return F.lit(float(default))
+
+
 def realtime_vector(df: DataFrame, out: str = "features") -> DataFrame:
-    """10 live features padded with zeros to 25 (array<double>)."""
+    """FE-D1: 10 live features padded with zeros to 25 (array<double>)."""
     d = S.REALTIME_DEFAULTS
     vals = [
-        F.coalesce(F.col("agent_sentiment"), F.lit(d[0])),
-        F.coalesce(F.col("customer_sentiment"), F.lit(d[1])),
-        F.coalesce(F.col("call_duration"), F.lit(d[2])),
-        F.coalesce(F.col("agent_talk_ratio"), F.lit(d[3])),
-        F.coalesce(F.col("silence_ratio"), F.lit(d[4])),
-        F.coalesce(F.col("account_balance"), F.lit(0.0)),
-        F.coalesce(F.col("previous_calls"), F.lit(0)),
-        F.coalesce(F.col("satisfaction_score"), F.lit(S.SATISFACTION_DEFAULT)),
-        F.coalesce(F.col("payment_count"), F.lit(0)),
-        F.coalesce(F.size("risk_factors"), F.lit(0)) if "risk_factors" in df.columns else F.lit(0),
+        _opt(df, "agent_sentiment", d[0]), _opt(df, "customer_sentiment", d[1]),
+        _opt(df, "call_duration", d[2]), _opt(df, "agent_talk_ratio", d[3]),
+        _opt(df, "silence_ratio", d[4]),
+        _opt(df, "account_balance", 0.0), _opt(df, "previous_calls", 0),
+        _opt(df, "satisfaction_score", S.SATISFACTION_DEFAULT),
+        _opt(df, "payment_count", 0),
+        F.coalesce(F.size("risk_factors"), F.lit(0)).cast("double") if "risk_factors" in df.columns
+        else F.lit(0.0),
     ]
-    vals = [v.cast("double") for v in vals]
     pad = [F.lit(0.0)] * (S.REALTIME_VECTOR_SIZE - len(vals))
     return df.withColumn(out, F.slice(F.array(*vals, *pad), 1, S.REALTIME_VECTOR_SIZE))
 
 
 def production_vector(df: DataFrame, out: str = "features") -> DataFrame:
-    """8 features: 5 call, balance, previous calls, number of historical calls (default 0)."""
-    vals = [F.coalesce(F.col(c), F.lit(0.0)).cast("double") for c in
+    """FE-D2: 5 call features, balance, previous calls, number of historical calls (default 0)."""
+    vals = [_opt(df, c, 0.0) for c in
             ("agent_sentiment", "customer_sentiment", "call_duration", "agent_talk_ratio", "silence_ratio",
              "account_balance", "previous_calls", "history_count")]
     return df.withColumn(out, F.array(*vals))

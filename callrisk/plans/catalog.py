@@ -15,23 +15,11 @@ from ..operators import aggregate as A
 from ..operators import clean as C
 from ..operators import features as FE
 from ..operators import rules as R
+from .. import schema as S
 from ..sources import adapters as AD
 
 
-NUDGE = 1e-12   # relative push off exact .5 boundaries, same on both engines
-
-
-def round6(c) -> F.Column:
-    """Round to 6 digits after a 1e-12 relative nudge, so a value that sits on a
-    half-way point rounds the same in Spark (exact decimal) and DuckDB (scaled)."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c * (1.0 + NUDGE), 6)
-
-
-def r6(df: DataFrame) -> DataFrame:
-    """Round every double column to 6 digits (oracle hygiene)."""
-    return df.select(*[round6(f.name).alias(f.name) if isinstance(f.dataType, T.DoubleType)
-                       else F.col(f.name) for f in df.schema.fields])
+from .common import r6, round6  # noqa: F401
 
 
 # -- building blocks shared by several queries ----------------------------------------------
@@ -44,15 +32,19 @@ def customer_table(spark: SparkSession, d: str) -> DataFrame:
             .transform(A.customer_rollup))
 
 
-def scored_customers(spark: SparkSession, d: str) -> DataFrame:
-    """Customer table joined to the CRM, with the live rule score and band."""
+def scored_customers(spark: SparkSession, d: str, with_label: bool = False) -> DataFrame:
+    """Customer table joined to the CRM, with the live rule score and band
+    (and the 0/1 label from the modal target when asked)."""
     cust = customer_table(spark, d)
     crm = AD.crm(spark, d)
     j = cust.join(crm, cust.record_no == crm.customer_id, "left")
-    score = R.rule_score("customer_sentiment_score", "account_balance", "risk_factors")
+    # the customer's mean sentiment is compared at 1e-9 resolution, so that the
+    # summation order of the mean cannot flip a rule threshold
+    score = R.rule_score(F.round("customer_sentiment_score", 9), "account_balance", "risk_factors")
+    extra = [F.when(F.col("unpaid_flag") == S.TARGET_UNPAID, 1).otherwise(0).alias("label")] if with_label else []
     return j.select("record_no", "call_count", "customer_sentiment_score", "account_balance",
                     F.coalesce(F.size("risk_factors"), F.lit(0)).alias("n_risk_factors"),
-                    score.alias("risk_score"), R.realtime_band(score).alias("risk_category"))
+                    score.alias("risk_score"), R.realtime_band(score).alias("risk_category"), *extra)
 
 
 # -- queries --------------------------------------------------------------------------------
@@ -85,3 +77,17 @@ QUERIES = {
     "customer_features": q_customer_features,
     "top_risk_customers": q_top_risk_customers,
 }
+
+
+def _merge():
+    from . import prepare
+    for mod in (prepare,):
+        dup = set(mod.QUERIES) & set(QUERIES)
+        if dup:
+            raise ValueError(f"duplicate query names {dup}")
+        QUERIES.update(mod.QUERIES)
+        EXTRA_ORACLE.update(mod.ORACLE)
+
+
+EXTRA_ORACLE: dict = {}
+_merge()

@@ -91,7 +91,7 @@ _RT_BAND = "CASE WHEN {x} >= 70 THEN '高リスク' WHEN {x} >= 40 THEN '中リ
 
 
 def _scored_customers_cte() -> str:
-    score = _SCORE.format(s="c.customer_sentiment_score", b="k.account_balance", f="k.risk_factors")
+    score = _SCORE.format(s="round(c.customer_sentiment_score, 9)", b="k.account_balance", f="k.risk_factors")
     return (with_views("calls", "crm") + ",\n" + _customer_features_cte()
             + ",\nscored AS (SELECT c.record_no, c.call_count, c.customer_sentiment_score, k.account_balance,"
             " CAST(coalesce(len(k.risk_factors), 0) AS INTEGER) AS n_risk_factors,"

@@ -6,9 +6,10 @@ plan, so filters and projections applied by callers reach the parquet scans.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import rank_within
 from ..schema import TARGET_PAID, TARGET_UNPAID
 from .tables import Tables
 
@@ -86,8 +87,7 @@ def crm_from_customers(customer: DataFrame, orders: DataFrame,
     counts = o.groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n_orders"),
         F.count_if(F.col("o_orderstatus") == "P").alias("n_pending"))
-    recent = (o.withColumn("_rn", F.row_number().over(
-        Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())))
+    recent = (rank_within(o, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], "_rn")
         .filter(F.col("_rn") <= history_limit)
         .groupBy("o_custkey")
         .agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderstatus")))
