@@ -22,7 +22,9 @@ def ratio(num, den) -> Column:
 
 
 def clamp(c, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), col(c)))
+    c = col(c)
+    # greatest/least skip nulls; a null input stays null
+    return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
 
 
 def elapsed_seconds(end, start) -> Column:

@@ -69,7 +69,10 @@ def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     if hi == lo:
         b = F.when(x.isNotNull(), F.lit(1))
     else:
-        b = F.least(F.width_bucket(x, F.lit(lo), F.lit(hi), F.lit(bins)), F.lit(bins)).cast("int")
+        # bin = floor((x - lo) * n / (hi - lo)) + 1, the maximum folded into bin n
+        # (``least`` skips nulls, so a null x must not reach it)
+        b = F.when(x.isNotNull(), F.least(F.floor((x - F.lit(lo)) * F.lit(bins) / F.lit(hi - lo)) + 1,
+                                          F.lit(bins)).cast("int"))
     counts = df.select(b.alias("bin")).filter(F.col("bin").isNotNull()).groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"))
     return (frame.join(counts, "bin", "left")

@@ -135,8 +135,10 @@ def score_live(df: DataFrame, at=None) -> DataFrame:
     score = rule_score()
     ts = at if at is not None else F.col("ts")
     ok = F.col("customer_id").isNotNull()
+    outputs = ("risk_score", "risk_category", "confidence", "recommendations", "factors", "error", "scored_at")
+    keep = [c for c in df.columns if c not in outputs]
     return df.select(
-        "*",
+        *keep,
         F.when(ok, F.bround(score, 2)).alias("risk_score"),
         F.when(ok, realtime_band(score)).alias("risk_category"),
         F.when(ok, F.lit(S.RULE_CONFIDENCE)).alias("confidence"),

@@ -80,8 +80,8 @@ QUERIES = {
 
 
 def _merge():
-    from . import prepare
-    for mod in (prepare,):
+    from . import prepare, scoring
+    for mod in (prepare, scoring):
         dup = set(mod.QUERIES) & set(QUERIES)
         if dup:
             raise ValueError(f"duplicate query names {dup}")
