@@ -88,6 +88,33 @@ def rank_within(df: DataFrame, keys: list[str], order: list, out: str = "rank",
     return ranked
 
 
+def next_in_order(df: DataFrame, keys: list[str], order: list[str], values: list[str],
+                  partitions: int | None = None) -> DataFrame:
+    """Add ``next_<v>`` for each of ``values``: the value on the following row
+    of the same key in ``order`` (columns, ascending; a total order), or null.
+
+    ``lead`` over ``partitionBy(keys)`` would sort a hot key in one task.  Here
+    rows are range-partitioned on (keys, order); ``lead`` runs inside each
+    partition, and the last row of a key in a partition takes the first row of
+    that key in the next partition holding it (a table of one row per
+    partition and key).
+    """
+    p = partitions or shuffle_partitions(df.sparkSession)
+    parted = cut_lineage(df.repartitionByRange(p, *keys, *order).withColumn("_pid", F.spark_partition_id()))
+    w = Window.partitionBy("_pid", *keys).orderBy(*order)
+    local = parted.select("*", *[F.lead(v).over(w).alias(f"_ln_{v}") for v in values],
+                          F.lead(F.lit(1)).over(w).isNull().alias("_last"))
+    firsts = parted.groupBy("_pid", *keys).agg(
+        F.min_by(F.struct(*values), F.struct(*order)).alias("_first"))
+    w_next = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_pid")
+    nxt = firsts.select("_pid", *keys, F.lead("_first").over(w_next).alias("_nf"))
+    j = _null_safe_join(local, nxt, ["_pid", *keys])
+    out = [F.col(c) for c in df.columns]
+    out += [F.when(F.col("_last"), F.col("_nf").getField(v)).otherwise(F.col(f"_ln_{v}")).alias(f"next_{v}")
+            for v in values]
+    return j.select(*out)
+
+
 def long_values(df: DataFrame, cols: list[str], by: tuple = (), name: str = "column",
                 value: str = "value") -> DataFrame:
     """Stack numeric columns into (by..., column, value) with value as double; nulls dropped."""

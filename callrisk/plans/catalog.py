@@ -80,8 +80,8 @@ QUERIES = {
 
 
 def _merge():
-    from . import prepare, scoring
-    for mod in (prepare, scoring):
+    from . import live, prepare, scoring
+    for mod in (prepare, scoring, live):
         dup = set(mod.QUERIES) & set(QUERIES)
         if dup:
             raise ValueError(f"duplicate query names {dup}")
