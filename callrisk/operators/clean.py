@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..functions.ranking import exact_medians, exact_modes
 from ..functions.scalar import to_number
+from ..session import cut_lineage
 
 
 # -- plan-time schema helpers (PRJ-2, PRJ-3, PRJ-9, PRF-3) --------------------------------
@@ -110,15 +111,19 @@ def _null_counts(df: DataFrame, cols: list[str]) -> dict:
     return row.asDict()
 
 
-def median_fill(df: DataFrame, cols=None, exclude=(S.ID_COL, S.TARGET_COL)) -> DataFrame:
+def median_fill(df: DataFrame, cols=None, exclude=(S.ID_COL, S.TARGET_COL), materialize: bool = True) -> DataFrame:
     """Fill nulls of numeric columns with the exact global median.
 
     Key and target are never imputed.  Integral columns that hold nulls become
     double (as an integer column with missing values is float in pandas).  One
     pass counts nulls; the exact medians come from the distributed rank job
-    (no single-task percentile buffer).
+    (no single-task percentile buffer).  The input is materialized once in the
+    shared checkpoint folder first, so the several passes read it instead of
+    recomputing its plan (``materialize=False`` for inputs that are plain scans).
     """
     cols = list(cols) if cols is not None else numeric_columns(df, exclude)
+    if materialize and cols:
+        df = cut_lineage(df)
     nulls = _null_counts(df, cols)
     todo = [c for c in cols if nulls.get(c, 0) > 0]
     if not todo:
@@ -145,11 +150,14 @@ def mode_fill(df: DataFrame, cols=None, exclude=(S.ID_COL, S.TARGET_COL), defaul
     return df.fillna({c: (modes.get(c) if modes.get(c) is not None else default) for c in todo})
 
 
-def mean_fill(df: DataFrame, cols=None, exclude=(S.ID_COL, S.TARGET_COL)) -> DataFrame:
-    """Fill nulls with the column mean (one aggregate pass); all-null columns stay null."""
+def mean_fill(df: DataFrame, cols=None, exclude=(S.ID_COL, S.TARGET_COL), materialize: bool = True) -> DataFrame:
+    """Fill nulls with the column mean (one aggregate pass); all-null columns stay
+    null.  The input is materialized first (two passes read it)."""
     cols = list(cols) if cols is not None else numeric_columns(df, exclude)
     if not cols:
         return df
+    if materialize:
+        df = cut_lineage(df)
     means = df.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
     return df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(means[c]).cast("double")).alias(c)
                        if c in cols else F.col(c) for c in df.columns])

@@ -54,7 +54,7 @@ def q_call_records(spark, d):
 
 
 def q_crm_customers(spark, d):
-    c = AD.crm(spark, d)
+    c = AD.crm(spark, d, history=True)
     return c.select("customer_id", "name", "account_balance",
                     F.array_join("payment_history", "").alias("payment_history"),
                     "payment_count", F.array_join("risk_factors", ",").alias("risk_factors"),

@@ -76,7 +76,7 @@ FROM crm""")
 def q_crm_flatten(spark, d):
     """SRC-5: nested CRM records ``{field: {"value": v}}`` (as JSON text built
     from the customer table) parsed and flattened with defaults."""
-    raw = EV.crm_records_json(AD.crm(spark, d))
+    raw = EV.crm_records_json(AD.crm(spark, d, history=True))
     flat = EV.flatten_crm_records(raw)
     return r6(flat.select("customer_id", "name", "account_balance",
                           F.size("payment_history").cast("long").alias("n_payment_history"),
