@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.bands import (BATCH_SAFETY, MOBILE_DANGER, MOBILE_LEVEL, REALTIME_DANGER,
-                               REALTIME_LEVEL, ROUTING, BandSpec, band)
+                               REALTIME_LEVEL, ROUTING, WIDGET_DANGER, BandSpec, band)
 
 
 def _c(x):
@@ -36,7 +36,7 @@ def rule_score(customer_sentiment="customer_sentiment", balance="account_balance
     sentiment / balance count as 0, a missing factor list as empty."""
     s = F.coalesce(_c(customer_sentiment).cast("double"), F.lit(0.0))
     b = F.coalesce(_c(balance).cast("double"), F.lit(0.0))
-    n = F.coalesce(F.size(_c(risk_factors)), F.lit(0)) if isinstance(risk_factors, str) or risk_factors is not None else F.lit(0)
+    n = F.coalesce(F.size(_c(risk_factors)), F.lit(0)) if risk_factors is not None else F.lit(0)
     score = (F.lit(S.RULE_BASE)
              + F.when(s < S.RULE_SENTIMENT_VERY_NEG, S.RULE_VERY_NEG_POINTS)
                .when(s < S.RULE_SENTIMENT_NEG, S.RULE_NEG_POINTS).otherwise(0.0)
@@ -59,7 +59,6 @@ def mobile_band(score) -> F.Column:          # SC-6
 
 
 def widget_band(score, spec: BandSpec | None = None) -> F.Column:   # SC-7
-    from ..functions.bands import WIDGET_DANGER
     return band(score, spec or WIDGET_DANGER)
 
 
@@ -147,8 +146,3 @@ def score_live(df: DataFrame, at=None) -> DataFrame:
         F.when(~ok, F.lit("customer not found")).alias("error"),
         ts.alias("scored_at"),
     )
-
-
-def reasons_text(names_col, mode: str = "importance") -> F.Column:
-    """Join feature names as '<f> (important feature)' with ', ' (EXP-2 fallback)."""
-    return F.array_join(F.transform(_c(names_col), lambda f: F.concat(f, F.lit(" (important feature)"))), ", ")

@@ -58,7 +58,7 @@ cur AS (SELECT customer_id, CAST(NULL AS DOUBLE) AS risk_score, CAST(NULL AS VAR
                TIMESTAMP '{CRM_LOADED_AT}' AS risk_updated_at, '' AS risk_factors_text, '' AS recommendations_text
         FROM crm),
 allr AS (SELECT * FROM cur UNION ALL SELECT * FROM upd)
-SELECT customer_id, round(risk_score * (1 + 1e-12), 6) AS risk_score, risk_level, risk_updated_at,
+SELECT customer_id, round(risk_score * (1 + 1e-12), 6) + 0.0 AS risk_score, risk_level, risk_updated_at,
        risk_factors_text, recommendations_text
 FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY risk_updated_at DESC) AS rn FROM allr)
 WHERE rn = 1"""
@@ -99,9 +99,9 @@ r AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED
 a AS (SELECT sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc FROM r)
 SELECT TIMESTAMP '{REF_TIME}' AS generated_at, (SELECT count(*) FROM lab) AS customers_scored,
        (SELECT count(*) FROM lab WHERE (1 - p) * 100 < 40) AS high_risk_customers,
-       round((SELECT avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) FROM c) * (1 + 1e-12), 6) AS accuracy,
-       round(a.auc * (1 + 1e-12), 6) AS roc_auc, round(w.precision * (1 + 1e-12), 6) AS precision,
-       round(w.recall * (1 + 1e-12), 6) AS recall, round(w.f1 * (1 + 1e-12), 6) AS f1
+       round((SELECT avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) FROM c) * (1 + 1e-12), 6) + 0.0 AS accuracy,
+       round(a.auc * (1 + 1e-12), 6) + 0.0 AS roc_auc, round(w.precision * (1 + 1e-12), 6) + 0.0 AS precision,
+       round(w.recall * (1 + 1e-12), 6) + 0.0 AS recall, round(w.f1 * (1 + 1e-12), 6) + 0.0 AS f1
 FROM a, w"""
 
 

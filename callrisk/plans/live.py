@@ -66,9 +66,9 @@ def q_session_events(spark, d):
 agg AS (SELECT call_id, session_no, count(*) AS n, arg_max(risk_score, (epoch_us(ts), event_id)) AS final_score,
                avg(risk_score) AS mean_score FROM sc GROUP BY call_id, session_no)
 SELECT ss.call_id, ss.session_no, ss.started_at, ss.agent_id, ss.ended_at, ss.status,
-       round(((epoch_us(ss.ended_at) - epoch_us(ss.started_at)) / 1e6) * (1 + 1e-12), 6) AS duration_s,
-       coalesce(agg.n, 0) AS n_scores, round(agg.final_score * (1 + 1e-12), 6) AS final_score,
-       round(agg.mean_score * (1 + 1e-12), 6) AS mean_score
+       round(((epoch_us(ss.ended_at) - epoch_us(ss.started_at)) / 1e6) * (1 + 1e-12), 6) + 0.0 AS duration_s,
+       coalesce(agg.n, 0) AS n_scores, round(agg.final_score * (1 + 1e-12), 6) + 0.0 AS final_score,
+       round(agg.mean_score * (1 + 1e-12), 6) + 0.0 AS mean_score
 FROM ss LEFT JOIN agg USING (call_id, session_no)""")
 def q_call_sessions(spark, d):
     """ST-1 / ST-5: one summary per call session (status, duration in total
@@ -81,7 +81,7 @@ w AS (SELECT sc.*, make_timestamp(CAST((floor(epoch_us(ts) / 10000000) + 1) * 10
       FROM sc),
 l AS (SELECT call_id, session_no, window_end, arg_max(event_id, (epoch_us(ts), event_id)) AS event_id,
              arg_max(risk_score, (epoch_us(ts), event_id)) AS risk_score FROM w GROUP BY ALL)
-SELECT l.call_id, l.session_no, l.window_end, l.event_id, round(l.risk_score * (1 + 1e-12), 6) AS risk_score
+SELECT l.call_id, l.session_no, l.window_end, l.event_id, round(l.risk_score * (1 + 1e-12), 6) + 0.0 AS risk_score
 FROM l JOIN st USING (call_id, session_no)
 WHERE (epoch_us(l.window_end) - epoch_us(st.started_at)) / 1e6 > 30""")
 def q_periodic_rescoring(spark, d):
@@ -92,8 +92,8 @@ def q_periodic_rescoring(spark, d):
 
 @register("contact_attributes", _sessions_cte(REF_TIME) + f"""
 SELECT call_id, session_no,
-       round(((epoch_us(TIMESTAMP '{REF_TIME}') - epoch_us(started_at)) / 1e6) * (1 + 1e-12), 6) AS queue_time,
-       round(((epoch_us(TIMESTAMP '{REF_TIME}') - epoch_us(started_at)) / 1e6) * (1 + 1e-12), 6) AS talk_time,
+       round(((epoch_us(TIMESTAMP '{REF_TIME}') - epoch_us(started_at)) / 1e6) * (1 + 1e-12), 6) + 0.0 AS queue_time,
+       round(((epoch_us(TIMESTAMP '{REF_TIME}') - epoch_us(started_at)) / 1e6) * (1 + 1e-12), 6) + 0.0 AS talk_time,
        0 AS hold_time, true AS agent_connected, true AS customer_connected
 FROM ss WHERE status = 'ACTIVE'""")
 def q_contact_attributes(spark, d):
@@ -111,7 +111,7 @@ def q_agent_presence(spark, d):
 
 @register("score_cache", _sessions_cte(REF_TIME) + f"""
 SELECT call_id, arg_max(session_no, (epoch_us(ts), event_id)) AS session_no, max(ts) AS scored_at,
-       round(arg_max(risk_score, (epoch_us(ts), event_id)) * (1 + 1e-12), 6) AS risk_score
+       round(arg_max(risk_score, (epoch_us(ts), event_id)) * (1 + 1e-12), 6) + 0.0 AS risk_score
 FROM sc WHERE ts > TIMESTAMP '{REF_TIME}' - INTERVAL 3600 SECOND GROUP BY call_id""")
 def q_score_cache(spark, d):
     """ST-8: latest score of each call still within the one-hour cache TTL."""

@@ -59,8 +59,8 @@ reasons AS (SELECT record_no,
 
 @register("rule_attributions", _ATTR_CTE + """
 SELECT record_no, base_value, c_customer_sentiment, c_account_balance, c_risk_factors,
-       round((risk_score - (base_value + c_customer_sentiment + c_account_balance + c_risk_factors)) * (1 + 1e-12), 6)
-         AS clamp_adjustment, round(risk_score * (1 + 1e-12), 6) AS risk_score
+       round((risk_score - (base_value + c_customer_sentiment + c_account_balance + c_risk_factors)) * (1 + 1e-12), 6) + 0.0
+         AS clamp_adjustment, round(risk_score * (1 + 1e-12), 6) + 0.0 AS risk_score
 FROM att""")
 def q_rule_attributions(spark, d):
     """EXP-1 (exact, rule model): base + per-input contributions + clamp = score."""
@@ -80,8 +80,8 @@ def q_rule_reasons(spark, d):
 
 
 @register("rule_explanation_detail", _ATTR_CTE + """
-SELECT record_no, CAST(rank AS INTEGER) AS rank, feature, round(value * (1 + 1e-12), 6) AS value,
-       round(contribution * (1 + 1e-12), 6) AS contribution,
+SELECT record_no, CAST(rank AS INTEGER) AS rank, feature, round(value * (1 + 1e-12), 6) + 0.0 AS value,
+       round(contribution * (1 + 1e-12), 6) + 0.0 AS contribution,
        CASE WHEN contribution > 0 THEN 'Increases Risk' ELSE 'Decreases Risk' END AS impact
 FROM rk""")
 def q_rule_explanation_detail(spark, d):
@@ -90,14 +90,14 @@ def q_rule_explanation_detail(spark, d):
 
 
 @register("attribution_summary", _ATTR_CTE + """
-SELECT feature, round(avg(abs(contribution)) * (1 + 1e-12), 6) AS mean_abs_contribution FROM lf GROUP BY feature""")
+SELECT feature, round(avg(abs(contribution)) * (1 + 1e-12), 6) + 0.0 AS mean_abs_contribution FROM lf GROUP BY feature""")
 def q_attribution_summary(spark, d):
     """EXP-6: mean |contribution| per feature."""
     return r6(X.attribution_summary(X.explanation_detail(_rule_explained(spark, d), "record_no")))
 
 
 @register("batch_results", _ATTR_CTE + """
-SELECT a.record_no AS customer_id, round((100 - a.risk_score) * (1 + 1e-12), 6) AS risk_score,
+SELECT a.record_no AS customer_id, round((100 - a.risk_score) * (1 + 1e-12), 6) + 0.0 AS risk_score,
        CASE WHEN 100 - a.risk_score >= 70 THEN 'Low Risk' WHEN 100 - a.risk_score >= 40 THEN 'Medium Risk'
             ELSE 'High Risk' END AS risk_category, r.top_risk_factors
 FROM att a JOIN reasons r USING (record_no)""")
@@ -117,7 +117,7 @@ _SCALE_COLS = ["customer_talktime", "customer_sentiment_score", "call_count", "s
 
 @register("scaled_features", with_views("calls") + ",\n" + _customer_features_cte() + ",\n" + """
 st AS (SELECT """ + ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in _SCALE_COLS) + """ FROM customers)
-SELECT record_no, """ + ", ".join(f"round((({c} - m_{c}) / s_{c}) * (1 + 1e-12), 6) AS z_{c}" for c in _SCALE_COLS)
+SELECT record_no, """ + ", ".join(f"round((({c} - m_{c}) / s_{c}) * (1 + 1e-12), 6) + 0.0 AS z_{c}" for c in _SCALE_COLS)
           + " FROM customers, st")
 def q_scaled_features(spark, d):
     """ML-13: StandardScaler (mean 0, unit sample std) on customer features."""

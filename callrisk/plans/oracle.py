@@ -33,7 +33,7 @@ def _r(c: str) -> str:
 
 def r6(c: str) -> str:
     """Same rounding as the Spark side: 1e-12 relative nudge, then 6 digits."""
-    return f"round(({c}) * (1 + 1e-12), 6)"
+    return f"round(({c}) * (1 + 1e-12), 6) + 0.0"
 
 
 def _cleaned_calls() -> str:
@@ -53,14 +53,11 @@ def _customer_features_cte() -> str:
             aggs.append(f"coalesce(sum({c}), 0) AS {c}")
         else:
             aggs.append(f"avg({c}) AS {c}")
-    modal = ("(SELECT unpaid_flag FROM (SELECT record_no AS k, unpaid_flag, count(*) AS n FROM featured "
-             "GROUP BY 1, 2) m WHERE m.k = f.record_no ORDER BY n DESC, unpaid_flag LIMIT 1)")
     cust = ("customers AS (SELECT record_no, " + ", ".join(aggs)
             + ", CAST(count(*) AS BIGINT) AS call_count FROM featured f WHERE record_no IS NOT NULL GROUP BY record_no)")
     mode = ("modes AS (SELECT k AS record_no, unpaid_flag FROM (SELECT k, unpaid_flag, row_number() OVER "
             "(PARTITION BY k ORDER BY n DESC, unpaid_flag) AS rn FROM (SELECT record_no AS k, unpaid_flag, "
             "count(*) AS n FROM featured GROUP BY 1, 2)) WHERE rn = 1)")
-    del modal
     return ",\n".join([_cleaned_calls(), feats, cust, mode])
 
 
@@ -101,14 +98,14 @@ def _scored_customers_cte() -> str:
 ORACLE = {
     "call_records": _call_records_sql(),
     "crm_customers": with_views("crm") + """
-SELECT customer_id, name, round(account_balance * (1 + 1e-12), 6) AS account_balance,
+SELECT customer_id, name, round(account_balance * (1 + 1e-12), 6) + 0.0 AS account_balance,
        array_to_string(payment_history, '') AS payment_history, payment_count,
        array_to_string(risk_factors, ',') AS risk_factors, previous_calls,
-       round(satisfaction_score * (1 + 1e-12), 6) AS satisfaction_score, segment FROM crm""",
+       round(satisfaction_score * (1 + 1e-12), 6) + 0.0 AS satisfaction_score, segment FROM crm""",
     "customer_features": _customer_features_sql(),
     "top_risk_customers": _scored_customers_cte() + f"""
 SELECT record_no, call_count, {r6('customer_sentiment_score')} AS customer_sentiment_score,
-       round(account_balance * (1 + 1e-12), 6) AS account_balance, n_risk_factors, round(risk_score, 6) AS risk_score,
+       round(account_balance * (1 + 1e-12), 6) + 0.0 AS account_balance, n_risk_factors, round(risk_score, 6) AS risk_score,
        {_RT_BAND.format(x='risk_score')} AS risk_category
 FROM scored ORDER BY risk_score DESC, record_no LIMIT 10""",
 }

@@ -6,19 +6,17 @@ Every query reads whole driver tables through the adapter views.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.ranking import rank_within
 from ..operators import aggregate as A
 from ..operators import clean as C
 from ..operators import features as FE
 from ..operators import rules as R
 from ..sources import adapters as AD
 from ..sources import events as EV
-from .common import REF_TIME, r6, round6
-from .oracle import (CALL_NUMERIC, FE_A, _customer_features_cte, _cleaned_calls, r6 as s6)
+from .common import REF_TIME, r6
+from .oracle import CALL_NUMERIC, FE_A, _cleaned_calls, r6 as s6
 from .oracle_views import with_views
 
 QUERIES: dict = {}
@@ -42,19 +40,19 @@ def _sel(cols, doubles):
 
 @register("target_distribution", with_views("calls") + """
 SELECT unpaid_flag, count(*) AS n,
-       round(count(*) * 100.0 / sum(count(*)) OVER () * (1 + 1e-12), 6) AS pct
+       round(count(*) * 100.0 / sum(count(*)) OVER () * (1 + 1e-12), 6) + 0.0 AS pct
 FROM calls GROUP BY unpaid_flag""")
 def q_target_distribution(spark, d):
     """SRC-2 / AGG-4: target distribution of the loaded call table (after the
     required-column check)."""
     calls = EV.require_columns(AD.calls(spark, d), [S.ID_COL, S.TARGET_COL])
-    return r6(A.value_counts(calls, S.TARGET_COL, S.TARGET_COL).withColumnRenamed("n", "n"))
+    return r6(A.value_counts(calls, S.TARGET_COL, S.TARGET_COL))
 
 
 @register("crm_lookup", with_views("calls", "crm") + """
 SELECT c.contact_id, c.record_no, k.customer_id IS NOT NULL AS found,
-       round(k.account_balance * (1 + 1e-12), 6) AS account_balance, k.previous_calls,
-       round(k.satisfaction_score * (1 + 1e-12), 6) AS satisfaction_score,
+       round(k.account_balance * (1 + 1e-12), 6) + 0.0 AS account_balance, k.previous_calls,
+       round(k.satisfaction_score * (1 + 1e-12), 6) + 0.0 AS satisfaction_score,
        CAST(len(k.risk_factors) AS BIGINT) AS n_risk_factors
 FROM calls c LEFT JOIN crm k ON c.record_no = k.customer_id""")
 def q_crm_lookup(spark, d):
@@ -66,11 +64,11 @@ def q_crm_lookup(spark, d):
 
 
 @register("crm_flatten", with_views("crm") + """
-SELECT CAST(customer_id AS VARCHAR) AS customer_id, name, round(account_balance * (1 + 1e-12), 6) AS account_balance,
+SELECT CAST(customer_id AS VARCHAR) AS customer_id, name, round(account_balance * (1 + 1e-12), 6) + 0.0 AS account_balance,
        CAST(len(payment_history) AS BIGINT) AS n_payment_history,
        array_to_string(risk_factors, ',') AS risk_factors,
        CAST(previous_calls AS INTEGER) AS previous_calls,
-       round(satisfaction_score * (1 + 1e-12), 6) AS satisfaction_score,
+       round(satisfaction_score * (1 + 1e-12), 6) + 0.0 AS satisfaction_score,
        '' AS phone, '' AS email
 FROM crm""")
 def q_crm_flatten(spark, d):
@@ -89,8 +87,8 @@ SELECT record_no AS customer_id,
        row_number() OVER (PARTITION BY record_no ORDER BY start_ts DESC, contact_id DESC) AS call_rank,
        count(*) OVER (PARTITION BY record_no) AS history_count,
        start_ts AS timestamp, agent AS agent_id,
-       round(total_conversation_duration * (1 + 1e-12), 6) AS call_duration,
-       round(customer_sentiment_score * (1 + 1e-12), 6) AS sentiment_score,
+       round(total_conversation_duration * (1 + 1e-12), 6) + 0.0 AS call_duration,
+       round(customer_sentiment_score * (1 + 1e-12), 6) + 0.0 AS sentiment_score,
        unpaid_flag AS payment_outcome
 FROM calls""")
 def q_call_history(spark, d):
@@ -182,7 +180,7 @@ def q_category_filter(spark, d):
 
 
 @register("score_range_filter", _scored_sql_cte() + """
-SELECT record_no, round(risk_score * (1 + 1e-12), 6) AS risk_score FROM scored WHERE risk_score BETWEEN 60 AND 75""")
+SELECT record_no, round(risk_score * (1 + 1e-12), 6) + 0.0 AS risk_score FROM scored WHERE risk_score BETWEEN 60 AND 75""")
 def q_score_range_filter(spark, d):
     """FLT-2: inclusive score range over the scored customers."""
     from .catalog import scored_customers
@@ -324,22 +322,22 @@ def q_profile_customer_features(spark, d):
 # -- features at call grain -------------------------------------------------------------------
 
 @register("call_features_a", with_views("calls") + f"""
-SELECT contact_id, {", ".join(f"round(({e}) * (1 + 1e-12), 6) AS {n}" for n, e in FE_A.items())} FROM calls""")
+SELECT contact_id, {", ".join(f"round(({e}) * (1 + 1e-12), 6) + 0.0 AS {n}" for n, e in FE_A.items())} FROM calls""")
 def q_call_features_a(spark, d):
     """FE-A1..A8 at call grain (denominators + 1)."""
     return r6(AD.calls(spark, d).transform(FE.call_features_plus_one).select("contact_id", *FE_A))
 
 
 @register("call_features_b", with_views("calls") + f"""
-SELECT contact_id, {", ".join(f"round(({e}) * (1 + 1e-12), 6) AS {n}" for n, e in _FE_B.items())} FROM calls""")
+SELECT contact_id, {", ".join(f"round(({e}) * (1 + 1e-12), 6) + 0.0 AS {n}" for n, e in _FE_B.items())} FROM calls""")
 def q_call_features_b(spark, d):
     """FE-B1..B8 at call grain (zero denominators replaced)."""
     return r6(AD.calls(spark, d).transform(FE.call_features_nonzero).select("contact_id", *_FE_B))
 
 
 @register("profile_features", with_views("profile") + f"""
-SELECT contact_id, round((loan_amount / (annual_income + 1)) * (1 + 1e-12), 6) AS debt_to_income,
-       round((loan_amount / (monthly_income * 12 + 1)) * (1 + 1e-12), 6) AS monthly_burden,
+SELECT contact_id, round((loan_amount / (annual_income + 1)) * (1 + 1e-12), 6) + 0.0 AS debt_to_income,
+       round((loan_amount / (monthly_income * 12 + 1)) * (1 + 1e-12), 6) + 0.0 AS monthly_burden,
        {_bins_sql('age', S.AGE_BINS)} AS age_band, {_bins_sql('credit_score', S.CREDIT_BINS)} AS credit_band
 FROM profile""")
 def q_profile_features(spark, d):
@@ -350,10 +348,10 @@ def q_profile_features(spark, d):
 
 _VEC_SQL = with_views("snapshots", "crm") + """
 SELECT s.event_id,
-       coalesce(s.agent_sentiment, 0.0) AS f1, round(coalesce(s.customer_sentiment, 0.0) * (1 + 1e-12), 6) AS f2,
+       coalesce(s.agent_sentiment, 0.0) AS f1, round(coalesce(s.customer_sentiment, 0.0) * (1 + 1e-12), 6) + 0.0 AS f2,
        0.0 AS f3, 0.5 AS f4, 0.1 AS f5,
-       round(coalesce(k.account_balance, 0.0) * (1 + 1e-12), 6) AS f6, CAST(coalesce(k.previous_calls, 0) AS DOUBLE) AS f7,
-       round(coalesce(k.satisfaction_score, 3.0) * (1 + 1e-12), 6) AS f8,
+       round(coalesce(k.account_balance, 0.0) * (1 + 1e-12), 6) + 0.0 AS f6, CAST(coalesce(k.previous_calls, 0) AS DOUBLE) AS f7,
+       round(coalesce(k.satisfaction_score, 3.0) * (1 + 1e-12), 6) + 0.0 AS f8,
        CAST(coalesce(k.payment_count, 0) AS DOUBLE) AS f9, CAST(coalesce(len(k.risk_factors), 0) AS DOUBLE) AS f10,
        CAST({size} AS BIGINT) AS vector_size, 0.0 AS padding_sum
 FROM snapshots s LEFT JOIN crm k ON s.call_id = k.customer_id"""
@@ -377,8 +375,8 @@ def q_realtime_vectors(spark, d):
 @register("production_vectors", with_views("snapshots", "crm") + """,
 hist AS (SELECT record_no, count(*) AS n FROM (SELECT o_custkey AS record_no FROM orders) GROUP BY record_no)
 SELECT s.event_id, coalesce(s.agent_sentiment, 0.0) AS f1,
-       round(coalesce(s.customer_sentiment, 0.0) * (1 + 1e-12), 6) AS f2, 0.0 AS f3, 0.0 AS f4, 0.0 AS f5,
-       round(coalesce(k.account_balance, 0.0) * (1 + 1e-12), 6) AS f6,
+       round(coalesce(s.customer_sentiment, 0.0) * (1 + 1e-12), 6) + 0.0 AS f2, 0.0 AS f3, 0.0 AS f4, 0.0 AS f5,
+       round(coalesce(k.account_balance, 0.0) * (1 + 1e-12), 6) + 0.0 AS f6,
        CAST(coalesce(k.previous_calls, 0) AS DOUBLE) AS f7, CAST(coalesce(h.n, 0) AS DOUBLE) AS f8
 FROM snapshots s LEFT JOIN crm k ON s.call_id = k.customer_id LEFT JOIN hist h ON s.call_id = h.record_no""")
 def q_production_vectors(spark, d):
@@ -398,7 +396,7 @@ _FIRST_NUM = [c for c in CALL_NUMERIC]
 
 
 def _first_flag_sql():
-    means = ", ".join(f"round(avg({c}) * (1 + 1e-12), 6) AS {c}" for c in _FIRST_NUM)
+    means = ", ".join(f"round(avg({c}) * (1 + 1e-12), 6) + 0.0 AS {c}" for c in _FIRST_NUM)
     return (with_views("calls") + """,
 firsts AS (SELECT record_no, unpaid_flag FROM (SELECT record_no, unpaid_flag, row_number() OVER
    (PARTITION BY record_no ORDER BY start_ts, contact_id) AS rn FROM calls
@@ -420,7 +418,7 @@ _BAND = "CASE WHEN {x} >= 70 THEN '高リスク' WHEN {x} >= 40 THEN '中リス
 
 @register("band_counts", _scored_sql_cte() + f"""
 SELECT {_BAND.format(x='risk_score')} AS risk_category, count(*) AS n,
-       round(count(*) * 100.0 / sum(count(*)) OVER () * (1 + 1e-12), 6) AS pct
+       round(count(*) * 100.0 / sum(count(*)) OVER () * (1 + 1e-12), 6) + 0.0 AS pct
 FROM scored GROUP BY 1""")
 def q_band_counts(spark, d):
     """AGG-4 / AGG-9: customers and share per live band."""
@@ -429,9 +427,9 @@ def q_band_counts(spark, d):
 
 
 @register("score_summary", _scored_sql_cte() + """
-SELECT count(risk_score) AS n, round(avg(100 - risk_score) * (1 + 1e-12), 6) AS mean,
-       round(stddev_pop(100 - risk_score) * (1 + 1e-12), 6) AS std,
-       round(min(100 - risk_score) * (1 + 1e-12), 6) AS min, round(max(100 - risk_score) * (1 + 1e-12), 6) AS max
+SELECT count(risk_score) AS n, round(avg(100 - risk_score) * (1 + 1e-12), 6) + 0.0 AS mean,
+       round(stddev_pop(100 - risk_score) * (1 + 1e-12), 6) + 0.0 AS std,
+       round(min(100 - risk_score) * (1 + 1e-12), 6) + 0.0 AS min, round(max(100 - risk_score) * (1 + 1e-12), 6) + 0.0 AS max
 FROM scored""")
 def q_score_summary(spark, d):
     """AGG-5: n, mean, population std, min, max of the batch safety score."""
@@ -441,10 +439,10 @@ def q_score_summary(spark, d):
 
 
 @register("dashboard_summary", _scored_sql_cte() + f"""
-SELECT round(avg(risk_score) * (1 + 1e-12), 6) AS mean,
-       round(avg(CASE WHEN {_BAND.format(x='risk_score')} = '高リスク' THEN 1.0 ELSE 0.0 END) * 100 * (1 + 1e-12), 6)
+SELECT round(avg(risk_score) * (1 + 1e-12), 6) + 0.0 AS mean,
+       round(avg(CASE WHEN {_BAND.format(x='risk_score')} = '高リスク' THEN 1.0 ELSE 0.0 END) * 100 * (1 + 1e-12), 6) + 0.0
          AS high_pct,
-       round(stddev_samp(risk_score) * (1 + 1e-12), 6) AS std
+       round(stddev_samp(risk_score) * (1 + 1e-12), 6) + 0.0 AS std
 FROM scored""")
 def q_dashboard_summary(spark, d):
     """AGG-6: mean, high-band share, sample std."""
@@ -457,8 +455,8 @@ lab AS (SELECT s.*, CASE WHEN m.unpaid_flag = '未払' THEN 1 ELSE 0 END AS labe
                CASE WHEN s.risk_score / 100.0 >= 0.5 THEN 1 ELSE 0 END AS pred
         FROM scored s JOIN modes m ON s.record_no = m.record_no)
 SELECT count(*) AS total, CAST(count_if({_BAND.format(x='risk_score')} = '高リスク') AS BIGINT) AS high_risk,
-       round(avg(risk_score) * (1 + 1e-12), 6) AS mean_score,
-       round(avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) * (1 + 1e-12), 6) AS accuracy
+       round(avg(risk_score) * (1 + 1e-12), 6) + 0.0 AS mean_score,
+       round(avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) * (1 + 1e-12), 6) + 0.0 AS accuracy
 FROM lab""")
 def q_kpi_overview(spark, d):
     """AGG-7: total, high-band count, mean score and accuracy of the rule at 0.5."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import hashing as H
-from ..functions.ranking import auc_from_scores, rank_within, roc_points
+from ..functions.ranking import auc_from_scores, roc_points
 from ..operators import metrics as M
 from ..operators import profile as P
 from ..operators import rules as R
@@ -32,7 +32,7 @@ def register(name, sql=None):
 
 
 def x6(c: str) -> str:
-    return f"round(({c}) * (1 + 1e-12), 6)"
+    return f"round(({c}) * (1 + 1e-12), 6) + 0.0"
 
 
 _RULE = ("greatest(0.0, least(100.0, 50.0"
@@ -202,7 +202,7 @@ def q_latest_segment(spark, d):
 
 @register("first_customer_segment", with_views("segments") + """
 SELECT contact_id, arg_min(segment_id, segment_id) AS first_segment_id,
-       round(arg_min(negative_score, segment_id) * (1 + 1e-12), 6) AS first_negative
+       round(arg_min(negative_score, segment_id) * (1 + 1e-12), 6) + 0.0 AS first_negative
 FROM segments WHERE speaker = 'CUSTOMER' GROUP BY contact_id""")
 def q_first_customer_segment(spark, d):
     """TOP-6: first customer segment of each contact."""
@@ -219,7 +219,7 @@ cust AS (SELECT contact_id, arg_min(negative_score, segment_id) AS first_neg,
 ids AS (SELECT DISTINCT contact_id FROM buf),
 imp AS (SELECT i.contact_id, c.last_pos - c.first_neg AS improvement, c.contact_id IS NOT NULL AS has_customer
         FROM ids i LEFT JOIN cust c ON i.contact_id = c.contact_id)
-SELECT contact_id, round(improvement * (1 + 1e-12), 6) AS improvement_score,
+SELECT contact_id, round(improvement * (1 + 1e-12), 6) + 0.0 AS improvement_score,
        CASE WHEN NOT has_customer THEN 'NEUTRAL' WHEN improvement > 0.3 THEN 'POSITIVE'
             WHEN improvement > -0.2 THEN 'NEUTRAL' ELSE 'NEGATIVE' END AS overall_sentiment,
        CASE WHEN NOT has_customer THEN NULL WHEN improvement > 0.2 THEN 'IMPROVING'
@@ -277,12 +277,12 @@ _DESC_COLS = ["agent_talktime", "customer_talktime", "total_conversation_duratio
 l AS (SELECT "column", CAST(value AS DOUBLE) AS value FROM (UNPIVOT (SELECT """
           + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _DESC_COLS)
           + """ FROM calls) ON COLUMNS(*) INTO NAME "column" VALUE value) WHERE value IS NOT NULL)
-SELECT "column", count(*) AS count, round(avg(value) * (1 + 1e-12), 6) AS mean,
-       round(stddev_samp(value) * (1 + 1e-12), 6) AS std, round(min(value) * (1 + 1e-12), 6) AS min,
-       round(max(value) * (1 + 1e-12), 6) AS max,
-       round(quantile_cont(value, 0.25) * (1 + 1e-12), 6) AS q25,
-       round(quantile_cont(value, 0.5) * (1 + 1e-12), 6) AS q50,
-       round(quantile_cont(value, 0.75) * (1 + 1e-12), 6) AS q75
+SELECT "column", count(*) AS count, round(avg(value) * (1 + 1e-12), 6) + 0.0 AS mean,
+       round(stddev_samp(value) * (1 + 1e-12), 6) + 0.0 AS std, round(min(value) * (1 + 1e-12), 6) + 0.0 AS min,
+       round(max(value) * (1 + 1e-12), 6) + 0.0 AS max,
+       round(quantile_cont(value, 0.25) * (1 + 1e-12), 6) + 0.0 AS q25,
+       round(quantile_cont(value, 0.5) * (1 + 1e-12), 6) + 0.0 AS q50,
+       round(quantile_cont(value, 0.75) * (1 + 1e-12), 6) + 0.0 AS q75
 FROM l GROUP BY "column\"""")
 def q_describe_calls(spark, d):
     """PRF-2: count, mean, std, min, exact quartiles, max per numeric column."""
@@ -329,10 +329,10 @@ q AS (SELECT unpaid_flag, count(customer_sentiment_score) AS n,
              quantile_cont(customer_sentiment_score, 0.25) AS q1, quantile_cont(customer_sentiment_score, 0.5) AS median,
              quantile_cont(customer_sentiment_score, 0.75) AS q3 FROM calls
       WHERE customer_sentiment_score IS NOT NULL GROUP BY unpaid_flag)
-SELECT q.unpaid_flag, q.n, round(q.q1 * (1 + 1e-12), 6) AS q1, round(q.median * (1 + 1e-12), 6) AS median,
-       round(q.q3 * (1 + 1e-12), 6) AS q3, round((q.q3 - q.q1) * (1 + 1e-12), 6) AS iqr,
-       round(min(CASE WHEN x >= q.q1 - 1.5 * (q.q3 - q.q1) THEN x END) * (1 + 1e-12), 6) AS whisker_lo,
-       round(max(CASE WHEN x <= q.q3 + 1.5 * (q.q3 - q.q1) THEN x END) * (1 + 1e-12), 6) AS whisker_hi,
+SELECT q.unpaid_flag, q.n, round(q.q1 * (1 + 1e-12), 6) + 0.0 AS q1, round(q.median * (1 + 1e-12), 6) + 0.0 AS median,
+       round(q.q3 * (1 + 1e-12), 6) + 0.0 AS q3, round((q.q3 - q.q1) * (1 + 1e-12), 6) + 0.0 AS iqr,
+       round(min(CASE WHEN x >= q.q1 - 1.5 * (q.q3 - q.q1) THEN x END) * (1 + 1e-12), 6) + 0.0 AS whisker_lo,
+       round(max(CASE WHEN x <= q.q3 + 1.5 * (q.q3 - q.q1) THEN x END) * (1 + 1e-12), 6) + 0.0 AS whisker_hi,
        CAST(count_if(x < q.q1 - 1.5 * (q.q3 - q.q1) OR x > q.q3 + 1.5 * (q.q3 - q.q1)) AS BIGINT) AS outliers
 FROM (SELECT unpaid_flag, customer_sentiment_score AS x FROM calls WHERE customer_sentiment_score IS NOT NULL) c
 JOIN q ON c.unpaid_flag = q.unpaid_flag
@@ -433,8 +433,8 @@ rows AS (
                    sum(f1 * support) / sum(support), sum(support) FROM f
   UNION ALL SELECT 'accuracy', NULL, NULL, (SELECT avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) FROM c),
                    (SELECT count(*) FROM c))
-SELECT class, round(precision * (1 + 1e-12), 6) AS precision, round(recall * (1 + 1e-12), 6) AS recall,
-       round(f1 * (1 + 1e-12), 6) AS f1, CAST(support AS BIGINT) AS support FROM rows"""
+SELECT class, round(precision * (1 + 1e-12), 6) + 0.0 AS precision, round(recall * (1 + 1e-12), 6) + 0.0 AS recall,
+       round(f1 * (1 + 1e-12), 6) + 0.0 AS f1, CAST(support AS BIGINT) AS support FROM rows"""
 
 
 @register("rule_report", _report_sql())
@@ -450,7 +450,7 @@ def q_rule_report(spark, d):
 g AS (SELECT p, count_if(label = 1) AS pos, count_if(label <> 1) AS neg FROM lab GROUP BY p),
 r AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
         AS below FROM g)
-SELECT round(sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) * (1 + 1e-12), 6) AS auc,
+SELECT round(sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) * (1 + 1e-12), 6) + 0.0 AS auc,
        CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM r""")
 def q_rule_auc(spark, d):
     """MET-2: exact ROC-AUC of the rule probability (ties count half)."""
@@ -461,8 +461,8 @@ def q_rule_auc(spark, d):
 
 @register("rule_roc", _LABELLED + """,
 g AS (SELECT p AS threshold, count_if(label = 1) AS pos, count_if(label <> 1) AS neg FROM lab GROUP BY p)
-SELECT threshold, round(sum(pos) OVER w / sum(pos) OVER () * (1 + 1e-12), 6) AS tpr,
-       round(sum(neg) OVER w / sum(neg) OVER () * (1 + 1e-12), 6) AS fpr
+SELECT threshold, round(sum(pos) OVER w / sum(pos) OVER () * (1 + 1e-12), 6) + 0.0 AS tpr,
+       round(sum(neg) OVER w / sum(neg) OVER () * (1 + 1e-12), 6) + 0.0 AS fpr
 FROM g WINDOW w AS (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def q_rule_roc(spark, d):
     """MET-6: ROC points (tpr, fpr) at every distinct probability."""

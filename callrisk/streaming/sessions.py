@@ -134,3 +134,41 @@ def checkpoint_location(spark, name: str) -> str:
     from ..session import ensure_checkpoint_dir
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/streams/{name}"
+
+
+BUFFER_SCHEMA = ("contact_id long, segment_count long, latest_segment_id long, first_customer_neg double, "
+                 "last_customer_pos double, n_customer long")
+BUFFER_STATE = "segment_ids array<long>, speakers array<string>, neg array<double>, pos array<double>"
+
+
+def _buffer_fn(n: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ids, spk, neg, pos = (list(x) for x in state.get) if state.exists else ([], [], [], [])
+        for pdf in pdfs:
+            for sid, sp, ng, ps in zip(pdf["segment_id"], pdf["speaker"], pdf["negative_score"],
+                                       pdf["positive_score"]):
+                ids.append(int(sid))
+                spk.append(sp)
+                neg.append(float(ng))
+                pos.append(float(ps))
+        order = sorted(range(len(ids)), key=lambda i: ids[i])[-n:]       # keep the newest n only
+        ids, spk, neg, pos = ([a[i] for i in order] for a in (ids, spk, neg, pos))
+        state.update((ids, spk, neg, pos))
+        cust = [i for i, s in enumerate(spk) if s == "CUSTOMER"]
+        yield pd.DataFrame([{
+            "contact_id": int(key[0]), "segment_count": len(ids), "latest_segment_id": ids[-1] if ids else None,
+            "first_customer_neg": neg[cust[0]] if cust else None,
+            "last_customer_pos": pos[cust[-1]] if cust else None, "n_customer": len(cust)}])
+    return fn
+
+
+def segment_buffer_stream(segments: DataFrame, n: int = 10) -> DataFrame:
+    """ST-3: the last ``n`` segments of each contact as bounded list state (at
+    most ``n`` entries per contact), with the buffer summary SC-14 / SC-15
+    need (count, newest id, first customer negative, last customer positive);
+    update mode, one row per contact per micro-batch."""
+    flat = segments.select("contact_id", "segment_id", "speaker",
+                           F.col("sentiment.negative_score").alias("negative_score"),
+                           F.col("sentiment.positive_score").alias("positive_score"))
+    return flat.groupBy("contact_id").applyInPandasWithState(
+        _buffer_fn(n), BUFFER_SCHEMA, BUFFER_STATE, "update", GroupStateTimeout.NoTimeout)

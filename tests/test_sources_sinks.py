@@ -4,7 +4,6 @@ import io
 import os
 import zipfile
 
-import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 

@@ -2,7 +2,6 @@
 
 import os
 
-import pytest
 from pyspark.sql import functions as F
 
 from callrisk.operators import sessions as SE
@@ -80,3 +79,27 @@ def test_rescoring_stream_windows(spark, scratch):
     batch = ST.score_events(snaps, crm).filter(F.col("kind") == "SEGMENT")
     n_windows = batch.select("call_id", F.window("ts", "10 seconds").alias("w")).distinct().count()
     assert 0 < got.count() <= n_windows
+
+
+def test_segment_buffer_stream_equals_batch(spark, scratch):
+    from callrisk.operators import transcripts as TR
+    seg = AD.segments(spark, SF_SMALL)
+    src = os.path.join(scratch, "seg")
+    # two arrivals: early turns first, later turns second
+    seg.filter(F.col("segment_id") < 4).write.mode("append").parquet(src)
+    seg.filter(F.col("segment_id") >= 4).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(seg.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (ST.segment_buffer_stream(stream).writeStream.format("memory").queryName("buf_out").outputMode("update")
+         .option("checkpointLocation", os.path.join(scratch, "ck4")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = spark.table("buf_out")
+    last = got.groupBy("contact_id").agg(F.max_by(F.struct(*[c for c in got.columns if c != "contact_id"]),
+                                                  "segment_count").alias("r")).select("contact_id", "r.*")
+    buf = TR.segment_buffer(seg)
+    view = TR.transcript_view(buf).select("contact_id", "segment_count", "latest_segment_id")
+    sent = TR.overall_sentiment(buf).select("contact_id", "improvement_score")
+    want = view.join(sent, "contact_id")
+    mine = last.select("contact_id", "segment_count", "latest_segment_id",
+                       (F.col("last_customer_pos") - F.col("first_customer_neg")).alias("improvement_score"))
+    assert mine.count() == want.count() > 0
+    assert mine.exceptAll(want).count() == 0
