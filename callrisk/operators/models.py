@@ -109,6 +109,49 @@ def grid_search(frame: DataFrame, estimator, grid: dict, folds: int = 3, paralle
     return cv.fit(data)
 
 
+# The original grids, in MLlib parameter names (rounds -> maxIter,
+# learning rate -> stepSize, row subsample -> subsamplingRate, column subsample ->
+# featureSubsetStrategy, min child weight -> minInstancesPerNode as a stand-in).
+TRAINING_GRID = {"maxIter": [50, 100, 200], "maxDepth": [3, 6, 9], "stepSize": [0.01, 0.1, 0.2],
+                 "subsamplingRate": [0.8, 0.9, 1.0]}                                   # ML-6, 81 points
+FULL_GRID = {"maxIter": [50, 100, 200], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.1, 0.2],
+             "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["0.8", "1.0"],
+             "minInstancesPerNode": [1, 3]}                                            # ML-7, 216 points
+SMALL_GRID = {"maxIter": [50, 100], "maxDepth": [3, 5], "stepSize": [0.1]}             # ML-7, < 100 rows
+FALLBACK_PARAMS = {"maxIter": 50, "maxDepth": 3, "stepSize": 0.1}                      # ML-7, on error
+
+
+def choose_grid(n_rows: int, grid: dict | None = None) -> dict:
+    """ML-7: the reduced grid when the training data has fewer than 100 rows."""
+    return SMALL_GRID if n_rows < 100 else dict(grid or FULL_GRID)
+
+
+def tune_or_fallback(frame: DataFrame, estimator, grid: dict, folds: int = 5, parallelism: int = 4):
+    """ML-7: grid search; on failure the fallback parameters are fitted instead.
+    Returns (model, best params, searched: bool)."""
+    try:
+        cv = grid_search(frame, estimator, grid, folds, parallelism)
+        best = {p.name: v for p, v in cv.bestModel.extractParamMap().items() if p.name in grid}
+        return cv.bestModel, best, True
+    except Exception:  # noqa: BLE001 - the original falls back to fixed parameters
+        est = estimator.copy()
+        for k, v in FALLBACK_PARAMS.items():
+            est = est.set(est.getParam(k), v)
+        return est.fit(frame), dict(FALLBACK_PARAMS), False
+
+
+def compare_models(train: DataFrame, test: DataFrame, estimators: dict) -> list[tuple[str, float]]:
+    """ML-9: exact test AUC of each estimator; a model that fails scores 0."""
+    out = []
+    for name, est in estimators.items():
+        try:
+            scored = p_default(est.fit(train).transform(test))
+            out.append((name, float(auc_from_scores(scored, "label", "p_default").first()["auc"] or 0.0)))
+        except Exception:  # noqa: BLE001 - the original scores a failed model as 0
+            out.append((name, 0.0))
+    return out
+
+
 def class_weights(frame: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     """ML-11 (weighting form): each class weighted to parity, n / (2 * n_class);
     one aggregate row, no row is copied or dropped."""

@@ -100,15 +100,19 @@ def optimization_run(spark: SparkSession, calls: DataFrame, grid: dict | None =
     keep = MD.select_by_median_importance(MD.importances(base, feats))
     sel = MD.persist(MD.with_split(MD.assemble(c, keep, key="contact_id"), "contact_id"))
     tr2 = MD.class_weights(sel.filter(~F.col("is_test")))
-    est = MD.boosted(maxIter=20, weightCol="weight")
-    cv = MD.grid_search(tr2, est, grid or {"maxDepth": [3, 6]}, folds=3)
-    best_auc = auc_from_scores(MD.p_default(cv.bestModel.transform(sel.filter(F.col("is_test")))),
-                               "label", "p_default").first()["auc"]
+    n_train = tr2.count()
+    g = MD.choose_grid(n_train, grid or {"maxDepth": [3, 6]})
+    model, best, searched = MD.tune_or_fallback(tr2, MD.boosted(maxIter=20, weightCol="weight"), g, folds=3)
+    te2 = sel.filter(F.col("is_test"))
+    scored = M.predict_at(MD.p_default(model.transform(te2)), "p_default")
+    best_auc = auc_from_scores(scored, "label", "p_default").first()["auc"]
+    comparison = MD.compare_models(sel.filter(~F.col("is_test")), te2,
+                                   {"random_forest": MD.forest(100), "boosted_trees": MD.boosted(maxIter=20)})
+    conf = [(r["label"], r["pred"], r["n"]) for r in M.confusion(scored).collect()]      # four cells
     return W.report_row(spark, {"baseline_auc": base_auc, "optimized_auc": best_auc,
                                 "improvement": (best_auc or 0) - (base_auc or 0),
-                                "selected_features": keep, "best_params": {
-                                    p.name: v for p, v in cv.bestModel.extractParamMap().items()
-                                    if p.name in (grid or {"maxDepth": 0})}})
+                                "selected_features": keep, "best_params": best, "searched": searched,
+                                "confusion": conf, "comparison": dict(comparison)})
 
 
 def start_live_scoring(events_stream: DataFrame, crm: DataFrame, out_dir: str, checkpoint: str,
