@@ -111,7 +111,8 @@ def _null_counts(df: DataFrame, cols: list[str]) -> dict:
     return row.asDict()
 
 
-def median_fill(df: DataFrame, cols=None, exclude=(S.ID_COL, S.TARGET_COL), materialize: bool = True) -> DataFrame:
+def median_fill(df: DataFrame, cols=None, exclude=(S.ID_COL, S.TARGET_COL), materialize: bool = True,
+                approx_accuracy: int | None = None) -> DataFrame:
     """Fill nulls of numeric columns with the exact global median.
 
     Key and target are never imputed.  Integral columns that hold nulls become
@@ -120,6 +121,8 @@ def median_fill(df: DataFrame, cols=None, exclude=(S.ID_COL, S.TARGET_COL), mate
     (no single-task percentile buffer).  The input is materialized once in the
     shared checkpoint folder first, so the several passes read it instead of
     recomputing its plan (``materialize=False`` for inputs that are plain scans).
+    ``approx_accuracy`` switches to ``percentile_approx`` (one pass, a bounded
+    sketch per task, rank error about n / accuracy) as an explicit opt-in.
     """
     cols = list(cols) if cols is not None else numeric_columns(df, exclude)
     if materialize and cols:
@@ -128,7 +131,12 @@ def median_fill(df: DataFrame, cols=None, exclude=(S.ID_COL, S.TARGET_COL), mate
     todo = [c for c in cols if nulls.get(c, 0) > 0]
     if not todo:
         return df
-    med = exact_medians(df, todo)
+    if approx_accuracy:
+        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, approx_accuracy).alias(c)
+                       for c in todo]).first()
+        med = row.asDict()
+    else:
+        med = exact_medians(df, todo)
     out = []
     for c in df.columns:
         if c in todo:

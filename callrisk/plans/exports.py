@@ -30,10 +30,10 @@ def register(name, sql=None):
 
 CRM_LOADED_AT = "2024-01-01 00:00:00"
 
-_RULE = ("greatest(0.0, least(100.0, 50.0"
+_RULE = ("CAST(greatest(0.0, least(100.0, 50.0"
          " + CASE WHEN coalesce({s}, 0) < -0.5 THEN 20.0 WHEN coalesce({s}, 0) < 0 THEN 10.0 ELSE 0.0 END"
          " + CASE WHEN coalesce({b}, 0) < 5000 THEN 15.0 WHEN coalesce({b}, 0) > 30000 THEN -10.0 ELSE 0.0 END"
-         " + coalesce(len({f}), 0) * 5.0))")
+         " + coalesce(len({f}), 0) * 5.0)) AS DOUBLE)")
 
 
 def _upsert_sql():

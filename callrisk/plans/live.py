@@ -24,17 +24,17 @@ def register(name, sql=None):
     return deco
 
 
-_RULE = ("greatest(0.0, least(100.0, 50.0"
+_RULE = ("CAST(greatest(0.0, least(100.0, 50.0"
          " + CASE WHEN coalesce({s}, 0) < -0.5 THEN 20.0 WHEN coalesce({s}, 0) < 0 THEN 10.0 ELSE 0.0 END"
          " + CASE WHEN coalesce({b}, 0) < 5000 THEN 15.0 WHEN coalesce({b}, 0) > 30000 THEN -10.0 ELSE 0.0 END"
-         " + coalesce(len({f}), 0) * 5.0))")
+         " + coalesce(len({f}), 0) * 5.0)) AS DOUBLE)")
 
 
 def _sessions_cte(at: str | None) -> str:
     where = f"WHERE ts <= TIMESTAMP '{at}'" if at else ""
     return with_views("snapshots", "crm") + f""",
-ev AS (SELECT *, sum(CASE WHEN kind = 'START' THEN 1 ELSE 0 END) OVER (PARTITION BY call_id ORDER BY ts, event_id
-         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_no FROM snapshots {where}),
+ev AS (SELECT *, CAST(sum(CASE WHEN kind = 'START' THEN 1 ELSE 0 END) OVER (PARTITION BY call_id ORDER BY ts, event_id
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session_no FROM snapshots {where}),
 fe AS (SELECT call_id, session_no, ts AS end_ts, event_id AS end_id FROM (SELECT call_id, session_no, ts, event_id,
          row_number() OVER (PARTITION BY call_id, session_no ORDER BY ts, event_id) AS rn
          FROM ev WHERE kind = 'END' AND session_no >= 1) WHERE rn = 1),

@@ -40,11 +40,12 @@ def _rule_explained(spark, d):
 _ATTR_CTE = _scored_customers_cte() + """,
 att AS (SELECT record_no, risk_score, round(customer_sentiment_score, 9) AS sv, account_balance AS bv,
           CAST(n_risk_factors AS DOUBLE) AS fv,
-          50.0 AS base_value,
-          CASE WHEN coalesce(round(customer_sentiment_score, 9), 0) < -0.5 THEN 20.0
-               WHEN coalesce(round(customer_sentiment_score, 9), 0) < 0 THEN 10.0 ELSE 0.0 END AS c_customer_sentiment,
-          CASE WHEN coalesce(account_balance, 0) < 5000 THEN 15.0
-               WHEN coalesce(account_balance, 0) > 30000 THEN -10.0 ELSE 0.0 END AS c_account_balance,
+          CAST(50.0 AS DOUBLE) AS base_value,
+          CAST(CASE WHEN coalesce(round(customer_sentiment_score, 9), 0) < -0.5 THEN 20.0
+               WHEN coalesce(round(customer_sentiment_score, 9), 0) < 0 THEN 10.0 ELSE 0.0 END AS DOUBLE)
+            AS c_customer_sentiment,
+          CAST(CASE WHEN coalesce(account_balance, 0) < 5000 THEN 15.0
+               WHEN coalesce(account_balance, 0) > 30000 THEN -10.0 ELSE 0.0 END AS DOUBLE) AS c_account_balance,
           greatest(CAST(n_risk_factors AS DOUBLE), 0.0) * 5.0 AS c_risk_factors FROM scored),
 lf AS (SELECT record_no, f.* FROM att, LATERAL (VALUES ('customer_sentiment', sv, c_customer_sentiment),
           ('account_balance', bv, c_account_balance), ('risk_factors', fv, c_risk_factors)) f(feature, value, contribution)),

@@ -285,7 +285,7 @@ _PROFILE_OUT = ["record_no"] + _PROFILE_NUM + ["unpaid_flag", "debt_to_income",
 
 
 def _bins_sql(x, edges):
-    parts = [f"WHEN {x} > {edges[i - 1]} AND {x} <= {edges[i]} THEN {float(i)}" for i in range(1, len(edges))]
+    parts = [f"WHEN {x} > {edges[i - 1]} AND {x} <= {edges[i]} THEN CAST({float(i)} AS DOUBLE)" for i in range(1, len(edges))]
     return "CASE " + " ".join(parts) + " END"
 
 
@@ -297,8 +297,8 @@ def _profile_customers_sql() -> str:
              "WHERE unpaid_flag IS NOT NULL AND start_ts IS NOT NULL AND contact_id IS NOT NULL) WHERE rn = 1)")
     feats = (f"loan_amount / (annual_income + 1) AS debt_to_income, "
              f"loan_amount / (monthly_income * 12 + 1) AS monthly_burden, "
-             f"coalesce({_bins_sql('age', S.AGE_BINS)}, 0.0) AS age_band, "
-             f"coalesce({_bins_sql('credit_score', S.CREDIT_BINS)}, 0.0) AS credit_band")
+             f"coalesce({_bins_sql('age', S.AGE_BINS)}, CAST(0.0 AS DOUBLE)) AS age_band, "
+             f"coalesce({_bins_sql('credit_score', S.CREDIT_BINS)}, CAST(0.0 AS DOUBLE)) AS credit_band")
     dbl = set(_PROFILE_NUM) | {"debt_to_income", "monthly_burden", "age_band", "credit_band"}
     return (with_views("profile") + f",\n{first},"
             f"\nagg AS (SELECT p.record_no, {means}, f.unpaid_flag FROM profile p LEFT JOIN first_flag f "
@@ -322,14 +322,16 @@ def q_profile_customer_features(spark, d):
 # -- features at call grain -------------------------------------------------------------------
 
 @register("call_features_a", with_views("calls") + f"""
-SELECT contact_id, {", ".join(f"round(({e}) * (1 + 1e-12), 6) + 0.0 AS {n}" for n, e in FE_A.items())} FROM calls""")
+SELECT contact_id, {", ".join(f"round(({e}) * (1 + 1e-12), 6) + 0.0 AS {n}" if n != "total_sentences"
+                              else f"{e} AS {n}" for n, e in FE_A.items())} FROM calls""")
 def q_call_features_a(spark, d):
     """FE-A1..A8 at call grain (denominators + 1)."""
     return r6(AD.calls(spark, d).transform(FE.call_features_plus_one).select("contact_id", *FE_A))
 
 
 @register("call_features_b", with_views("calls") + f"""
-SELECT contact_id, {", ".join(f"round(({e}) * (1 + 1e-12), 6) + 0.0 AS {n}" for n, e in _FE_B.items())} FROM calls""")
+SELECT contact_id, {", ".join(f"round(({e}) * (1 + 1e-12), 6) + 0.0 AS {n}" if n != "total_sentences"
+                              else f"{e} AS {n}" for n, e in _FE_B.items())} FROM calls""")
 def q_call_features_b(spark, d):
     """FE-B1..B8 at call grain (zero denominators replaced)."""
     return r6(AD.calls(spark, d).transform(FE.call_features_nonzero).select("contact_id", *_FE_B))
@@ -349,11 +351,11 @@ def q_profile_features(spark, d):
 _VEC_SQL = with_views("snapshots", "crm") + """
 SELECT s.event_id,
        coalesce(s.agent_sentiment, 0.0) AS f1, round(coalesce(s.customer_sentiment, 0.0) * (1 + 1e-12), 6) + 0.0 AS f2,
-       0.0 AS f3, 0.5 AS f4, 0.1 AS f5,
+       CAST(0.0 AS DOUBLE) AS f3, CAST(0.5 AS DOUBLE) AS f4, CAST(0.1 AS DOUBLE) AS f5,
        round(coalesce(k.account_balance, 0.0) * (1 + 1e-12), 6) + 0.0 AS f6, CAST(coalesce(k.previous_calls, 0) AS DOUBLE) AS f7,
        round(coalesce(k.satisfaction_score, 3.0) * (1 + 1e-12), 6) + 0.0 AS f8,
        CAST(coalesce(k.payment_count, 0) AS DOUBLE) AS f9, CAST(coalesce(len(k.risk_factors), 0) AS DOUBLE) AS f10,
-       CAST({size} AS BIGINT) AS vector_size, 0.0 AS padding_sum
+       CAST({size} AS BIGINT) AS vector_size, CAST(0.0 AS DOUBLE) AS padding_sum
 FROM snapshots s LEFT JOIN crm k ON s.call_id = k.customer_id"""
 
 
@@ -375,7 +377,8 @@ def q_realtime_vectors(spark, d):
 @register("production_vectors", with_views("snapshots", "crm") + """,
 hist AS (SELECT record_no, count(*) AS n FROM (SELECT o_custkey AS record_no FROM orders) GROUP BY record_no)
 SELECT s.event_id, coalesce(s.agent_sentiment, 0.0) AS f1,
-       round(coalesce(s.customer_sentiment, 0.0) * (1 + 1e-12), 6) + 0.0 AS f2, 0.0 AS f3, 0.0 AS f4, 0.0 AS f5,
+       round(coalesce(s.customer_sentiment, 0.0) * (1 + 1e-12), 6) + 0.0 AS f2, CAST(0.0 AS DOUBLE) AS f3,
+       CAST(0.0 AS DOUBLE) AS f4, CAST(0.0 AS DOUBLE) AS f5,
        round(coalesce(k.account_balance, 0.0) * (1 + 1e-12), 6) + 0.0 AS f6,
        CAST(coalesce(k.previous_calls, 0) AS DOUBLE) AS f7, CAST(coalesce(h.n, 0) AS DOUBLE) AS f8
 FROM snapshots s LEFT JOIN crm k ON s.call_id = k.customer_id LEFT JOIN hist h ON s.call_id = h.record_no""")

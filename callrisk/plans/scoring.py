@@ -35,10 +35,10 @@ def x6(c: str) -> str:
     return f"round(({c}) * (1 + 1e-12), 6) + 0.0"
 
 
-_RULE = ("greatest(0.0, least(100.0, 50.0"
+_RULE = ("CAST(greatest(0.0, least(100.0, 50.0"
          " + CASE WHEN coalesce({s}, 0) < -0.5 THEN 20.0 WHEN coalesce({s}, 0) < 0 THEN 10.0 ELSE 0.0 END"
          " + CASE WHEN coalesce({b}, 0) < 5000 THEN 15.0 WHEN coalesce({b}, 0) > 30000 THEN -10.0 ELSE 0.0 END"
-         " + coalesce(len({f}), 0) * 5.0))")
+         " + coalesce(len({f}), 0) * 5.0)) AS DOUBLE)")
 
 
 def _band_sql(x, cuts, labels, strict=False):
@@ -150,7 +150,7 @@ lv AS (SELECT *, {lv} AS level FROM live WHERE kind = 'SEGMENT')
 SELECT event_id, CAST(call_id AS VARCHAR) AS call_id,
        CASE WHEN customer_id IS NOT NULL THEN round_even(rule, 2) END AS risk_score,
        CASE WHEN customer_id IS NOT NULL THEN {_band_sql('rule', (70, 40), S.REALTIME_LABELS)} END AS risk_level,
-       CASE WHEN customer_id IS NOT NULL THEN 0.85 END AS confidence,
+       CASE WHEN customer_id IS NOT NULL THEN CAST(0.85 AS DOUBLE) END AS confidence,
        CASE WHEN customer_id IS NOT NULL THEN (CASE level {rec} END) ||
             CASE WHEN coalesce(customer_sentiment, 0) < -0.3 THEN '|{S.AGENT_UNHAPPY_RECOMMENDATION}' ELSE '' END
        END AS recommendations,
@@ -224,7 +224,7 @@ SELECT contact_id, round(improvement * (1 + 1e-12), 6) + 0.0 AS improvement_scor
             WHEN improvement > -0.2 THEN 'NEUTRAL' ELSE 'NEGATIVE' END AS overall_sentiment,
        CASE WHEN NOT has_customer THEN NULL WHEN improvement > 0.2 THEN 'IMPROVING'
             WHEN improvement > -0.2 THEN 'STABLE' ELSE 'DECLINING' END AS satisfaction_trend,
-       CASE WHEN has_customer THEN 0.8 ELSE 0.5 END AS confidence
+       CAST(CASE WHEN has_customer THEN 0.8 ELSE 0.5 END AS DOUBLE) AS confidence
 FROM imp""")
 def q_call_sentiment(spark, d):
     """SC-14: overall call sentiment over the buffered segments (customer turns:
@@ -290,7 +290,7 @@ def q_describe_calls(spark, d):
 
 
 @register("duplicate_calls", with_views("calls") + """
-SELECT sum(n) AS rows, count(*) AS distinct_rows, sum(n - 1) AS duplicates
+SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS distinct_rows, CAST(sum(n - 1) AS BIGINT) AS duplicates
 FROM (SELECT record_no, agent, unpaid_flag, count(*) AS n FROM calls GROUP BY ALL)""")
 def q_duplicate_calls(spark, d):
     """PRF-4: rows beyond the first identical (customer, agent, flag) row."""

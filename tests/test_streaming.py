@@ -69,16 +69,22 @@ def test_rescoring_stream_windows(spark, scratch):
     snaps = AD.snapshots(spark, SF_SMALL)
     crm = AD.crm(spark, SF_SMALL)
     src = os.path.join(scratch, "snap2")
-    snaps.write.parquet(src)
-    stream = spark.readStream.schema(snaps.schema).parquet(src)
+    _write_in_time_slices(snaps, src, ["2024-01-10", "2024-01-20"])
+    stream = spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", 2).parquet(src)
     q = (ST.rescoring_stream(ST.score_events(stream, crm)).writeStream.format("memory").queryName("rescore_out")
          .option("checkpointLocation", os.path.join(scratch, "ck3")).trigger(availableNow=True).start())
     q.awaitTermination(300)
     got = spark.table("rescore_out")
-    # every emitted window holds the latest segment of that call in the window
-    batch = ST.score_events(snaps, crm).filter(F.col("kind") == "SEGMENT")
-    n_windows = batch.select("call_id", F.window("ts", "10 seconds").alias("w")).distinct().count()
-    assert 0 < got.count() <= n_windows
+    # batch form: every window whose end the final watermark (max ts - 1 minute) has passed
+    seg = ST.score_events(snaps, crm).filter(F.col("kind") == "SEGMENT")
+    wm = seg.agg(F.max("ts")).first()[0]
+    want = (seg.groupBy("call_id", F.window("ts", "10 seconds").alias("w"))
+            .agg(F.max_by(F.struct("event_id", "risk_score"), F.struct("ts", "event_id")).alias("l"))
+            .select("call_id", F.col("w.end").alias("window_end"), F.col("l.event_id").alias("event_id"),
+                    F.col("l.risk_score").alias("risk_score"))
+            .filter(F.col("window_end") <= F.lit(wm) - F.expr("INTERVAL 1 MINUTE")))
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == 0
 
 
 def test_segment_buffer_stream_equals_batch(spark, scratch):

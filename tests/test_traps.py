@@ -43,6 +43,13 @@ def test_exact_median_interpolates(spark):
     assert q["q1"] == pytest.approx(1.75) and q["q3"] == pytest.approx(4.75)
 
 
+def test_median_fill_approx_opt_in(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0), (4, 10.0), (5, None)], "record_no long, x double")
+    exact = {r["record_no"]: r["x"] for r in C.median_fill(df).collect()}
+    approx = {r["record_no"]: r["x"] for r in C.median_fill(df, approx_accuracy=10000).collect()}
+    assert exact[5] == 2.5 and approx[5] == 2.0          # T6: the approximate form is not the pandas median
+
+
 def test_median_fill_matches_pandas(spark):
     import pandas as pd
     rows = [(i, float(i % 7) if i % 5 else None) for i in range(1, 200)]
