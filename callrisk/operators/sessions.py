@@ -139,8 +139,9 @@ def score_cache(events: DataFrame, crm: DataFrame, at: str, ttl_s: int = S.SCORE
 
 
 def debounce(events: DataFrame, key: str = "call_id", gap_ms: int = S.DEBOUNCE_MILLISECONDS) -> DataFrame:
-    """ST-10: keep the last event of each burst (events of a key closer than
-    ``gap_ms`` to the next one are dropped)."""
+    """ST-10: keep the last event of each burst: an event is dropped when the
+    next event of its key follows less than ``gap_ms`` later (the session-window
+    rule of the streaming form, whose window of an event ends ``gap`` after it)."""
     nx = next_in_order(events.select(key, "event_id", "ts", "kind"), [key], ["ts", "event_id"], ["ts"])
     gap = (F.unix_micros("next_ts") - F.unix_micros("ts")) / 1000.0
-    return nx.filter(F.col("next_ts").isNull() | (gap > gap_ms)).drop("next_ts")
+    return nx.filter(F.col("next_ts").isNull() | (gap >= gap_ms)).drop("next_ts")

@@ -122,7 +122,7 @@ def q_score_cache(spark, d):
 SELECT call_id, event_id, ts, kind FROM (
   SELECT call_id, event_id, ts, kind, lead(ts) OVER (PARTITION BY call_id ORDER BY ts, event_id) AS next_ts
   FROM snapshots)
-WHERE next_ts IS NULL OR (epoch_us(next_ts) - epoch_us(ts)) / 1000.0 > 500""")
+WHERE next_ts IS NULL OR (epoch_us(next_ts) - epoch_us(ts)) / 1000.0 >= 500""")
 def q_debounced_events(spark, d):
-    """ST-10: last event of every burst (next event of the call > 500 ms later)."""
+    """ST-10: last event of every burst (next event of the call 500 ms or more later)."""
     return SE.debounce(AD.snapshots(spark, d))

@@ -172,3 +172,22 @@ def segment_buffer_stream(segments: DataFrame, n: int = 10) -> DataFrame:
                            F.col("sentiment.positive_score").alias("positive_score"))
     return flat.groupBy("contact_id").applyInPandasWithState(
         _buffer_fn(n), BUFFER_SCHEMA, BUFFER_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def debounce_stream(events: DataFrame, gap: str = "500 milliseconds", watermark: str = "1 minute") -> DataFrame:
+    """ST-10: the last event of every burst per call, as a session window with
+    a 500 ms gap (a burst closes once the watermark passes its end)."""
+    return (events.withWatermark("ts", watermark)
+            .groupBy("call_id", F.session_window("ts", gap).alias("s"))
+            .agg(F.max_by(F.struct("event_id", "ts", "kind"), F.struct("ts", "event_id")).alias("l"))
+            .select("call_id", F.col("l.event_id").alias("event_id"), F.col("l.ts").alias("ts"),
+                    F.col("l.kind").alias("kind")))
+
+
+def presence_stream(events: DataFrame) -> DataFrame:
+    """ST-7: an agent joins with a call start and leaves with a call end; the
+    latest such event decides presence (update mode, one row per agent)."""
+    ctl = events.filter(F.col("kind").isin("START", "END"))
+    return ctl.groupBy("agent_id").agg(
+        (F.max_by("kind", F.struct("ts", "event_id")) == "START").alias("active"),
+        F.max("ts").alias("last_seen"))

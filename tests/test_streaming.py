@@ -109,3 +109,48 @@ def test_segment_buffer_stream_equals_batch(spark, scratch):
                        (F.col("last_customer_pos") - F.col("first_customer_neg")).alias("improvement_score"))
     assert mine.count() == want.count() > 0
     assert mine.exceptAll(want).count() == 0
+
+
+def _burst_events(spark):
+    """Live events plus a burst after each start: two extra events 100 ms and
+    300 ms later (the bursts the debounce must collapse)."""
+    snaps = AD.snapshots(spark, SF_SMALL)
+    starts = snaps.filter(F.col("kind") == "START")
+    extra = [starts.withColumn("event_id", F.col("event_id") + off * 1_000_000)
+             .withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {ms} MILLISECONDS"))
+             .withColumn("kind", F.lit("SEGMENT")) for off, ms in ((1, 100), (2, 300))]
+    return snaps.unionByName(extra[0]).unionByName(extra[1])
+
+
+def test_debounce_stream_equals_batch(spark, scratch):
+    ev = _burst_events(spark)
+    src = os.path.join(scratch, "burst")
+    _write_in_time_slices(ev, src, ["2024-01-10", "2024-01-20"])
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    q = (ST.debounce_stream(stream).writeStream.format("memory").queryName("debounce_out")
+         .option("checkpointLocation", os.path.join(scratch, "ck5")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = spark.table("debounce_out")
+    wm = ev.agg(F.max("ts")).first()[0]
+    # batch twin; a burst is emitted once the watermark (max ts - 1 minute) passes its end
+    want = SE.debounce(ev).filter(F.col("ts") + F.expr("INTERVAL 500 MILLISECONDS")
+                                  <= F.lit(wm) - F.expr("INTERVAL 1 MINUTE"))
+    assert want.count() < ev.count()                      # bursts were collapsed
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == 0
+
+
+def test_presence_stream_equals_batch(spark, scratch):
+    snaps = AD.snapshots(spark, SF_SMALL)
+    src = os.path.join(scratch, "pres")
+    _write_in_time_slices(snaps, src, ["2024-01-10", "2024-01-20"])
+    stream = spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (ST.presence_stream(stream).writeStream.format("memory").queryName("presence_out").outputMode("update")
+         .option("checkpointLocation", os.path.join(scratch, "ck6")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = spark.table("presence_out")
+    final = got.groupBy("agent_id").agg(F.max_by(F.struct("active", "last_seen"), "last_seen").alias("r")) \
+        .select("agent_id", "r.active", "r.last_seen")
+    want = SE.agent_presence(snaps, "2099-01-01 00:00:00")
+    assert final.count() == want.count() > 0
+    assert final.exceptAll(want).count() == 0
