@@ -48,7 +48,7 @@ def with_split(df: DataFrame, key: str = S.ID_COL) -> DataFrame:
 def boosted(params: dict | None = None, **over) -> GBTClassifier:
     """ML-3: boosted trees with the reference defaults (100 trees, depth 6, lr 0.1,
     row and column subsampling 0.8, seed 42)."""
-    p = dict(S.BOOSTED_PARAMS)
+    p = dict(S.BOOSTED_PARAMS, cacheNodeIds=True)
     p.update(params or {})
     p.update(over)
     return GBTClassifier(featuresCol="features", labelCol="label", **p)
@@ -56,7 +56,8 @@ def boosted(params: dict | None = None, **over) -> GBTClassifier:
 
 def forest(trees: int = 100, seed: int = S.SPLIT_SEED, **over) -> RandomForestClassifier:
     """ML-4 / ML-5: random forest baseline."""
-    return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, seed=seed, **over)
+    return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, seed=seed,
+                                  cacheNodeIds=True, **over)
 
 
 def p_default(scored: DataFrame) -> DataFrame:
@@ -185,5 +186,23 @@ def linear_attributions(frame: DataFrame, features: list[str], key: str = S.ID_C
     return out, model
 
 
+ROWS_PER_PARTITION = 200_000     # assembled rows (~26 doubles each, about 50 MB) per training task
+
+
+def right_size(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Training-frame partitions sized by volume: iterative fitters run one job
+    per tree level and round, so tasks over tiny slices cost more in
+    scheduling than in work, while huge slices lose parallelism.  One count,
+    then ``coalesce`` (no shuffle) when shrinking or ``repartition`` when growing."""
+    n = df.count()
+    want = max(1, -(-n // rows_per_partition))
+    have = df.rdd.getNumPartitions()
+    if want < have:
+        return df.coalesce(want)
+    if want > have:
+        return df.repartition(want)
+    return df
+
+
 def persist(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)

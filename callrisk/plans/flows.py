@@ -52,7 +52,7 @@ def train_complete(customers: DataFrame, model_dir: str | None = None, version:
     """PL-2: split, fit, evaluate on the test split, optionally save. Returns
     (model, features, frame, metrics dict)."""
     feats = MD.feature_names(customers)
-    frame = MD.persist(MD.with_split(MD.assemble(customers, feats)))
+    frame = MD.persist(MD.right_size(MD.with_split(MD.assemble(customers, feats))))
     model = MD.boosted(params).fit(frame.filter(~F.col("is_test")))
     scored = M.predict_at(MD.p_default(model.transform(frame.filter(F.col("is_test")))), "p_default")
     metrics = MD.evaluate(scored)
@@ -93,12 +93,12 @@ def optimization_run(spark: SparkSession, calls: DataFrame, grid: dict | None =
     c = C.encode_label_b(C.mean_fill(C.coerce_numeric(c, MD.feature_names(c, "contact_id", "label",
                                                                           (S.ID_COL, S.TARGET_COL)))))
     feats = MD.feature_names(c, "contact_id", "label", (S.ID_COL, S.TARGET_COL))
-    frame = MD.persist(MD.with_split(MD.assemble(c, feats, key="contact_id"), "contact_id"))
+    frame = MD.persist(MD.right_size(MD.with_split(MD.assemble(c, feats, key="contact_id"), "contact_id")))
     tr, te = frame.filter(~F.col("is_test")), frame.filter(F.col("is_test"))
     base = MD.forest(100).fit(tr)
     base_auc = auc_from_scores(MD.p_default(base.transform(te)), "label", "p_default").first()["auc"]
     keep = MD.select_by_median_importance(MD.importances(base, feats))
-    sel = MD.persist(MD.with_split(MD.assemble(c, keep, key="contact_id"), "contact_id"))
+    sel = MD.persist(MD.right_size(MD.with_split(MD.assemble(c, keep, key="contact_id"), "contact_id")))
     tr2 = MD.class_weights(sel.filter(~F.col("is_test")))
     n_train = tr2.count()
     g = MD.choose_grid(n_train, grid or {"maxDepth": [3, 6]})

@@ -152,7 +152,7 @@ def model_frame(spark, d):
         c = customer_table(spark, d).withColumn(
             "label", F.when(F.col(S.TARGET_COL) == S.TARGET_UNPAID, 1).otherwise(0))
         feats = MD.feature_names(c)
-        return MD.persist(MD.with_split(MD.assemble(c, feats))), feats
+        return MD.persist(MD.right_size(MD.with_split(MD.assemble(c, feats)))), feats
     return _memo(spark, d, "customer_frame", build)
 
 
@@ -217,7 +217,7 @@ def _call_frame(spark, d):
         from .prepare import q_mean_filled_features, _MEANFILL_FEATS
         c = q_mean_filled_features(spark, d).withColumnRenamed("record_no", "customer_no")
         frame = MD.assemble(c, _MEANFILL_FEATS, key="contact_id")
-        return MD.persist(MD.with_split(frame, "contact_id")), _MEANFILL_FEATS
+        return MD.persist(MD.right_size(MD.with_split(frame, "contact_id"))), _MEANFILL_FEATS
     return _memo(spark, d, "call_frame", build)
 
 
