@@ -80,3 +80,24 @@ def test_top_reasons_order_and_text(spark):
     r = df.select(X.top_reasons(arr, 2).alias("t"), X.top_reasons_signed(arr, 2).alias("s")).first()
     assert r["t"] == "b (decreases risk), a (increases risk)"
     assert r["s"] == "a, c"
+
+
+def test_linear_attributions_add_up_to_logit(spark):
+    from callrisk.operators import models as MD
+    df = spark.range(0, 300).select(
+        F.col("id").alias("record_no"), (F.col("id") % 7).cast("double").alias("a"),
+        ((F.col("id") * 13) % 11).cast("double").alias("b"),
+        ((F.col("id") % 7 + (F.col("id") * 13) % 11) > 8).cast("int").alias("label"))
+    frame = MD.assemble(df, ["a", "b"])
+    out, _ = MD.linear_attributions(frame, ["a", "b"])
+    for r in out.collect():
+        assert r["base_value"] + r["c_a"] + r["c_b"] == pytest.approx(r["logit"], abs=1e-6)
+
+
+def test_weighted_recall_equals_accuracy(spark):
+    df = spark.range(0, 500).select(((F.col("id") * 7) % 3 == 0).cast("int").alias("label"),
+                                    ((F.col("id") * 5) % 4 == 0).cast("int").alias("pred"))
+    rep = {r["class"]: r for r in M.classification_report(df).collect()}
+    assert rep["weighted avg"]["recall"] == pytest.approx(rep["accuracy"]["f1"])
+    conf = {(r["label"], r["pred"]): r["n"] for r in M.confusion(df).collect()}
+    assert sum(conf.values()) == 500 and len(conf) == 4

@@ -154,3 +154,19 @@ def test_presence_stream_equals_batch(spark, scratch):
     want = SE.agent_presence(snaps, "2099-01-01 00:00:00")
     assert final.count() == want.count() > 0
     assert final.exceptAll(want).count() == 0
+
+
+def test_segment_stream_source(spark, scratch):
+    from callrisk.sources.streams import segment_stream
+    seg = AD.segments(spark, SF_SMALL)
+    src = os.path.join(scratch, "segsrc")
+    seg.write.parquet(src)
+    stream = segment_stream(spark, src)
+    q = (ST.latest_view_stream(stream).writeStream.format("memory").queryName("view_out").outputMode("complete")
+         .option("checkpointLocation", os.path.join(scratch, "ck7")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    from callrisk.operators import transcripts as TR
+    got = spark.table("view_out")
+    want = TR.transcript_view(seg)
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == 0
