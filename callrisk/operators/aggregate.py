@@ -53,11 +53,19 @@ def customer_means(df: DataFrame, order_by, key: str = S.ID_COL, target: str = S
             .agg(*[F.avg(c).alias(c) for c in cols], first_target.alias(target)))
 
 
-def value_counts(df: DataFrame, col: str, name: str = "value") -> DataFrame:
-    """AGG-4: count and percentage per value (null is its own value)."""
+def value_counts(df: DataFrame, col: str, name: str = "value", categorical: bool = True) -> DataFrame:
+    """AGG-4: count and percentage per value (null is its own value).
+
+    For a categorical column (target, band, sentiment label, split side) the
+    total comes from a window over the grouped rows, one row per category, so
+    the input plan runs once.  For a column with unbounded distinct values
+    (``categorical=False``) the total is one scalar aggregate instead, so no
+    task ever holds all the values."""
     g = df.groupBy(F.col(col).alias(name)).agg(F.count(F.lit(1)).alias("n"))
-    # the window runs over the grouped rows only: one per category value
-    return g.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0))))
+    if categorical:
+        return g.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0))))
+    total = df.count()
+    return g.withColumn("pct", F.col("n") * 100.0 / F.lit(total))
 
 
 def score_summary(df: DataFrame, score: str = "risk_score") -> DataFrame:
@@ -94,10 +102,9 @@ def distinct_customers(df: DataFrame, key: str = S.ID_COL, approx: bool = False)
 
 
 def band_distribution(df: DataFrame, band_col: str = "risk_category") -> DataFrame:
-    """AGG-9 distribution part: count and share of each band (window total over
-    the few band rows only)."""
-    g = df.groupBy(band_col).agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0))))
+    """AGG-9 distribution part: count and share of each band (the bands are a
+    fixed label set, so the total is a window over at most that many rows)."""
+    return value_counts(df, band_col, band_col)
 
 
 def live_gauges(sessions: DataFrame) -> DataFrame:
