@@ -55,28 +55,42 @@ def scored_events(classified: DataFrame, crm: DataFrame) -> DataFrame:
     return j.withColumn("risk_score", F.bround(rule_score(), 2))
 
 
+def _per_session(cl: DataFrame, scores: bool) -> DataFrame:
+    """One grouped pass over the classified events: start, agent, end and (with
+    ``scores``) the score count / final / mean of every session."""
+    opened, closed, scored = (F.col("outcome") == o for o in ("OPENED", "CLOSED", "SCORED"))
+    aggs = [F.min(F.when(opened, F.col("ts"))).alias("started_at"),
+            F.max(F.when(opened, F.col("agent_id"))).alias("agent_id"),
+            F.min(F.when(closed, F.col("ts"))).alias("ended_at")]
+    if scores:
+        aggs += [F.count_if(scored).alias("n_scores"),
+                 F.max_by(F.when(scored, F.col("risk_score")), F.when(scored, F.struct("ts", "event_id")))
+                 .alias("final_score"),
+                 F.avg(F.when(scored, F.col("risk_score"))).alias("mean_score")]
+    per = cl.filter(F.col("session_no") >= 1).groupBy("call_id", "session_no").agg(*aggs)
+    last = per.groupBy("call_id").agg(F.max("session_no").alias("_last_session"))
+    j = per.join(last, "call_id")
+    status = (F.when(F.col("ended_at").isNotNull(), "ENDED")
+              .when(F.col("session_no") < F.col("_last_session"), "REPLACED").otherwise("ACTIVE"))
+    return j.withColumn("status", status).drop("_last_session")
+
+
+def with_scores(classified: DataFrame, crm: DataFrame) -> DataFrame:
+    """Every classified event with the live rule score on its SCORED rows."""
+    k = crm.select("customer_id", "account_balance", "risk_factors")
+    j = classified.join(k, classified.call_id == k.customer_id, "left")
+    return j.withColumn("risk_score", F.when(F.col("outcome") == "SCORED", F.bround(rule_score(), 2)))
+
+
 def session_summaries(events: DataFrame, crm: DataFrame, at=None) -> DataFrame:
     """ST-1 / ST-5: one row per session: start, agent, end, status (ENDED,
     REPLACED by a later start, or ACTIVE), duration in total seconds, number of
-    scores and the final score."""
-    cl = classify_events(events, at)
-    starts = cl.filter(F.col("outcome") == "OPENED").select(
-        "call_id", "session_no", F.col("ts").alias("started_at"), "agent_id")
-    ends = cl.filter(F.col("outcome") == "CLOSED").select("call_id", "session_no", F.col("ts").alias("ended_at"))
-    scores = scored_events(cl, crm).groupBy("call_id", "session_no").agg(
-        F.count(F.lit(1)).alias("n_scores"),
-        F.max_by("risk_score", F.struct("ts", "event_id")).alias("final_score"),
-        F.avg("risk_score").alias("mean_score"))
-    last = starts.groupBy("call_id").agg(F.max("session_no").alias("_last_session"))
-    j = (starts.join(ends, ["call_id", "session_no"], "left")
-         .join(scores, ["call_id", "session_no"], "left")
-         .join(last, "call_id"))
-    status = (F.when(F.col("ended_at").isNotNull(), "ENDED")
-              .when(F.col("session_no") < F.col("_last_session"), "REPLACED").otherwise("ACTIVE"))
-    return j.select(
-        "call_id", "session_no", "started_at", "agent_id", "ended_at", status.alias("status"),
+    scores and the final score.  The classified events are read once."""
+    per = _per_session(with_scores(classify_events(events, at), crm), scores=True)
+    return per.select(
+        "call_id", "session_no", "started_at", "agent_id", "ended_at", "status",
         F.when(F.col("ended_at").isNotNull(), elapsed_seconds("ended_at", "started_at")).alias("duration_s"),
-        F.coalesce(F.col("n_scores"), F.lit(0)).alias("n_scores"), "final_score", "mean_score")
+        "n_scores", "final_score", "mean_score")
 
 
 def periodic_rescoring(events: DataFrame, crm: DataFrame, period: str = "10 seconds",
@@ -107,15 +121,8 @@ def contact_attributes(events: DataFrame, at: str) -> DataFrame:
 
 def session_states(events: DataFrame, at) -> DataFrame:
     """Session rows without scores (start, end, status) as of ``at``."""
-    cl = classify_events(events, at)
-    starts = cl.filter(F.col("outcome") == "OPENED").select(
-        "call_id", "session_no", F.col("ts").alias("started_at"), "agent_id")
-    ends = cl.filter(F.col("outcome") == "CLOSED").select("call_id", "session_no", F.col("ts").alias("ended_at"))
-    last = starts.groupBy("call_id").agg(F.max("session_no").alias("_last_session"))
-    j = starts.join(ends, ["call_id", "session_no"], "left").join(last, "call_id")
-    status = (F.when(F.col("ended_at").isNotNull(), "ENDED")
-              .when(F.col("session_no") < F.col("_last_session"), "REPLACED").otherwise("ACTIVE"))
-    return j.select("call_id", "session_no", "started_at", "agent_id", "ended_at", status.alias("status"))
+    return _per_session(classify_events(events, at), scores=False).select(
+        "call_id", "session_no", "started_at", "agent_id", "ended_at", "status")
 
 
 def agent_presence(events: DataFrame, at: str) -> DataFrame:
