@@ -103,3 +103,13 @@ def test_push_by_agent(spark, scratch):
     rooms = sorted(p for p in os.listdir(os.path.join(scratch, "rooms")) if p.startswith("agent_id="))
     assert rooms == ["agent_id=a1", "agent_id=a2"]
     assert spark.read.parquet(os.path.join(scratch, "rooms", "agent_id=a1")).count() == 2
+
+
+def test_rerun_export_is_idempotent(spark, scratch):
+    df = spark.createDataFrame([(1, 80.0), (2, 20.0)], "customer_id long, risk_score double")
+    base = os.path.join(scratch, "scores")
+    W.export_risk_scores(df, base, "r1")
+    W.export_risk_scores(df, base, "r2")
+    W.export_risk_scores(df, base, "r1")                   # rerun of r1 after a failure
+    out = spark.read.parquet(base)
+    assert out.filter(F.col("run_id") == "r1").count() == 2 and out.count() == 4

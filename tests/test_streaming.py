@@ -170,3 +170,27 @@ def test_segment_stream_source(spark, scratch):
     want = TR.transcript_view(seg)
     assert got.count() == want.count() > 0
     assert got.exceptAll(want).count() == 0
+
+
+def test_session_timeout_closes_abandoned_call(spark, scratch):
+    rows1 = [(1, 7, "2024-01-01 10:00:00", "START", None, "agent-1", None, -0.9, None, None),
+             (2, 7, "2024-01-01 10:00:05", "SEGMENT", "CUSTOMER", "agent-1", None, -0.9, None, None),
+             (3, 8, "2024-01-01 10:00:00", "START", None, "agent-2", None, 0.2, None, None),
+             (4, 8, "2024-01-01 10:01:00", "END", None, "agent-2", None, 0.2, None, None)]
+    rows2 = [(5, 9, "2024-01-01 14:00:00", "START", None, "agent-3", None, 0.1, None, None)]
+    src = os.path.join(scratch, "timeout")
+    for rows in (rows1, rows2):
+        df = spark.createDataFrame(rows, "event_id long, call_id long, ts string, kind string, speaker string, "
+                                         "agent_id string, agent_sentiment double, customer_sentiment double, "
+                                         "confidence double, props string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.write.mode("append").parquet(src)
+    crm = AD.crm(spark, SF_SMALL)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = ST.session_stream(ST.score_events(stream, crm), watermark="1 hour", timeout_ms=3_600_000)
+    q = (out.writeStream.format("memory").queryName("timeout_out").outputMode("append")
+         .option("checkpointLocation", os.path.join(scratch, "ck8")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = {(r["call_id"], r["status"]): r for r in spark.table("timeout_out").collect()}
+    assert got[(8, "ENDED")]["duration_s"] == 60.0
+    assert got[(7, "TIMED_OUT")]["n_scores"] == 1
+    assert (9, "TIMED_OUT") not in got                   # still within its timeout
