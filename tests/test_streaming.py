@@ -22,7 +22,7 @@ def _write_in_time_slices(df, path, cuts):
             part = part.filter(F.col("ts") >= F.lit(lo).cast("timestamp"))
         if hi is not None:
             part = part.filter(F.col("ts") < F.lit(hi).cast("timestamp"))
-        part.write.mode("append").parquet(path)
+        part.coalesce(1).write.mode("append").parquet(path)   # one file per slice: arrival order = time order
         lo = hi
 
 
@@ -183,7 +183,7 @@ def test_session_timeout_closes_abandoned_call(spark, scratch):
         df = spark.createDataFrame(rows, "event_id long, call_id long, ts string, kind string, speaker string, "
                                          "agent_id string, agent_sentiment double, customer_sentiment double, "
                                          "confidence double, props string").withColumn("ts", F.col("ts").cast("timestamp"))
-        df.write.mode("append").parquet(src)
+        df.coalesce(1).write.mode("append").parquet(src)      # one file per arrival, in time order
     crm = AD.crm(spark, SF_SMALL)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
     out = ST.session_stream(ST.score_events(stream, crm), watermark="1 hour", timeout_ms=3_600_000)
