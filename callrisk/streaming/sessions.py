@@ -191,3 +191,41 @@ def presence_stream(events: DataFrame) -> DataFrame:
     return ctl.groupBy("agent_id").agg(
         (F.max_by("kind", F.struct("ts", "event_id")) == "START").alias("active"),
         F.max("ts").alias("last_seen"))
+
+
+CACHE_SCHEMA = "call_id long, scored_at timestamp, risk_score double, cached boolean"
+CACHE_STATE = "scored_us long, risk_score double"
+
+
+def _cache_fn(ttl_ms: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        call_id = int(key[0])
+        if state.hasTimedOut:
+            us, score = state.get
+            state.remove()
+            yield pd.DataFrame([{"call_id": call_id, "scored_at": pd.Timestamp(us, unit="us"),
+                                 "risk_score": score, "cached": False}])
+            return
+        best = state.get if state.exists else None
+        for pdf in pdfs:
+            us_col = pdf["ts"].astype("datetime64[us]").astype("int64")
+            for us, eid, score in zip(us_col, pdf["event_id"], pdf["risk_score"]):
+                if best is None or int(us) >= best[0]:
+                    best = (int(us), None if pd.isna(score) else float(score))
+        state.update(best)
+        state.setTimeoutTimestamp(best[0] // 1000 + ttl_ms)
+        yield pd.DataFrame([{"call_id": call_id, "scored_at": pd.Timestamp(best[0], unit="us"),
+                             "risk_score": best[1], "cached": True}])
+    return fn
+
+
+def score_cache_stream(scored: DataFrame, ttl_ms: int = 3_600_000, watermark: str = "10 minutes") -> DataFrame:
+    """ST-8: the latest score of each call, kept for one hour of event time:
+    each update re-arms an event-time timeout at ``scored_at + ttl``; when the
+    watermark passes it the entry is removed from state and an expiry row
+    (``cached = false``) is emitted.  State per call is one timestamp and one
+    score."""
+    seg = scored.filter(F.col("kind") == "SEGMENT").withWatermark("ts", watermark)
+    return (seg.select("call_id", "event_id", "ts", "risk_score").groupBy("call_id")
+            .applyInPandasWithState(_cache_fn(ttl_ms), CACHE_SCHEMA, CACHE_STATE, "update",
+                                    GroupStateTimeout.EventTimeTimeout))

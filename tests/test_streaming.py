@@ -194,3 +194,24 @@ def test_session_timeout_closes_abandoned_call(spark, scratch):
     assert got[(8, "ENDED")]["duration_s"] == 60.0
     assert got[(7, "TIMED_OUT")]["n_scores"] == 1
     assert (9, "TIMED_OUT") not in got                   # still within its timeout
+
+
+def test_score_cache_stream_expires_after_ttl(spark, scratch):
+    rows = [[(1, 7, "2024-01-01 10:00:00", "SEGMENT", -0.9), (2, 8, "2024-01-01 10:00:00", "SEGMENT", 0.2)],
+            [(3, 8, "2024-01-01 10:50:00", "SEGMENT", -0.2)],
+            [(4, 9, "2024-01-01 11:30:00", "SEGMENT", 0.5)]]
+    src = os.path.join(scratch, "cache")
+    for part in rows:
+        spark.createDataFrame(part, "event_id long, call_id long, ts string, kind string, customer_sentiment double") \
+            .withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(src)
+    schema = "event_id long, call_id long, ts timestamp, kind string, customer_sentiment double"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = ST.score_cache_stream(ST.score_events(stream, AD.crm(spark, SF_SMALL)))
+    q = (out.writeStream.format("memory").queryName("cache_out").outputMode("update")
+         .option("checkpointLocation", os.path.join(scratch, "ck9")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    rows_out = spark.table("cache_out").collect()
+    expired = {r["call_id"] for r in rows_out if not r["cached"]}
+    assert expired == {7}            # 10:00 + 1 h < watermark (11:30 - 10 min); call 8 was refreshed at 10:50
+    latest8 = max((r for r in rows_out if r["call_id"] == 8), key=lambda r: r["scored_at"])
+    assert str(latest8["scored_at"]).startswith("2024-01-01 10:50")
