@@ -85,7 +85,7 @@ def profile_features(df: DataFrame) -> DataFrame:
 
 
 def _opt(df: DataFrame, name: str, default) -> F.Column:
-    """A live input field with the reference's default when absent or null."""
+    """A live input field with the original's default when absent or null."""
     if name in df.columns:
         return F.coalesce(F.col(name).cast("double"), F.lit(float(default)))
     return F.lit(float(default))

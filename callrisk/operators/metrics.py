@@ -43,7 +43,7 @@ def confusion(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFr
 
 def classification_report(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     """MET-1 / MET-4 / MET-5: per class precision, recall, F1, support; macro and
-    weighted averages; accuracy.  Undefined ratios are 0 (as the reference's
+    weighted averages; accuracy.  Undefined ratios are 0 (as the original's
     report does with its zero-division default)."""
     aggs = []
     for c in (0, 1):

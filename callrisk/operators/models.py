@@ -33,7 +33,7 @@ def feature_names(df: DataFrame, key: str = S.ID_COL, label: str = "label",
 
 
 def assemble(df: DataFrame, features: list[str], key: str = S.ID_COL, label: str = "label") -> DataFrame:
-    """(key, label, features vector); nulls become 0 first (the reference's
+    """(key, label, features vector); nulls become 0 first (the original's
     final zero fill), so no row is dropped."""
     filled = df.select(key, F.col(label).cast("double").alias("label"),
                        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
@@ -46,7 +46,7 @@ def with_split(df: DataFrame, key: str = S.ID_COL) -> DataFrame:
 
 
 def boosted(params: dict | None = None, **over) -> GBTClassifier:
-    """ML-3: boosted trees with the reference defaults (100 trees, depth 6, lr 0.1,
+    """ML-3: boosted trees with the original defaults (100 trees, depth 6, lr 0.1,
     row and column subsampling 0.8, seed 42)."""
     p = dict(S.BOOSTED_PARAMS, cacheNodeIds=True)
     p.update(params or {})

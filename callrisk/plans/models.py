@@ -137,7 +137,7 @@ _REGISTRY: dict = {}   # fitted artefacts of this application, by (application,
 
 
 def _memo(spark, d, name, build):
-    """Train once per application and data set, then reuse (the reference
+    """Train once per application and data set, then reuse (the original
     trains, saves, and loads the saved model for scoring)."""
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _REGISTRY:
@@ -157,7 +157,7 @@ def model_frame(spark, d):
 
 
 def boosted_model(spark, d):
-    """ML-3 fitted on the training customers (reference parameters)."""
+    """ML-3 fitted on the training customers (original parameters)."""
     frame, _ = model_frame(spark, d)
     return _memo(spark, d, "boosted", lambda: MD.boosted().fit(frame.filter(~F.col("is_test"))))
 
