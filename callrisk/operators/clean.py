@@ -102,6 +102,13 @@ def split_valid(df: DataFrame, required=("call_id", "customer_id", "agent_id"))
     return valid, quarantine
 
 
+def split_null_keys(df: DataFrame, key: str = S.ID_COL) -> tuple[DataFrame, DataFrame]:
+    """T9: rows without a customer key are never imputed or grouped; they are
+    split off to a quarantine with a reason (the rollup drops them, T8)."""
+    ok = F.col(key).isNotNull()
+    return df.filter(ok), df.filter(~ok).withColumn("reason", F.lit(f"missing: {key}"))
+
+
 # -- imputation (IMP-1..4) ----------------------------------------------------------------
 
 def _null_counts(df: DataFrame, cols: list[str]) -> dict:

@@ -16,6 +16,14 @@ from pyspark.sql import functions as F
 
 
 
+def to_original_names(df: DataFrame, names: dict | None = None) -> DataFrame:
+    """Exports carry the original column headers (e.g. the Japanese ones of the
+    call table); physical names stay ASCII inside the engine."""
+    from .. import schema as S
+    m = names or S.ORIGINAL_NAMES
+    return df.select(*[F.col(c).alias(m.get(c, c)) for c in df.columns])
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by=None, header: bool = True) -> str:
     """SNK-1 / SNK-4 / SNK-10: a table to parquet or CSV (header row)."""

@@ -113,3 +113,16 @@ def test_rerun_export_is_idempotent(spark, scratch):
     W.export_risk_scores(df, base, "r1")                   # rerun of r1 after a failure
     out = spark.read.parquet(base)
     assert out.filter(F.col("run_id") == "r1").count() == 2 and out.count() == 4
+
+
+def test_original_headers_and_key_quarantine(spark, scratch):
+    from callrisk.operators import clean as C
+    df = spark.createDataFrame([(1, "未払", 3.0), (None, "支払済", 4.0)],
+                               "record_no long, unpaid_flag string, days_call_to_contract double")
+    ok, bad = C.split_null_keys(df)
+    assert ok.count() == 1 and bad.first()["reason"] == "missing: record_no"
+    out = W.to_original_names(ok)
+    assert out.columns == ["レコード番号", "未払FLAG", "電話日-成約日"]
+    p = W.write_table(out, os.path.join(scratch, "orig.csv"), "csv")
+    back = spark.read.option("header", True).csv(p)
+    assert back.columns == ["レコード番号", "未払FLAG", "電話日-成約日"]
