@@ -126,3 +126,17 @@ WHERE next_ts IS NULL OR (epoch_us(next_ts) - epoch_us(ts)) / 1000.0 >= 500""")
 def q_debounced_events(spark, d):
     """ST-10: last event of every burst (next event of the call 500 ms or more later)."""
     return SE.debounce(AD.snapshots(spark, d))
+
+
+@register("recent_scores", _sessions_cte(None) + """
+SELECT call_id, event_id, ts, round(risk_score * (1 + 1e-12), 6) + 0.0 AS risk_score, pos FROM (
+  SELECT call_id, event_id, ts, risk_score,
+         row_number() OVER (PARTITION BY call_id ORDER BY ts DESC, event_id DESC) AS pos FROM sc)
+WHERE pos <= 10""")
+def q_recent_scores(spark, d):
+    """TOP-4 (score widget): the last ten scores pushed for each call, pos 1 = newest."""
+    from ..functions.ranking import rank_within
+    sc = SE.scored_events(SE.classify_events(AD.snapshots(spark, d)), AD.crm(spark, d))
+    r = rank_within(sc.select("call_id", "event_id", "ts", "risk_score"), ["call_id"],
+                    [F.col("ts").desc(), F.col("event_id").desc()], out="pos")
+    return r6(r.filter(F.col("pos") <= 10).select("call_id", "event_id", "ts", "risk_score", "pos"))
