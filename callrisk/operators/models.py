@@ -135,9 +135,7 @@ def tune_or_fallback(frame: DataFrame, estimator, grid: dict, folds: int = 5, pa
         best = {p.name: v for p, v in cv.bestModel.extractParamMap().items() if p.name in grid}
         return cv.bestModel, best, True
     except Exception:  # noqa: BLE001 - the original falls back to fixed parameters
-        est = estimator.copy()
-        for k, v in FALLBACK_PARAMS.items():
-            est = est.set(est.getParam(k), v)
+        est = estimator.copy({estimator.getParam(k): v for k, v in FALLBACK_PARAMS.items()})
         return est.fit(frame), dict(FALLBACK_PARAMS), False
 
 

@@ -15,15 +15,25 @@ from xml.etree import ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """SRC-3: a processed table in CSV with a header, under a declared schema."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, header_map: dict | None = None) -> DataFrame:
+    """SRC-3: a processed table in CSV with a header, under a declared schema.
+    With ``header_map`` (original -> physical name) the file's own headers are
+    used and renamed, so files carrying the original (Japanese) headers load
+    into the ASCII physical schema."""
+    if not header_map:
+        return spark.read.schema(schema).option("header", True).csv(path)
+    st = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
+    raw = spark.read.option("header", True).csv(path)
+    named = raw.select(*[F.col(f"`{c}`").alias(header_map.get(c, c)) for c in raw.columns])
+    return named.select(*[(named[f.name].try_cast(f.dataType) if f.name in named.columns
+                           else F.lit(None).cast(f.dataType)).alias(f.name) for f in st.fields])
 
 
 def _col_index(ref: str) -> int:
@@ -97,8 +107,23 @@ def read_workbooks(spark: SparkSession, path: str, schema: T.StructType, header_
 
     files = spark.read.format("binaryFile").load(path).select("content")
     raw = files.mapInPandas(parse, str_schema)
-    return raw.select(*[raw[f.name].try_cast(f.dataType).alias(f.name) if not isinstance(f.dataType, T.StringType)
-                        else raw[f.name] for f in schema.fields])
+    return raw.select(*[_typed(raw[f.name], f.dataType).alias(f.name) for f in schema.fields])
+
+
+EXCEL_EPOCH_UNIX_DAYS = 25569     # fixed value: day 0 of workbook date serials is 1899-12-30
+
+
+def _typed(c, dtype):
+    """Text cell -> declared type; timestamps accept text or a workbook date
+    serial (days since 1899-12-30, fraction = time of day)."""
+    if isinstance(dtype, T.StringType):
+        return c
+    if isinstance(dtype, (T.TimestampType, T.DateType)):
+        serial = c.try_cast("double")
+        from_serial = F.timestamp_micros(((serial - EXCEL_EPOCH_UNIX_DAYS) * 86400 * 1_000_000).cast("long"))
+        ts = F.coalesce(F.when(serial.isNotNull(), from_serial), F.try_to_timestamp(c))
+        return ts.cast(dtype)
+    return c.try_cast(dtype)
 
 
 def _text(v) -> str:

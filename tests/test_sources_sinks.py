@@ -126,3 +126,30 @@ def test_original_headers_and_key_quarantine(spark, scratch):
     p = W.write_table(out, os.path.join(scratch, "orig.csv"), "csv")
     back = spark.read.option("header", True).csv(p)
     assert back.columns == ["レコード番号", "未払FLAG", "電話日-成約日"]
+
+
+def test_workbook_date_serials_and_csv_original_headers(spark, scratch):
+    d = os.path.join(scratch, "wb")
+    os.makedirs(d)
+    with open(os.path.join(d, "c.xlsx"), "wb") as f:          # 45292.5 = 2024-01-01 12:00
+        f.write(_xlsx([["レコード番号", "開始タイムスタンプjst"], [1, 45292.5], [2, "2024-01-02 08:30:00"]]))
+    schema = T.StructType([T.StructField("record_no", T.LongType()), T.StructField("start_ts", T.TimestampType())])
+    inv = {v: k for k, v in S.ORIGINAL_NAMES.items()}
+    got = {r["record_no"]: str(r["start_ts"]) for r in FS.read_workbooks(spark, d, schema, inv).collect()}
+    assert got == {1: "2024-01-01 12:00:00", 2: "2024-01-02 08:30:00"}
+    p = os.path.join(scratch, "orig.csv")
+    W.write_table(W.to_original_names(spark.createDataFrame([(5, "未払")], "record_no long, unpaid_flag string")),
+                  p, "csv")
+    back = FS.read_csv(spark, p, "record_no long, unpaid_flag string, agent string", inv).first()
+    assert (back["record_no"], back["unpaid_flag"], back["agent"]) == (5, "未払", None)
+
+
+def test_grid_switch_and_fallback(spark):
+    from callrisk.operators import models as MD
+    assert MD.choose_grid(50) == MD.SMALL_GRID
+    assert len(MD.choose_grid(5000)) == 6                                  # the 216-point grid
+    df = spark.range(0, 60).select(F.col("id").alias("record_no"), (F.col("id") % 5).cast("double").alias("x"),
+                                   (F.col("id") % 2).cast("int").alias("label"))
+    frame = MD.with_split(MD.assemble(df, ["x"]))
+    model, best, searched = MD.tune_or_fallback(frame, MD.boosted(maxIter=2), {"maxDepth": [-1]}, folds=2)
+    assert not searched and best == MD.FALLBACK_PARAMS and model is not None
