@@ -124,3 +124,51 @@ def q_summary_report(spark, d):
            .join(w.withColumn("_k", one), "_k").drop("_k"))
     return r6(out.select(F.lit(REF_TIME).cast("timestamp").alias("generated_at"), "customers_scored",
                          "high_risk_customers", "accuracy", "roc_auc", "precision", "recall", "f1"))
+
+
+@register("customer_cards", with_views("crm") + """
+SELECT customer_id, name, '¥' || format('{:,.0f}', account_balance) AS balance_text,
+       CAST(previous_calls AS VARCHAR) || '回' AS previous_calls_text
+FROM crm""")
+def q_customer_cards(spark, d):
+    """Mobile customer card fields: money with separators, call count text."""
+    from ..functions import text as TX
+    c = AD.crm(spark, d)
+    return c.select("customer_id", "name", TX.yen("account_balance").alias("balance_text"),
+                    TX.times("previous_calls").alias("previous_calls_text"))
+
+
+@register("call_codes", with_views("snapshots") + """
+SELECT event_id,
+       'CALL-' || strftime(ts, '%Y%m%d-%H%M%S') || '-' ||
+         CAST(1000 + CAST('0x' || substr(md5('42|' || CAST(call_id AS VARCHAR)), 1, 8) AS UBIGINT) % 9000 AS VARCHAR)
+         AS call_code,
+       strftime(timezone('Asia/Tokyo', timezone('UTC', ts)), '%Y年%m月%d日') AS start_date_jst,
+       strftime(timezone('Asia/Tokyo', timezone('UTC', ts)), '%H時%M分') AS start_time_jst
+FROM snapshots WHERE kind = 'START'""")
+def q_call_codes(spark, d):
+    """Call codes of every call start (deterministic digits) with the start
+    date and time in Japan time."""
+    from ..functions import text as TX
+    s = AD.snapshots(spark, d).filter(F.col("kind") == "START")
+    return s.select("event_id", TX.call_code("ts", "call_id").alias("call_code"),
+                    TX.jst_date("ts").alias("start_date_jst"), TX.jst_time("ts").alias("start_time_jst"))
+
+
+def _metric_display_sql():
+    names = ("accuracy", "precision", "recall", "f1", "roc_auc")
+    rows = [f"SELECT '{n.replace('_', ' ').title()}' AS Metric, printf('%.4f', {n}) AS Value FROM summary"
+            for n in names]
+    return "WITH summary AS (" + _summary_sql() + ")\n" + "\nUNION ALL ".join(rows)
+
+
+@register("metric_display", _metric_display_sql())
+def q_metric_display(spark, d):
+    """The classification-metric table as displayed: title-cased names and
+    4-digit values, for the rule model's run summary."""
+    from ..functions import text as TX
+    s = q_summary_report(spark, d)
+    names = ["accuracy", "precision", "recall", "f1", "roc_auc"]
+    long = s.select(F.inline(F.array(*[F.struct(F.lit(n).alias("m"), F.col(n).cast("double").alias("v"))
+                                       for n in names])))
+    return long.select(TX.metric_title("m").alias("Metric"), TX.fixed("v", 4).alias("Value"))
