@@ -22,9 +22,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # checkpoint files of unreachable DataFrames are removed (rank jobs and
-    # materialized inputs would otherwise pile up in the shared folder)
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # keyed stream state (call sessions, buffers, caches) lives off-heap in RocksDB
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
