@@ -119,6 +119,19 @@ def contact_attributes(events: DataFrame, at: str) -> DataFrame:
                       F.lit(True).alias("customer_connected"))
 
 
+def attribute_updates(events: DataFrame) -> DataFrame:
+    """ST-6 (per update): on every accepted live update of an open session, the
+    contact attributes at that instant: queue and talk time in total seconds
+    since the session start, no hold time, both sides connected."""
+    cl = classify_events(events)
+    per = _per_session(cl, scores=False).select("call_id", "session_no", "started_at")
+    upd = cl.filter(F.col("outcome") == "SCORED").select("call_id", "session_no", "event_id", "ts")
+    j = upd.join(per, ["call_id", "session_no"])
+    secs = elapsed_seconds("ts", "started_at")
+    return j.select("call_id", "session_no", "event_id", F.col("ts").alias("as_of"), secs.alias("queue_time"),
+                    secs.alias("talk_time"), F.lit(0).alias("hold_time"))
+
+
 def session_states(events: DataFrame, at) -> DataFrame:
     """Session rows without scores (start, end, status) as of ``at``."""
     return _per_session(classify_events(events, at), scores=False).select(

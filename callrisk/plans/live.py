@@ -140,3 +140,14 @@ def q_recent_scores(spark, d):
     r = rank_within(sc.select("call_id", "event_id", "ts", "risk_score"), ["call_id"],
                     [F.col("ts").desc(), F.col("event_id").desc()], out="pos")
     return r6(r.filter(F.col("pos") <= 10).select("call_id", "event_id", "ts", "risk_score", "pos"))
+
+
+@register("attribute_updates", _sessions_cte(None) + """
+SELECT c.call_id, c.session_no, c.event_id, c.ts AS as_of,
+       round(((epoch_us(c.ts) - epoch_us(st.started_at)) / 1e6) * (1 + 1e-12), 6) + 0.0 AS queue_time,
+       round(((epoch_us(c.ts) - epoch_us(st.started_at)) / 1e6) * (1 + 1e-12), 6) + 0.0 AS talk_time,
+       0 AS hold_time
+FROM cl c JOIN st USING (call_id, session_no) WHERE c.outcome = 'SCORED'""")
+def q_attribute_updates(spark, d):
+    """ST-6: contact attributes refreshed on every live update of an open call."""
+    return r6(SE.attribute_updates(AD.snapshots(spark, d)))

@@ -229,3 +229,38 @@ def score_cache_stream(scored: DataFrame, ttl_ms: int = 3_600_000, watermark: st
     return (seg.select("call_id", "event_id", "ts", "risk_score").groupBy("call_id")
             .applyInPandasWithState(_cache_fn(ttl_ms), CACHE_SCHEMA, CACHE_STATE, "update",
                                     GroupStateTimeout.EventTimeTimeout))
+
+
+ATTR_SCHEMA = ("call_id long, session_no long, event_id long, as_of timestamp, queue_time double, "
+               "talk_time double, hold_time int")
+ATTR_STATE = "open boolean, session_no long, started_us long"
+
+
+def _attr_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    call_id = int(key[0])
+    is_open, session_no, started = state.get if state.exists else (False, 0, 0)
+    ev = pd.concat(list(pdfs), ignore_index=True)
+    ev["_us"] = ev["ts"].astype("datetime64[us]").astype("int64")
+    ev = ev.sort_values(["_us", "event_id"], kind="mergesort")
+    out = []
+    for kind, us, eid in zip(ev["kind"], ev["_us"], ev["event_id"]):
+        if kind == "START":
+            is_open, session_no, started = True, session_no + 1, int(us)
+        elif kind == "END":
+            is_open = False
+        elif is_open:
+            secs = (int(us) - started) / 1e6
+            out.append({"call_id": call_id, "session_no": session_no, "event_id": int(eid),
+                        "as_of": pd.Timestamp(int(us), unit="us"), "queue_time": secs, "talk_time": secs,
+                        "hold_time": 0})
+    state.update((is_open, session_no, started))
+    yield pd.DataFrame(out, columns=[c.split()[0] for c in ATTR_SCHEMA.split(", ")])
+
+
+def attribute_stream(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """ST-6: contact attributes on every live update of an open call (with a
+    processing-time trigger of 5 s this is the 5-second refresh); state per
+    call is the open flag, session number and start."""
+    return (events.withWatermark("ts", watermark).select("call_id", "event_id", "ts", "kind")
+            .groupBy("call_id")
+            .applyInPandasWithState(_attr_fn, ATTR_SCHEMA, ATTR_STATE, "append", GroupStateTimeout.NoTimeout))

@@ -20,7 +20,7 @@ def test_entry_smoke(spark):
 def test_registry_shape():
     qs, orc = E.queries(), E.oracle_sql()
     assert set(orc) <= set(qs)
-    assert len(qs) >= 89
+    assert len(qs) >= 90
     assert not [n for n in qs if n.startswith("op") or "pipeline" in n]
 
 

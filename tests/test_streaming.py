@@ -215,3 +215,17 @@ def test_score_cache_stream_expires_after_ttl(spark, scratch):
     assert expired == {7}            # 10:00 + 1 h < watermark (11:30 - 10 min); call 8 was refreshed at 10:50
     latest8 = max((r for r in rows_out if r["call_id"] == 8), key=lambda r: r["scored_at"])
     assert str(latest8["scored_at"]).startswith("2024-01-01 10:50")
+
+
+def test_attribute_stream_equals_batch(spark, scratch):
+    snaps = AD.snapshots(spark, SF_SMALL)
+    src = os.path.join(scratch, "attr")
+    _write_in_time_slices(snaps, src, ["2024-01-10", "2024-01-20"])
+    stream = spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (ST.attribute_stream(stream).writeStream.format("memory").queryName("attr_out")
+         .option("checkpointLocation", os.path.join(scratch, "ck10")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = spark.table("attr_out")
+    want = SE.attribute_updates(snaps)
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == 0
