@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 #: Text bytes handled at once by the vectorised passes (a longer document is one piece).
 PIECE_BYTES = 4 << 20
 #: Rows per Arrow batch: keeps a batch of very long texts small in the Python worker.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 
 _RNG = np.random.default_rng(20240229)
 #: Random 64-bit value of each byte, and the odd base, of the polynomial range hash.

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe_codec, token_counts
+from . import bpe_codec, inverted_index, simhash, token_counts, token_files
+from .tasks import shared_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -35,3 +36,37 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def codec_digest(coded: DataFrame) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "op2_token_files")
+    token_files.write(read_table(spark, sf_dir, "documents"), folder,
+                      public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read(spark, folder).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Exact phrases of 10 words; item ids as a digest of their text order."""
+    index = inverted_index.build_index(docs)
+    found = inverted_index.report(index, inverted_index.search(index, items, window=10))
+    ids = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(read_table(spark, sf_dir, "documents"))
+
+
+def simhash_groups(docs: DataFrame) -> DataFrame:
+    found = simhash.near_duplicates(docs, shingle=4, radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
-from .arrays import bound_batches
+from .arrays import PIECE_BYTES, bound_batches
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder name inside the session's shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -20,7 +25,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: what follows reads committed files, also after an executor is lost.
     The folder belongs to the session's checkpoint folder and goes with it.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -31,14 +36,36 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def map_arrow(df: DataFrame, fn: Callable, fields: list[tuple[str, T.DataType | str]]) -> DataFrame:
-    """``mapInArrow`` with ``fn(RecordBatch) -> iterator of dict(name -> array)``."""
+def _gathered(batches, limit=PIECE_BYTES):
+    """Join small batches to about one piece of text, so that vectorised passes have enough rows."""
+    kept, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            kept.append(batch)
+            size += batch.nbytes
+        if size >= limit:
+            yield kept[0] if len(kept) == 1 else _joined(kept)
+            kept, size = [], 0
+    if kept:
+        yield _joined(kept)
+
+
+def _joined(batches):
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def map_arrow(df: DataFrame, fn: Callable, fields: list[tuple[str, T.DataType | str]],
+              gather: int | None = PIECE_BYTES) -> DataFrame:
+    """``mapInArrow`` with ``fn(RecordBatch) -> iterator of dict(name -> array)``.
+
+    Batches are joined up to ``gather`` bytes first; None takes them as they come.
+    """
     schema = T.StructType([T.StructField(n, T._parse_datatype_string(t) if isinstance(t, str) else t)
                            for n, t in fields])
     names = [n for n, _ in fields]
 
     def run(batches):
-        for batch in batches:
+        for batch in (batches if gather is None else _gathered(batches, gather)):
             for made in fn(batch):
                 yield pa.RecordBatch.from_arrays(
                     [x if isinstance(x, pa.Array) else pa.array(x) for x in (made[n] for n in names)],
