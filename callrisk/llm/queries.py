@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe_codec, inverted_index, simhash, token_counts, token_files
-from .tasks import shared_path
+from . import (bpe_codec, inverted_index, knn_quality, line_dedup, minhash, simhash, token_counts,
+               token_files)
+from .oracles import ORACLE  # noqa: F401
+from .tasks import held_out, shared_path
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(fn):
@@ -70,3 +71,34 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_groups(docs: DataFrame) -> DataFrame:
     found = simhash.near_duplicates(docs, shingle=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUALITY_THRESHOLD = 0.3
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> knn_quality.Model:
+    """Learned from the labelled rows whose id's crc32 mod 5 is not 0."""
+    return knn_quality.fit(docs, labels, "quality", train=~held_out(F.col("doc_id"), 0))
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality_model(docs, read_table(spark, sf_dir, "labels"))
+    return knn_quality.score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id"), 0).alias("held_out"), "score",
+        F.when(F.col("score") >= QUALITY_THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_fingerprints(read_table(spark, sf_dir, "documents"), shingle=5)
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), min_chars=10))
+
+
+def line_digest(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))

@@ -92,3 +92,19 @@ def binary(offsets, body) -> pa.Array:
         return pa.Array.from_buffers(pa.binary(), len(offsets) - 1,
                                      [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(body)])
     raise ValueError("a batch holds more than 2 GB of bytes")
+
+
+def id_bounds(docs: DataFrame, n: int) -> list:
+    """Least ids of the second to last of up to n ranges of about equal size of the ``id`` column;
+    only ids are sorted."""
+    ranged = docs.select("id").where(F.col("id").isNotNull()).repartitionByRange(n, "id")
+    found = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("id")).collect()
+    return sorted(r["id"] for r in found)[1:]
+
+
+def range_of(id_col: Column, bounds: list) -> Column:
+    """Number of the range an id falls in: 0, 1, ...; -1 for null."""
+    if not bounds:
+        return F.when(id_col.isNull(), -1).otherwise(0)
+    below = F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= id_col)
+    return F.when(id_col.isNull(), -1).otherwise(F.size(below))
