@@ -36,7 +36,7 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _gathered(batches, limit=PIECE_BYTES):
+def gathered(batches, limit=PIECE_BYTES):
     """Join small batches to about one piece of text, so that vectorised passes have enough rows."""
     kept, size = [], 0
     for batch in batches:
@@ -65,7 +65,7 @@ def map_arrow(df: DataFrame, fn: Callable, fields: list[tuple[str, T.DataType |
     names = [n for n, _ in fields]
 
     def run(batches):
-        for batch in (batches if gather is None else _gathered(batches, gather)):
+        for batch in (batches if gather is None else gathered(batches, gather)):
             for made in fn(batch):
                 yield pa.RecordBatch.from_arrays(
                     [x if isinstance(x, pa.Array) else pa.array(x) for x in (made[n] for n in names)],
