@@ -8,13 +8,14 @@ is needed on the hot path.  Null text counts as empty text everywhere.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Text bytes handled at once by the vectorised passes (a longer document is one piece).
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 #: Rows per Arrow batch: keeps a batch of very long texts small in the Python worker.
 BATCH_ROWS = 256
 
@@ -33,6 +34,18 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Rows per Arrow batch while the block's jobs run (rows of whole shards are megabytes each)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes (uint8) and row offsets (int64, n + 1) of a string or binary column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

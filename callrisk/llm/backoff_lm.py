@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .arrays import NOT_SPACE, RangeHash, ascii_lower, bound_batches, mix, offsets_of, pieces, utf8, word_ranges
+from .arrays import (NOT_SPACE, RangeHash, ascii_lower, batch_rows, bound_batches, mix, offsets_of, pieces, utf8,
+                     word_ranges)
 from .tasks import gathered, written
 
 ORDER = 2
@@ -121,8 +122,15 @@ def score(df: DataFrame, train, order: int = ORDER, id_col: str = "doc_id", text
 
     ``train``: boolean column of ``df``, true for documents to learn from.
     """
-    bits = exchange.bucket_bits(df.sparkSession)
     table = exchange.ShardTable(_state(df, id_col, text_col, train))
+    with batch_rows(df.sparkSession, 2):
+        out = _scored(df, table, order, id_col)
+    table.drop()
+    return out
+
+
+def _scored(df: DataFrame, table: exchange.ShardTable, order: int, id_col: str) -> DataFrame:
+    bits = exchange.bucket_bits(df.sparkSession)
 
     def ask_grams(batches):
         for row in _rows(batches):
@@ -176,9 +184,7 @@ def score(df: DataFrame, train, order: int = ORDER, id_col: str = "doc_id", text
         "shard", "ids", "train", "lengths", "words", "tokens", "grams", "histories")
     out = whole.mapInArrow(traverse, f"{id_col} {kind.simpleString()}, train boolean, n_tokens long, n_known long, "
                                      "train_tokens long, base_score double, score double")
-    out = written(out, "lm-scores")
-    table.drop()
-    return out
+    return written(out, "lm-scores")
 
 
 def automaton(shard: Shard, grams, histories, order: int, totals: int, types: int):

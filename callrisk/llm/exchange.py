@@ -40,11 +40,27 @@ def unpack(body: bytes, dtype=np.uint64) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(body), dtype)
 
 
+def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order (a key is a number, or a row of numbers ordered column by column), the
+    first index of each, and for each input key its place among them."""
+    if keys.ndim == 1:
+        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        return distinct, first, which.reshape(-1)
+    order = np.lexsort(keys.T[::-1])
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (ranked[1:] != ranked[:-1]).any(axis=1)
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], which
+
+
 def request(shard: int, level: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> list[dict]:
-    """Rows for one shard: ``keys`` sorted and distinct, ``counts`` one row of sums per key."""
-    cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    """Rows for one shard: ``keys`` in order and distinct, ``counts`` one row of sums per key."""
+    top = keys if keys.ndim == 1 else keys[:, 0]
+    cuts = np.searchsorted(top, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
     cuts = np.concatenate([[0], cuts, [len(keys)]])
-    counts = counts.reshape(len(keys), -1).astype(np.int64)
+    counts = np.asarray(counts, np.int64)
     return [{"shard": shard, "level": level, "bucket": b, "keys": keys[x:y].tobytes(), "counts": pack(counts[x:y])}
             for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
 
@@ -55,7 +71,7 @@ def rows(made: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(made, schema=pa.schema(kinds))
 
 
-def summed(requests: DataFrame, extra: str = "") -> DataFrame:
+def summed(requests: DataFrame, extra: str = "", width: int = 1) -> DataFrame:
     """The answers: for each requested key the corpus-wide sums of its counts, and as a last column
     ``extra`` = "first": 1 in the one shard that counts the key as its own (the first with a count), else
     0; "rank": the key's place in the order of all keys of its level.
@@ -67,11 +83,11 @@ def summed(requests: DataFrame, extra: str = "") -> DataFrame:
         order = np.argsort(table.column("shard").to_numpy(), kind="stable")
         table = table.take(pa.array(order))
         keys = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
-        size = [len(k) for k in keys]
+        size = [len(k) // width for k in keys]
         counts = np.concatenate([unpack(x.as_py(), np.int64) for x in table.column("counts")])
-        distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+        keys = np.concatenate(keys)
+        distinct, _, which = distinct_keys(keys if width == 1 else keys.reshape(-1, width))
         del keys
-        which = which.reshape(-1)
         counts = counts.reshape(len(which), -1)
         total = np.zeros((len(distinct), counts.shape[1]), np.int64)
         np.add.at(total, which, counts)
@@ -84,7 +100,7 @@ def summed(requests: DataFrame, extra: str = "") -> DataFrame:
             own[first[first < len(which)]] = 1
             columns.append(own[:, None])
         elif extra == "rank":
-            columns.append((which + (bucket << 32))[:, None])
+            columns.append(np.where(total[which, 0] > 1, which + (bucket << 32) + 1, 0)[:, None])
         answer = np.split(np.concatenate(columns, axis=1), np.cumsum(size)[:-1])
         n = np.zeros(len(size), np.int64)
         n[0] = int((total[:, 0] > 0).sum())

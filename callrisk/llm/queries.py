@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import (backoff_lm, bpe_codec, inverted_index, knn_quality, line_dedup, minhash, simhash, token_counts,
+from . import (backoff_lm, bpe_codec, bwt_dedup, inverted_index, knn_quality, line_dedup, minhash, simhash, token_counts,
                token_files)
 from .oracles import ORACLE  # noqa: F401
 from .tasks import held_out, shared_path
@@ -109,3 +109,12 @@ def op6_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = backoff_lm.score(read_table(spark, sf_dir, "documents"), ~held_out(F.col("doc_id"), 1))
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
                         "base_score", "score")
+
+
+@query
+def op1_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_digest(bwt_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), length=400))
+
+
+def repeats_digest(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
