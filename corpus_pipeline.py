@@ -1,17 +1,83 @@
-"""Training-corpus pipeline: the stages in order, each reading what its predecessor kept."""
+"""Training-corpus pipeline: five stages, each working on all that its predecessor kept.
+
+quality -> line dedup -> SimHash near-dedup -> benchmark decontamination -> byte-level BPE.  A stage takes
+(spark, docs, sf_dir) and returns the documents it keeps, with the columns of ``documents``; the last
+returns the encoded documents.  Rows are numbered inside the stages that drop documents, so rows with null
+or repeated ids are judged one by one.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from callrisk.llm import bpe_codec, inverted_index, knn_quality, line_dedup, queries, simhash
+from callrisk.llm.tasks import written
+from callrisk.sources.tables import read_table
 
-STAGES: list = []
+#: No SQL can express the votes and the fingerprints; tests check every stage by brute force.
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from callrisk.sources.tables import read_table
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a row number that stays the same in every later read."""
+    return written(docs.withColumn("row_number", F.monotonically_increasing_id()), "numbered")
+
+
+def _chosen(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    return docs.join(rows, "row_number", how).drop("row_number")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the nearest labelled ones vote for."""
+    model = queries.quality_model(docs, read_table(spark, sf_dir, "labels"))
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    scored = knn_quality.score(docs, model, keep=rest)
+    return scored.where(F.col("score") >= queries.QUALITY_THRESHOLD).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines that an earlier document holds; the text and its length change, no document goes."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    return line_dedup.dedup_lines(docs, min_chars=10, keep=rest) \
+        .withColumn("text", F.col("kept")).withColumn("n_chars", F.char_length("kept").cast("long")) \
+        .select(*docs.columns)
+
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the least id of each group of near-duplicates (null ids come last)."""
+    rows = _numbered(docs)
+    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_number").alias("key"), "text")
+    groups = simhash.near_duplicates(keyed, shingle=4, radius=4, id_col="key")
+    first = groups.where(F.col("key.row_number") == F.col("component_id.row_number"))
+    return _chosen(rows, first.select(F.col("key.row_number").alias("row_number")), "left_semi")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold ten consecutive words of a benchmark item."""
+    rows = _numbered(docs)
+    index = inverted_index.build_index(rows, id_col="row_number")
+    found = inverted_index.search(index, read_table(spark, sf_dir, "benchmark"), window=10)
+    hit = inverted_index.report(index, found, "row_number").where("n_hit > 0").select("row_number")
+    return _chosen(rows, hit, "left_anti")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the digests of ids and decoded bytes."""
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe_codec.decode(bpe_codec.encode(docs, vocabulary), vocabulary)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+
+
+STAGES = [("quality", quality), ("line_dedup", lines), ("simhash", near_duplicates),
+          ("decontamination", decontaminate), ("bpe", encode)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; every stage but the last is written and read again."""
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
