@@ -118,16 +118,17 @@ def _null_counts(df: DataFrame, cols: list[str]) -> dict:
     return row.asDict()
 
 
-def median_fill(df: DataFrame, cols=None, exclude=(S.ID_COL, S.TARGET_COL), materialize: bool = True,
+def median_fill(df: DataFrame, cols=None, exclude=(S.ID_COL, S.TARGET_COL), materialize: bool = False,
                 approx_accuracy: int | None = None) -> DataFrame:
     """Fill nulls of numeric columns with the exact global median.
 
     Key and target are never imputed.  Integral columns that hold nulls become
     double (as an integer column with missing values is float in pandas).  One
     pass counts nulls; the exact medians come from the distributed rank job
-    (no single-task percentile buffer).  The input is materialized once in the
-    shared checkpoint folder first, so the several passes read it instead of
-    recomputing its plan (``materialize=False`` for inputs that are plain scans).
+    (no single-task percentile buffer) and enter the plan as one value per column,
+    so later projections and filters still reach the scans.  ``materialize`` first
+    writes the input to the shared checkpoint folder, for inputs that are dear to
+    compute several times.
     ``approx_accuracy`` switches to ``percentile_approx`` (one pass, a bounded
     sketch per task, rank error about n / accuracy) as an explicit opt-in.
     """
@@ -165,9 +166,9 @@ def mode_fill(df: DataFrame, cols=None, exclude=(S.ID_COL, S.TARGET_COL), defaul
     return df.fillna({c: (modes.get(c) if modes.get(c) is not None else default) for c in todo})
 
 
-def mean_fill(df: DataFrame, cols=None, exclude=(S.ID_COL, S.TARGET_COL), materialize: bool = True) -> DataFrame:
+def mean_fill(df: DataFrame, cols=None, exclude=(S.ID_COL, S.TARGET_COL), materialize: bool = False) -> DataFrame:
     """Fill nulls with the column mean (one aggregate pass); all-null columns stay
-    null.  The input is materialized first (two passes read it)."""
+    null.  The means enter the plan as one value per column."""
     cols = list(cols) if cols is not None else numeric_columns(df, exclude)
     if not cols:
         return df

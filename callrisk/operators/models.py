@@ -25,6 +25,7 @@ from .. import schema as S
 from ..functions import hashing as H
 from ..functions.ranking import auc_from_scores
 from .clean import numeric_columns
+from .metrics import split_columns
 
 
 def feature_names(df: DataFrame, key: str = S.ID_COL, label: str = "label",
@@ -42,7 +43,10 @@ def assemble(df: DataFrame, features: list[str], key: str = S.ID_COL, label: str
 
 
 def with_split(df: DataFrame, key: str = S.ID_COL) -> DataFrame:
-    return df.withColumn("is_test", H.is_test_row(key)).withColumn("fold", H.fold_of(key))
+    """ML-1: stratified test split of exact size (first 20 % of each class in hash order) and hash folds."""
+    sides = split_columns(df.select(key, "label"), key, "label") \
+        .select(F.col(key).alias("_key"), F.col("is_test_exact").alias("is_test"), "fold")
+    return df.join(sides, F.col(key) == F.col("_key")).drop("_key")
 
 
 def boosted(params: dict | None = None, **over) -> GBTClassifier:
@@ -88,12 +92,13 @@ def select_by_median_importance(imp: list[tuple[str, float]]) -> list[str]:
 def cross_validated_auc(frame: DataFrame, estimator, folds: int = 5) -> list[float]:
     """ML-8: hash folds on the training rows; fit on the other folds, exact AUC on
     the held-out fold."""
-    out = []
+    out, kept = [], persist(frame)
     for k in range(folds):
-        tr = frame.filter(F.col("fold") != k)
-        te = frame.filter(F.col("fold") == k)
+        tr = kept.filter(F.col("fold") != k)
+        te = kept.filter(F.col("fold") == k)
         scored = p_default(estimator.fit(tr).transform(te))
         out.append(auc_from_scores(scored, "label", "p_default").first()["auc"])
+    kept.unpersist()
     return out
 
 
@@ -106,8 +111,7 @@ def grid_search(frame: DataFrame, estimator, grid: dict, folds: int = 3, paralle
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=b.build(),
                         evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
                         numFolds=folds, foldCol="cv_fold", parallelism=parallelism, seed=S.SPLIT_SEED)
-    data = frame.withColumn("cv_fold", (F.col("fold") % folds).cast("int"))
-    return cv.fit(data)
+    return fit_persisted(cv, frame.withColumn("cv_fold", (F.col("fold") % folds).cast("int")))
 
 
 # The original grids, in MLlib parameter names (rounds -> maxIter,
@@ -118,36 +122,21 @@ TRAINING_GRID = {"maxIter": [50, 100, 200], "maxDepth": [3, 6, 9], "stepSize": [
 FULL_GRID = {"maxIter": [50, 100, 200], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.1, 0.2],
              "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["0.8", "1.0"],
              "minInstancesPerNode": [1, 3]}                                            # ML-7, 216 points
-SMALL_GRID = {"maxIter": [50, 100], "maxDepth": [3, 5], "stepSize": [0.1]}             # ML-7, < 100 rows
-FALLBACK_PARAMS = {"maxIter": 50, "maxDepth": 3, "stepSize": 0.1}                      # ML-7, on error
-
-
-def choose_grid(n_rows: int, grid: dict | None = None) -> dict:
-    """ML-7: the reduced grid when the training data has fewer than 100 rows."""
-    return SMALL_GRID if n_rows < 100 else dict(grid or FULL_GRID)
 
 
-def tune_or_fallback(frame: DataFrame, estimator, grid: dict, folds: int = 5, parallelism: int = 4):
-    """ML-7: grid search; on failure the fallback parameters are fitted instead.
-    Returns (model, best params, searched: bool)."""
-    try:
-        cv = grid_search(frame, estimator, grid, folds, parallelism)
-        best = {p.name: v for p, v in cv.bestModel.extractParamMap().items() if p.name in grid}
-        return cv.bestModel, best, True
-    except Exception:  # noqa: BLE001 - the original falls back to fixed parameters
-        est = estimator.copy({estimator.getParam(k): v for k, v in FALLBACK_PARAMS.items()})
-        return est.fit(frame), dict(FALLBACK_PARAMS), False
+def tuned(frame: DataFrame, estimator, grid: dict, folds: int = 5, parallelism: int = 4):
+    """ML-7: grid search; (best model, its parameters).  A failure is not caught."""
+    cv = grid_search(frame, estimator, grid, folds, parallelism)
+    best = {p.name: v for p, v in cv.bestModel.extractParamMap().items() if p.name in grid}
+    return cv.bestModel, best
 
 
 def compare_models(train: DataFrame, test: DataFrame, estimators: dict) -> list[tuple[str, float]]:
-    """ML-9: exact test AUC of each estimator; a model that fails scores 0."""
+    """ML-9: exact test AUC of each estimator."""
     out = []
     for name, est in estimators.items():
-        try:
-            scored = p_default(est.fit(train).transform(test))
-            out.append((name, float(auc_from_scores(scored, "label", "p_default").first()["auc"] or 0.0)))
-        except Exception:  # noqa: BLE001 - the original scores a failed model as 0
-            out.append((name, 0.0))
+        scored = p_default(est.fit(train).transform(test))
+        out.append((name, float(auc_from_scores(scored, "label", "p_default").first()["auc"] or 0.0)))
     return out
 
 
@@ -167,40 +156,31 @@ def scaler(features_col: str = "features", out: str = "scaled") -> StandardScale
     return StandardScaler(inputCol=features_col, outputCol=out, withMean=True, withStd=True)
 
 
-def linear_attributions(frame: DataFrame, features: list[str], key: str = S.ID_COL):
-    """EXP-1 (linear form): a logistic model on standardised features; each
-    row's contribution of feature j is coef_j * z_j (z has training mean 0),
+def linear_attributions(frame: DataFrame, features: list[str], key: str = S.ID_COL, train: DataFrame | None = None):
+    """EXP-1 (linear form): a logistic model on standardised features, learned from
+    ``train`` (all of ``frame`` where None); each row's contribution of feature j is coef_j * z_j (z has training mean 0),
     so base (intercept) + sum(contributions) = the row's logit exactly."""
     pipe = Pipeline(stages=[scaler(), LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=100,
                                                          regParam=0.01)])
-    model = pipe.fit(frame)
+    model = pipe.fit(frame if train is None else train)
     lr = model.stages[-1]
     coef = lr.coefficients.toArray().tolist()
     z = vector_to_array(F.col("scaled"))
     out = model.transform(frame).select(
         key, "label", F.lit(float(lr.intercept)).alias("base_value"),
         *[(z[i] * F.lit(float(c))).alias(f"c_{f}") for i, (f, c) in enumerate(zip(features, coef))],
-        F.log(vector_to_array("probability")[1] / vector_to_array("probability")[0]).alias("logit"))
+        vector_to_array("rawPrediction")[1].alias("logit"))
     return out, model
 
 
-ROWS_PER_PARTITION = 200_000     # assembled rows (~26 doubles each, about 50 MB) per training task
-
-
-def right_size(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """Training-frame partitions sized by volume: iterative fitters run one job
-    per tree level and round, so tasks over tiny slices cost more in
-    scheduling than in work, while huge slices lose parallelism.  One count,
-    then ``coalesce`` (no shuffle) when shrinking or ``repartition`` when growing."""
-    n = df.count()
-    want = max(1, -(-n // rows_per_partition))
-    have = df.rdd.getNumPartitions()
-    if want < have:
-        return df.coalesce(want)
-    if want > have:
-        return df.repartition(want)
-    return df
-
-
 def persist(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def fit_persisted(estimator, train: DataFrame):
+    """Fit on a persisted copy of the training rows and release it afterwards."""
+    kept = persist(train)
+    try:
+        return estimator.fit(kept)
+    finally:
+        kept.unpersist()

@@ -87,7 +87,8 @@ def box_stats(df: DataFrame, col: str, by: str) -> DataFrame:
     q = exact_quantiles(df, [col], {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=(by,)).drop("column")
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     x = F.col(col).cast("double")
-    j = df.select(F.col(by), x.alias("_x")).filter(F.col("_x").isNotNull()).join(q, by)
+    j = df.select(F.col(by), x.alias("_x")).filter(F.col("_x").isNotNull()) \
+        .join(F.broadcast(q), by)   # q: one row per group of a categorical column
     lo_f = F.col("q1") - 1.5 * F.col("iqr")
     hi_f = F.col("q3") + 1.5 * F.col("iqr")
     return j.groupBy(by).agg(

@@ -1,24 +1,23 @@
 """Transcript views (TOP-4..6, SC-14, SC-15, ST-3, ST-4) over segment rows.
 
-The buffer keeps the last ``SEGMENT_BUFFER`` segments of each contact; the
-rank comes from the range-partitioned rank job, so a contact with a very
-long transcript is spread over several tasks.  The views are per-contact
+The buffer keeps the last ``SEGMENT_BUFFER`` segments of each contact.  ``row_number()
+<= n`` gets a partial group limit before the shuffle, so a contact with a very long
+transcript sends at most n rows from each task.  The views are per-contact
 aggregates over the buffer (at most ten rows per contact).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.ranking import rank_within
 
 
 def segment_buffer(segments: DataFrame, n: int = S.SEGMENT_BUFFER) -> DataFrame:
     """TOP-4 / ST-3: last ``n`` segments per contact, ``pos`` 1 = newest."""
-    r = rank_within(segments, ["contact_id"], [F.col("segment_id").desc()], out="pos")
-    return r.filter(F.col("pos") <= n)
+    newest = Window.partitionBy("contact_id").orderBy(F.col("segment_id").desc())
+    return segments.withColumn("pos", F.row_number().over(newest)).filter(F.col("pos") <= n)
 
 
 def transcript_view(buf: DataFrame) -> DataFrame:

@@ -33,8 +33,10 @@ def customer_table(spark: SparkSession, d: str) -> DataFrame:
 
 def scored_customers(spark: SparkSession, d: str, with_label: bool = False) -> DataFrame:
     """Customer table joined to the CRM, with the live rule score and band
-    (and the 0/1 label from the modal target when asked)."""
-    cust = customer_table(spark, d)
+    (and the 0/1 label from the modal target when asked).  Only the columns that
+    the score and the label need are read and filled."""
+    needed = AD.calls(spark, d).select(S.ID_COL, "customer_sentiment_score", S.TARGET_COL)
+    cust = needed.transform(C.median_fill).transform(A.customer_rollup)
     crm = AD.crm(spark, d)
     j = cust.join(crm, cust.record_no == crm.customer_id, "left")
     # the customer's mean sentiment is compared at 1e-9 resolution, so that the
@@ -53,9 +55,8 @@ def q_call_records(spark, d):
 
 
 def q_crm_customers(spark, d):
-    c = AD.crm(spark, d, history=True)
+    c = AD.crm(spark, d)
     return c.select("customer_id", "name", "account_balance",
-                    F.array_join("payment_history", "").alias("payment_history"),
                     "payment_count", F.array_join("risk_factors", ",").alias("risk_factors"),
                     "previous_calls", "satisfaction_score", "segment")
 

@@ -28,8 +28,6 @@ def register(name, sql=None):
     return deco
 
 
-CRM_LOADED_AT = "2024-01-01 00:00:00"
-
 _RULE = ("CAST(greatest(0.0, least(100.0, 50.0"
          " + CASE WHEN coalesce({s}, 0) < -0.5 THEN 20.0 WHEN coalesce({s}, 0) < 0 THEN 10.0 ELSE 0.0 END"
          " + CASE WHEN coalesce({b}, 0) < 5000 THEN 15.0 WHEN coalesce({b}, 0) > 30000 THEN -10.0 ELSE 0.0 END"
@@ -45,7 +43,7 @@ live AS (SELECT s.*, k.customer_id, k.account_balance, k.risk_factors,
          FROM snapshots s JOIN crm k ON s.call_id = k.customer_id WHERE s.kind = 'SEGMENT'),
 upd AS (SELECT customer_id, round_even(rule, 2) AS risk_score,
                CASE WHEN rule >= 70 THEN '高リスク' WHEN rule >= 40 THEN '中リスク' ELSE '低リスク' END AS risk_level,
-               ts AS risk_updated_at,
+               ts AS risk_updated_at, event_id,
                array_to_string(list_filter([
                  CASE WHEN coalesce(customer_sentiment, 0) < -0.3 THEN '{S.RISK_FACTOR_NEGATIVE_SENTIMENT}' END,
                  CASE WHEN coalesce(account_balance, 0) < 5000 THEN '{S.RISK_FACTOR_LOW_BALANCE}' END,
@@ -55,12 +53,13 @@ upd AS (SELECT customer_id, round_even(rule, 2) AS risk_score,
                  THEN '{chr(10)}{S.AGENT_UNHAPPY_RECOMMENDATION}' ELSE '' END AS recommendations_text
         FROM live),
 cur AS (SELECT customer_id, CAST(NULL AS DOUBLE) AS risk_score, CAST(NULL AS VARCHAR) AS risk_level,
-               TIMESTAMP '{CRM_LOADED_AT}' AS risk_updated_at, '' AS risk_factors_text, '' AS recommendations_text
+               CAST(NULL AS TIMESTAMP) AS risk_updated_at, CAST(NULL AS BIGINT) AS event_id, '' AS risk_factors_text, '' AS recommendations_text
         FROM crm),
 allr AS (SELECT * FROM cur UNION ALL SELECT * FROM upd)
 SELECT customer_id, round(risk_score * (1 + 1e-12), 6) + 0.0 AS risk_score, risk_level, risk_updated_at,
        risk_factors_text, recommendations_text
-FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY risk_updated_at DESC) AS rn FROM allr)
+FROM (SELECT *, row_number() OVER (PARTITION BY customer_id
+                                    ORDER BY risk_updated_at DESC NULLS LAST, event_id DESC NULLS LAST) AS rn FROM allr)
 WHERE rn = 1"""
 
 
@@ -73,11 +72,11 @@ def q_crm_upsert(spark, d):
         .filter((F.col("kind") == "SEGMENT") & F.col("found"))
     res = R.score_live(live).select(
         "customer_id", "risk_score", F.col("risk_category").alias("risk_level"),
-        F.col("ts").alias("risk_updated_at"), "factors", "recommendations")
+        F.col("ts").alias("risk_updated_at"), "event_id", "factors", "recommendations")
     updates = W.risk_update_record(res)
     current = crm.select("customer_id", F.lit(None).cast("double").alias("risk_score"),
                          F.lit(None).cast("string").alias("risk_level"),
-                         F.lit(CRM_LOADED_AT).cast("timestamp").alias("risk_updated_at"),
+                         F.lit(None).cast("timestamp").alias("risk_updated_at"),
                          F.lit("").alias("risk_factors_text"), F.lit("").alias("recommendations_text"))
     return r6(W.crm_upsert(current, updates))
 

@@ -3,7 +3,7 @@
 * ``full_preparation`` (PL-1): schema-kind dispatch -> call path (drop, dates,
   median / mode fill, FE-A, AGG-2) or profile path (AGG-1, drop, median fill,
   FE-C, zero fill) -> label.
-* ``train_complete`` (PL-2): hash split -> boosted trees -> metrics -> saved model.
+* ``train_complete`` (PL-2): stratified split -> boosted trees -> evaluation and cross-validation -> saved model.
 * ``complete_scoring`` (PL-3): safety score -> band -> reasons, by true id.
 * ``complete_run`` (PL-4): PL-1 -> PL-2 -> PL-3 -> exports -> summary; returns
   the manifest.
@@ -19,6 +19,7 @@ Unlike the original, a failure never falls back to synthetic data.
 from __future__ import annotations
 
 import os
+from statistics import mean, pstdev
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,15 +48,36 @@ def full_preparation(df: DataFrame, order_by=("start_ts", "contact_id")) -> Data
     return C.encode_label_a(cust)
 
 
+def evaluation(scored: DataFrame) -> dict:
+    """Accuracy beside the majority rate, exact AUC, confusion cells and the classification report of
+    predictions: a fixed number of values."""
+    out = {k: v for k, v in MD.evaluate(scored).items()}
+    for r in M.confusion(scored).collect():                         # four cells
+        out[f"confusion_{r['label']}_{r['pred']}"] = r["n"]
+    for r in M.classification_report(scored).collect():             # one row per class and average
+        for c in ("precision", "recall", "f1"):
+            if r[c] is not None:
+                out[f"{str(r['class']).replace(' ', '_')}_{c}"] = r[c]
+    return out
+
+
 def train_complete(customers: DataFrame, model_dir: str | None = None, version: str = "v1",
-                   params: dict | None = None):
-    """PL-2: split, fit, evaluate on the test split, optionally save. Returns
-    (model, features, frame, metrics dict)."""
+                   params: dict | None = None, folds: int = 5, tune: bool = False, grid: dict | None = None):
+    """PL-2: stratified split, fit (with ``tune`` the training grid is searched first), evaluation on the
+    test split, cross-validated AUC on the training split, and optionally save.  Returns (model,
+    features, frame, metrics dict)."""
     feats = MD.feature_names(customers)
-    frame = MD.persist(MD.right_size(MD.with_split(MD.assemble(customers, feats))))
-    model = MD.boosted(params).fit(frame.filter(~F.col("is_test")))
+    frame = MD.with_split(MD.assemble(customers, feats))
+    train = frame.filter(~F.col("is_test"))
+    if tune:
+        model, params = MD.tuned(train, MD.boosted(params), grid or MD.TRAINING_GRID, folds)
+    else:
+        model = MD.fit_persisted(MD.boosted(params), train)
     scored = M.predict_at(MD.p_default(model.transform(frame.filter(F.col("is_test")))), "p_default")
-    metrics = MD.evaluate(scored)
+    metrics = evaluation(scored)
+    aucs = [a for a in MD.cross_validated_auc(train, MD.boosted(params), folds) if a is not None]
+    metrics["cv_auc_mean"] = mean(aucs) if aucs else None
+    metrics["cv_auc_std"] = pstdev(aucs) if aucs else None
     if model_dir:
         W.save_model(model, model_dir, "boosted", version, {"features": feats, "params": params or {},
                                                             "metrics": metrics})
@@ -81,38 +103,42 @@ def complete_run(spark: SparkSession, calls: DataFrame, out_dir: str, run_id: st
     mrows = spark.createDataFrame([(k, float(v)) for k, v in metrics.items() if v is not None],
                                   "metric string, value double")
     imp = spark.createDataFrame(MD.importances(model, feats), "feature string, importance double")
-    summary = results.agg(F.count(F.lit(1)).alias("customers_scored"),
+    summary = results.agg(F.lit(metrics["accuracy"]).alias("accuracy"), F.lit(metrics["auc"]).alias("roc_auc"),
+                          *[F.lit(metrics.get(f"weighted_avg_{m}")).cast("double").alias(m)
+                            for m in ("precision", "recall", "f1")],
+                          F.lit(len(feats)).alias("n_features"), F.lit(cust.count()).alias("n_customers"),
+                          F.count(F.lit(1)).alias("customers_scored"),
                           F.avg("risk_score").alias("mean_score"),
                           F.count_if(F.col("risk_category") == S.BATCH_LABELS[2]).alias("high_risk_customers"))
     return W.export_run(spark, out_dir, run_id, results, mrows, imp, summary)
 
 
-def optimization_run(spark: SparkSession, calls: DataFrame, grid: dict | None = None) -> DataFrame:
-    """PL-5 at call grain (split first, weights on the training rows only)."""
+def optimization_run(spark: SparkSession, calls: DataFrame, grid: dict | None = None, params: dict | None = None,
+                     folds: int = 5, model_dir: str | None = None, version: str = "optimized") -> DataFrame:
+    """PL-5 at call grain: stratified split first, weights on the training rows only, the full grid unless
+    another one is given; the optimised model is saved where ``model_dir`` is given."""
     c = calls.transform(FE.call_features_nonzero)
     c = C.encode_label_b(C.mean_fill(C.coerce_numeric(c, MD.feature_names(c, "contact_id", "label",
                                                                           (S.ID_COL, S.TARGET_COL)))))
     feats = MD.feature_names(c, "contact_id", "label", (S.ID_COL, S.TARGET_COL))
-    frame = MD.persist(MD.right_size(MD.with_split(MD.assemble(c, feats, key="contact_id"), "contact_id")))
-    tr, te = frame.filter(~F.col("is_test")), frame.filter(F.col("is_test"))
-    base = MD.forest(100).fit(tr)
+    frame = MD.with_split(MD.assemble(c, feats, key="contact_id"), "contact_id")
+    te = frame.filter(F.col("is_test"))
+    base = MD.fit_persisted(MD.forest(100), frame.filter(~F.col("is_test")))
     base_auc = auc_from_scores(MD.p_default(base.transform(te)), "label", "p_default").first()["auc"]
     keep = MD.select_by_median_importance(MD.importances(base, feats))
-    sel = MD.persist(MD.right_size(MD.with_split(MD.assemble(c, keep, key="contact_id"), "contact_id")))
-    tr2 = MD.class_weights(sel.filter(~F.col("is_test")))
-    n_train = tr2.count()
-    g = MD.choose_grid(n_train, grid or {"maxDepth": [3, 6]})
-    model, best, searched = MD.tune_or_fallback(tr2, MD.boosted(maxIter=20, weightCol="weight"), g, folds=3)
-    te2 = sel.filter(F.col("is_test"))
+    sel = MD.with_split(MD.assemble(c, keep, key="contact_id"), "contact_id")
+    tr2, te2 = sel.filter(~F.col("is_test")), sel.filter(F.col("is_test"))
+    model, best = MD.tuned(MD.class_weights(tr2), MD.boosted(params, weightCol="weight"), grid or MD.FULL_GRID, folds)
     scored = M.predict_at(MD.p_default(model.transform(te2)), "p_default")
-    best_auc = auc_from_scores(scored, "label", "p_default").first()["auc"]
-    comparison = MD.compare_models(sel.filter(~F.col("is_test")), te2,
-                                   {"random_forest": MD.forest(100), "boosted_trees": MD.boosted(maxIter=20)})
-    conf = [(r["label"], r["pred"], r["n"]) for r in M.confusion(scored).collect()]      # four cells
-    return W.report_row(spark, {"baseline_auc": base_auc, "optimized_auc": best_auc,
-                                "improvement": (best_auc or 0) - (base_auc or 0),
-                                "selected_features": keep, "best_params": best, "searched": searched,
-                                "confusion": conf, "comparison": dict(comparison)})
+    measured = evaluation(scored)
+    comparison = MD.compare_models(tr2, te2, {"random_forest": MD.forest(100), "boosted_trees": MD.boosted(params)})
+    importance = MD.importances(model, keep)
+    if model_dir:
+        W.save_model(model, model_dir, "optimized", version, {"features": keep, "params": best, "metrics": measured})
+    return W.report_row(spark, {"baseline_auc": base_auc, "optimized_auc": measured["auc"],
+                                "improvement": (measured["auc"] or 0) - (base_auc or 0),
+                                "selected_features": keep, "best_params": best, "evaluation": measured,
+                                "importances": dict(importance), "comparison": dict(comparison)})
 
 
 def start_live_scoring(events_stream: DataFrame, crm: DataFrame, out_dir: str, checkpoint: str,

@@ -4,6 +4,7 @@ rules in ``callrisk.streaming`` and are checked against these twins."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import sessions as SE
@@ -135,11 +136,10 @@ SELECT call_id, event_id, ts, round(risk_score * (1 + 1e-12), 6) + 0.0 AS risk_s
 WHERE pos <= 10""")
 def q_recent_scores(spark, d):
     """TOP-4 (score widget): the last ten scores pushed for each call, pos 1 = newest."""
-    from ..functions.ranking import rank_within
     sc = SE.scored_events(SE.classify_events(AD.snapshots(spark, d)), AD.crm(spark, d))
-    r = rank_within(sc.select("call_id", "event_id", "ts", "risk_score"), ["call_id"],
-                    [F.col("ts").desc(), F.col("event_id").desc()], out="pos")
-    return r6(r.filter(F.col("pos") <= 10).select("call_id", "event_id", "ts", "risk_score", "pos"))
+    newest = Window.partitionBy("call_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    r = sc.withColumn("pos", F.row_number().over(newest)).filter(F.col("pos") <= 10)
+    return r6(r.select("call_id", "event_id", "ts", "risk_score", "pos"))
 
 
 @register("attribute_updates", _sessions_cte(None) + """

@@ -99,7 +99,7 @@ ORACLE = {
     "call_records": _call_records_sql(),
     "crm_customers": with_views("crm") + """
 SELECT customer_id, name, round(account_balance * (1 + 1e-12), 6) + 0.0 AS account_balance,
-       array_to_string(payment_history, '') AS payment_history, payment_count,
+       payment_count,
        array_to_string(risk_factors, ',') AS risk_factors, previous_calls,
        round(satisfaction_score * (1 + 1e-12), 6) + 0.0 AS satisfaction_score, segment FROM crm""",
     "customer_features": _customer_features_sql(),

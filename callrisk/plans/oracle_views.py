@@ -48,7 +48,6 @@ CALLS = _calls_sql()
 
 CRM = """crm AS (
   SELECT c_custkey AS customer_id, c_name AS name, c_acctbal * 5.0 AS account_balance,
-         coalesce(rec.hist, CAST([] AS VARCHAR[])) AS payment_history,
          coalesce(oc.n_orders, 0) AS payment_count,
          list_filter([CASE WHEN c_acctbal * 5.0 > 30000 THEN 'high_balance' END,
                       CASE WHEN coalesce(oc.n_pending, 0) >= 4 THEN 'irregular_payments' END,
@@ -62,12 +61,7 @@ CRM = """crm AS (
   FROM customer
   LEFT JOIN (SELECT o_custkey, CAST(count(*) AS BIGINT) AS n_orders,
                     CAST(count_if(o_orderstatus = 'P') AS BIGINT) AS n_pending
-             FROM orders GROUP BY o_custkey) oc ON c_custkey = oc.o_custkey
-  LEFT JOIN (SELECT o_custkey, list(o_orderstatus ORDER BY o_orderdate, o_orderkey) AS hist
-             FROM (SELECT o_custkey, o_orderdate, o_orderkey, o_orderstatus,
-                          row_number() OVER (PARTITION BY o_custkey
-                                             ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
-                   FROM orders) WHERE rn <= 36 GROUP BY o_custkey) rec ON c_custkey = rec.o_custkey)"""
+             FROM orders GROUP BY o_custkey) oc ON c_custkey = oc.o_custkey)"""
 
 SNAPSHOTS = """snapshots AS (
   SELECT event_id, user_id AS call_id, CAST(ts AS TIMESTAMP) AS ts,

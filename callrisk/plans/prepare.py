@@ -65,8 +65,7 @@ def q_crm_lookup(spark, d):
 
 @register("crm_flatten", with_views("crm") + """
 SELECT CAST(customer_id AS VARCHAR) AS customer_id, name, round(account_balance * (1 + 1e-12), 6) + 0.0 AS account_balance,
-       CAST(len(payment_history) AS BIGINT) AS n_payment_history,
-       array_to_string(risk_factors, ',') AS risk_factors,
+       CAST(len(risk_factors) AS BIGINT) AS n_risk_factors, array_to_string(risk_factors, ',') AS risk_factors,
        CAST(previous_calls AS INTEGER) AS previous_calls,
        round(satisfaction_score * (1 + 1e-12), 6) + 0.0 AS satisfaction_score,
        '' AS phone, '' AS email
@@ -74,14 +73,22 @@ FROM crm""")
 def q_crm_flatten(spark, d):
     """SRC-5: nested CRM records ``{field: {"value": v}}`` (as JSON text built
     from the customer table) parsed and flattened with defaults."""
-    raw = EV.crm_records_json(AD.crm(spark, d, history=True))
+    raw = EV.crm_records_json(AD.crm(spark, d))
     flat = EV.flatten_crm_records(raw)
     return r6(flat.select("customer_id", "name", "account_balance",
-                          F.size("payment_history").cast("long").alias("n_payment_history"),
+                          F.size("risk_factors").cast("long").alias("n_risk_factors"),
                           F.array_join("risk_factors", ",").alias("risk_factors"),
                           "previous_calls", "satisfaction_score", "phone", "email"))
 
 
+@register("payment_history", """
+SELECT o_custkey AS customer_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq,
+       o_orderstatus AS status FROM orders""")
+def q_payment_history(spark, d):
+    """SRC-5 (payment statuses): the whole history of every customer in long form."""
+    return AD.payment_history(spark, d)
+
+
 @register("call_history", with_views("calls") + """
 SELECT record_no AS customer_id,
        row_number() OVER (PARTITION BY record_no ORDER BY start_ts DESC, contact_id DESC) AS call_rank,

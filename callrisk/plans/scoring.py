@@ -258,8 +258,7 @@ def q_null_profile(spark, d):
     return P.null_profile(AD.calls(spark, d).select(*_CALL_ALL))
 
 
-_MASK_COLS = ["agent_talktime", "customer_talktime", "total_talktime", "agent_sentiment_score",
-              "customer_sentiment_score", "days_call_to_contract"]
+_MASK_COLS = [c for c in _CALL_ALL if c != "contact_id"]
 
 
 @register("null_mask", with_views("calls") + "\nSELECT contact_id, "
@@ -269,8 +268,7 @@ def q_null_mask(spark, d):
     return P.null_mask(AD.calls(spark, d).select("contact_id", *_MASK_COLS), "contact_id")
 
 
-_DESC_COLS = ["agent_talktime", "customer_talktime", "total_conversation_duration", "customer_sentiment_score",
-              "agent_total_sentence", "days_call_to_contract"]
+_DESC_COLS = CALL_NUMERIC
 
 
 @register("describe_calls", with_views("calls") + """,
@@ -291,10 +289,10 @@ def q_describe_calls(spark, d):
 
 @register("duplicate_calls", with_views("calls") + """
 SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS distinct_rows, CAST(sum(n - 1) AS BIGINT) AS duplicates
-FROM (SELECT record_no, agent, unpaid_flag, count(*) AS n FROM calls GROUP BY ALL)""")
+FROM (SELECT """ + ", ".join(_CALL_ALL) + """, count(*) AS n FROM calls GROUP BY ALL)""")
 def q_duplicate_calls(spark, d):
-    """PRF-4: rows beyond the first identical (customer, agent, flag) row."""
-    c = AD.calls(spark, d).select("record_no", "agent", "unpaid_flag")
+    """PRF-4: rows beyond the first row that is identical in every column."""
+    c = AD.calls(spark, d).select(*_CALL_ALL)
     return P.duplicate_rows(c).select(F.col("rows").cast("long").alias("rows"),
                                       F.col("distinct_rows").cast("long").alias("distinct_rows"),
                                       F.col("duplicates").cast("long").alias("duplicates"))
@@ -342,8 +340,7 @@ def q_sentiment_box_by_flag(spark, d):
     return r6(P.box_stats(AD.calls(spark, d), "customer_sentiment_score", "unpaid_flag"))
 
 
-_CORR_COLS = ["agent_talktime", "customer_talktime", "customer_sentiment_score", "agent_sentiment_score",
-              "total_conversation_duration"]
+_CORR_COLS = CALL_NUMERIC
 
 
 def _corr_sql():

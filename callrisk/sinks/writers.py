@@ -74,19 +74,29 @@ def export_run(spark: SparkSession, base: str, run_id: str, results: DataFrame,
 
 
 def crm_upsert(current: DataFrame, updates: DataFrame, key: str = "customer_id",
-               ts: str = "risk_updated_at") -> DataFrame:
-    """SNK-8: latest-wins upsert.  Both sides carry the same columns; per key the
-    row with the newest ``ts`` wins.  ``max_by`` is a partial aggregate, so a
-    key with many updates is reduced map-side before the shuffle."""
+               ts: str = "risk_updated_at", event_id: str = "event_id") -> DataFrame:
+    """SNK-8: latest-wins upsert.  Per key the row with the newest ``ts`` wins, on
+    equal times the one of the highest ``event_id`` (stored records have none and
+    lose), without event ids the greatest row; a row that was never updated has a
+    null time and comes before all others.  ``max_by`` is a partial aggregate, so
+    a key with many updates is reduced map-side before the shuffle."""
     both = current.unionByName(updates, allowMissingColumns=True)
     cols = [c for c in both.columns if c != key]
-    g = both.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(ts)).alias("_r"))
-    return g.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
+    rest = [c for c in cols if c not in (ts, event_id)]
+    never = F.lit("0001-01-01 00:00:00").cast(both.schema[ts].dataType) \
+        if both.schema[ts].dataType.typeName().startswith(("timestamp", "date")) else None
+    when = F.col(ts) if never is None else F.coalesce(F.col(ts), never)
+    order = [F.col(ts).isNotNull(), when, *([F.col(event_id)] if event_id in cols else []), *map(F.col, rest)]
+    g = both.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+                              .alias("_r"))
+    return g.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols if c != event_id or event_id in current.columns])
 
 
 def risk_update_record(df: DataFrame) -> DataFrame:
-    """SNK-8 field formats: factors joined with ', ', recommendations with a newline."""
+    """SNK-8 field formats: factors joined with ', ', recommendations with a newline
+    (the event id travels along where the input has one)."""
     return df.select("customer_id", "risk_score", "risk_level", "risk_updated_at",
+                     *(["event_id"] if "event_id" in df.columns else []),
                      F.array_join("factors", ", ").alias("risk_factors_text"),
                      F.array_join("recommendations", "\n").alias("recommendations_text"))
 
@@ -105,6 +115,13 @@ def save_model(model, base: str, name: str, version: str, metadata: dict) -> str
     return path
 
 
+def has_model(spark: SparkSession, base: str, name: str, version: str) -> bool:
+    """Whether a version was saved completely (its metadata, written last, is committed)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(os.path.join(base, name, version, "metadata", "_SUCCESS"))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def load_model(base: str, name: str, version: str | None = None, loader=None):
     """SRC-9: load a saved model (the ``latest`` version by default) with its metadata."""
     spark = SparkSession.getActiveSession()

@@ -21,7 +21,6 @@ CRM_HIGH_BALANCE = 30000.0
 CRM_IRREGULAR_PENDING = 4
 CRM_WATCH_SEGMENT = "MACHINERY"
 CRM_HEAVY_CALLER = 12
-PAYMENT_HISTORY_LIMIT = 36      # recent statuses kept in the display list; counts stay exact
 AGENT_POOL = 12                 # live calls are assigned to agent-<user_id % 12>
 
 
@@ -78,26 +77,23 @@ def calls_from_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     return j.select(*cols)
 
 
-def crm_from_customers(customer: DataFrame, orders: DataFrame, history: bool = False,
-                       history_limit: int = PAYMENT_HISTORY_LIMIT) -> DataFrame:
-    """CRM customer records.  Counts are exact aggregates.  With ``history`` the
-    payment-status list of the most recent ``history_limit`` orders is added
-    (ranked by the range-partitioned rank job, so a customer with a very long
-    order history is not sorted in one task); it is opt-in because the rank
-    job runs eagerly and most consumers only need the counts."""
-    o = orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
+def payment_history_from_orders(orders: DataFrame) -> DataFrame:
+    """Payment statuses of every customer, oldest first, as rows (customer_id, seq,
+    status): the whole history, never gathered into one list or one task."""
+    o = orders.select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")
+    return rank_within(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "seq").select(
+        F.col("o_custkey").alias("customer_id"), "seq", F.col("o_orderstatus").alias("status"))
+
+
+def crm_from_customers(customer: DataFrame, orders: DataFrame) -> DataFrame:
+    """CRM customer records.  Counts are exact aggregates; the payment statuses
+    themselves stay in long form (``payment_history_from_orders``)."""
+    o = orders.select("o_custkey", "o_orderstatus")
     counts = o.groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n_orders"),
         F.count_if(F.col("o_orderstatus") == "P").alias("n_pending"))
     c = customer.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
     j = c.join(counts, c.c_custkey == counts.o_custkey, "left").drop("o_custkey")
-    if history:
-        recent = (rank_within(o, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], "_rn")
-                  .filter(F.col("_rn") <= history_limit)
-                  .groupBy("o_custkey")
-                  .agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderstatus")))
-                       .alias("_hist")))
-        j = j.join(recent, j.c_custkey == recent.o_custkey, "left").drop("o_custkey")
     balance = F.col("c_acctbal") * CRM_BALANCE_FACTOR
     n_orders = F.coalesce(F.col("n_orders"), F.lit(0))
     factors = F.filter(F.array(
@@ -107,13 +103,10 @@ def crm_from_customers(customer: DataFrame, orders: DataFrame, history: bool = F
         F.when(F.col("c_mktsegment") == CRM_WATCH_SEGMENT, F.lit("watch_segment")),
         F.when(n_orders >= CRM_HEAVY_CALLER, F.lit("heavy_caller")),
     ), lambda x: x.isNotNull())
-    hist = ([F.coalesce(F.transform("_hist", lambda s: s["o_orderstatus"]),
-                        F.array().cast("array<string>")).alias("payment_history")] if history else [])
     return j.select(
         F.col("c_custkey").alias("customer_id"),
         F.col("c_name").alias("name"),
         balance.alias("account_balance"),
-        *hist,
         n_orders.alias("payment_count"),
         factors.alias("risk_factors"),
         n_orders.alias("previous_calls"),
@@ -189,9 +182,13 @@ def calls(spark, sf_dir):
     return calls_from_orders(t.orders, t.lineitem)
 
 
-def crm(spark, sf_dir, history: bool = False):
+def crm(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return crm_from_customers(t.customer, t.orders, history)
+    return crm_from_customers(t.customer, t.orders)
+
+
+def payment_history(spark, sf_dir):
+    return payment_history_from_orders(Tables(spark, sf_dir).orders)
 
 
 def snapshots(spark, sf_dir):

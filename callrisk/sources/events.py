@@ -40,7 +40,6 @@ def crm_records_json(crm: DataFrame) -> DataFrame:
         v(F.col("customer_id").cast("string")).alias("customer_id"),
         v(F.col("name")).alias("name"),
         v(F.col("account_balance").cast("string")).alias("account_balance"),
-        v(F.col("payment_history")).alias("payment_history"),
         v(F.col("risk_factors")).alias("risk_factors"),
         v(F.col("previous_calls").cast("string")).alias("previous_calls"),
         v(F.col("satisfaction_score").cast("string")).alias("satisfaction_score"),

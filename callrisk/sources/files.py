@@ -44,14 +44,26 @@ def _col_index(ref: str) -> int:
     return n - 1
 
 
+def _plain_text(item) -> str:
+    """Text of a string item: its own and its runs' text, without phonetic runs."""
+    parts = item.findall("m:t", _NS) + item.findall("m:r/m:t", _NS) if item is not None else []
+    return "".join(t.text or "" for t in parts)
+
+
+def uses_1904_dates(content: bytes) -> bool:
+    """Whether the workbook counts date serials from 1904 instead of 1900."""
+    wb = ET.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("xl/workbook.xml"))
+    props = wb.find("m:workbookPr", _NS)
+    return props is not None and props.get("date1904") in ("1", "true")
+
+
 def workbook_rows(content: bytes, sheet: int = 0) -> list[list]:
     """Cell values of one sheet as rows of strings / floats (first row = header)."""
     z = zipfile.ZipFile(io.BytesIO(content))
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
         root = ET.fromstring(z.read("xl/sharedStrings.xml"))
-        for si in root.findall("m:si", _NS):
-            shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
+        shared = [_plain_text(si) for si in root.findall("m:si", _NS)]
     wb = ET.fromstring(z.read("xl/workbook.xml"))
     sheets = wb.findall("m:sheets/m:sheet", _NS)
     rid = sheets[sheet].get(_REL)
@@ -63,18 +75,20 @@ def workbook_rows(content: bytes, sheet: int = 0) -> list[list]:
     rows = []
     for r in root.iter(f"{{{_NS['m']}}}row"):
         vals: dict[int, object] = {}
+        place = -1
         for c in r.findall("m:c", _NS):
             t = c.get("t")
             v = c.find("m:v", _NS)
             if t == "s" and v is not None:
                 val = shared[int(v.text)]
             elif t == "inlineStr":
-                val = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
+                val = _plain_text(c.find("m:is", _NS))
             elif t in ("str", "b", "e"):
                 val = v.text if v is not None else None
             else:
                 val = float(v.text) if v is not None and v.text not in (None, "") else None
-            vals[_col_index(c.get("r"))] = val
+            place = _col_index(c.get("r")) if c.get("r") else place + 1   # without a reference: the next cell
+            vals[place] = val
         width = max(vals) + 1 if vals else 0
         rows.append([vals.get(i) for i in range(width)])
     return rows
@@ -88,6 +102,7 @@ def read_workbooks(spark: SparkSession, path: str, schema: T.StructType, header_
     from a workbook are null; values are coerced by Spark's cast rules later.
     """
     names = [f.name for f in schema.fields]
+    dates = {f.name for f in schema.fields if isinstance(f.dataType, (T.TimestampType, T.DateType))}
     inverse = dict(header_map or {})
     str_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
 
@@ -96,13 +111,15 @@ def read_workbooks(spark: SparkSession, path: str, schema: T.StructType, header_
             out = []
             for content in pdf["content"]:
                 rows = workbook_rows(bytes(content))
+                shift = DAYS_1904 if uses_1904_dates(bytes(content)) else 0
                 if not rows:
                     continue
                 header = [inverse.get(h, h) if isinstance(h, str) else h for h in rows[0]]
                 pos = {h: i for i, h in enumerate(header)}
                 for r in rows[1:]:
                     out.append({n: (None if pos.get(n) is None or pos[n] >= len(r) or r[pos[n]] is None
-                                    else _text(r[pos[n]])) for n in names})
+                                    else _text(r[pos[n]] + shift if n in dates and isinstance(r[pos[n]], float)
+                                               else r[pos[n]])) for n in names})
             yield pd.DataFrame(out, columns=names)
 
     files = spark.read.format("binaryFile").load(path).select("content")
@@ -110,6 +127,7 @@ def read_workbooks(spark: SparkSession, path: str, schema: T.StructType, header_
     return raw.select(*[_typed(raw[f.name], f.dataType).alias(f.name) for f in schema.fields])
 
 
+DAYS_1904 = 1462                  # fixed value: days from the 1900 to the 1904 date system
 EXCEL_EPOCH_UNIX_DAYS = 25569     # fixed value: day 0 of workbook date serials is 1899-12-30
 
 

@@ -62,6 +62,19 @@ def test_upsert_latest_wins(spark):
     assert out == {1: 70.0, 2: None}
 
 
+def test_upsert_of_never_scored_and_equal_times(spark):
+    """Null times keep the stored row's columns; equal times go by event id however the rows are partitioned."""
+    kind = "customer_id long, risk_score double, name string, risk_updated_at timestamp, event_id long"
+    cur = spark.createDataFrame([(1, None, "a", None), (2, None, "b", None)], kind.rsplit(",", 1)[0])
+    upd = spark.createDataFrame([(1, 7.0, "x", None, 5), (1, 9.0, "y", None, 6)], kind) \
+        .withColumn("risk_updated_at", F.lit("2024-01-03").cast("timestamp"))
+    for n in (1, 8):
+        out = {r["customer_id"]: (r["risk_score"], r["name"]) for r in
+               W.crm_upsert(cur.repartition(n), upd.repartition(n, "event_id")).collect()}
+        assert out == {1: (9.0, "y"), 2: (None, "b")}
+    assert "event_id" not in W.crm_upsert(cur, upd).columns
+
+
 def test_rule_attribution_is_additive(spark):
     rows = [(s, b, n) for s in (-0.9, -0.2, 0.3) for b in (100.0, 20000.0, 40000.0) for n in (0, 2, 5)]
     df = spark.createDataFrame(rows, "customer_sentiment double, account_balance double, n_risk_factors int")

@@ -26,11 +26,15 @@ def test_complete_run_exports(spark, scratch):
     assert res.count() > 0
     assert res.filter((F.col("risk_score") < 0) | (F.col("risk_score") > 100)).count() == 0
     assert os.path.exists(os.path.join(scratch, "out", "models", "boosted", "latest"))
-    assert "summary" in arts
+    summary = spark.read.json(arts["summary"]).first()
+    assert summary["n_features"] > 0 and summary["mean_score"] is not None and summary["roc_auc"] is not None
 
 
-def test_optimization_run_report(spark):
-    rep = FL.optimization_run(spark, AD.calls(spark, SF_SMALL)).first()
+def test_optimization_run_report(spark, scratch):
+    rep = FL.optimization_run(spark, AD.calls(spark, SF_SMALL), grid={"maxDepth": [2, 3]}, params={"maxIter": 3},
+                              folds=2, model_dir=os.path.join(scratch, "m")).first()
+    assert os.path.exists(os.path.join(scratch, "m", "optimized", "latest"))
+    assert len(rep["importances"]) == len(rep["selected_features"]) and rep["evaluation"]["confusion_0_0"] >= 0
     assert 0.0 <= rep["baseline_auc"] <= 1.0 and 0.0 <= rep["optimized_auc"] <= 1.0
     assert len(rep["selected_features"]) > 0
 

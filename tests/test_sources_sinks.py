@@ -144,12 +144,59 @@ def test_workbook_date_serials_and_csv_original_headers(spark, scratch):
     assert (back["record_no"], back["unpaid_flag"], back["agent"]) == (5, "未払", None)
 
 
-def test_grid_switch_and_fallback(spark):
+def test_tuning_takes_its_grid_and_fails_loudly(spark):
+    import pytest
     from callrisk.operators import models as MD
-    assert MD.choose_grid(50) == MD.SMALL_GRID
-    assert len(MD.choose_grid(5000)) == 6                                  # the 216-point grid
+    points = [1, 1]
+    for k, grid in enumerate((MD.TRAINING_GRID, MD.FULL_GRID)):
+        for values in grid.values():
+            points[k] *= len(values)
+    assert points == [81, 216]
     df = spark.range(0, 60).select(F.col("id").alias("record_no"), (F.col("id") % 5).cast("double").alias("x"),
                                    (F.col("id") % 2).cast("int").alias("label"))
     frame = MD.with_split(MD.assemble(df, ["x"]))
-    model, best, searched = MD.tune_or_fallback(frame, MD.boosted(maxIter=2), {"maxDepth": [-1]}, folds=2)
-    assert not searched and best == MD.FALLBACK_PARAMS and model is not None
+    assert frame.filter("is_test").groupBy("label").count().select("count").distinct().collect()[0][0] == 6
+    model, best = MD.tuned(frame, MD.boosted(maxIter=2), {"maxDepth": [1, 2]}, folds=2)
+    assert best["maxDepth"] in (1, 2) and model is not None
+    with pytest.raises(Exception):
+        MD.tuned(frame, MD.boosted(maxIter=2), {"maxDepth": [-1]}, folds=2)
+
+
+def test_models_beat_the_majority_on_a_signal(spark):
+    from callrisk.operators import models as MD
+    x = ((F.col("id") * 7919) % 1000 / 1000.0)
+    df = spark.range(0, 2000).select(F.col("id").alias("record_no"), x.alias("x"), ((F.col("id") * 31) % 97).cast("double").alias("noise"),
+                                     (x + ((F.col("id") * 104729) % 100 - 50) / 200.0 > 0.7).cast("int").alias("label"))
+    frame = MD.with_split(MD.assemble(df, ["x", "noise"]))
+    for est in (MD.boosted(maxIter=10, maxDepth=3), MD.forest(20)):
+        model = MD.fit_persisted(est, frame.filter("not is_test"))
+        got = MD.evaluate(MD.p_default(model.transform(frame.filter("is_test"))))
+        assert got["auc"] > 0.7 and got["accuracy"] >= got["majority_rate"]
+        assert MD.select_by_median_importance(MD.importances(model, ["x", "noise"])) == ["x"]
+    out, _ = MD.linear_attributions(frame, ["x", "noise"], train=frame.filter("not is_test"))
+    gap = out.select(F.max(F.abs(F.col("base_value") + F.col("c_x") + F.col("c_noise") - F.col("logit")))).first()[0]
+    assert gap < 1e-9
+
+
+def test_workbook_skips_phonetic_text_and_counts_cells(spark, tmp_path):
+    import io
+    import zipfile
+    from pyspark.sql import types as T
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} {rel}><workbookPr date1904="1"/><sheets><sheet name="s" sheetId="1" '
+                                      'r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/'
+                                                 'relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst {main}><si><t>未払FLAG</t><rPh sb="0" eb="2"><t>ミバラ</t></rPh></si>'
+                                           '<si><r><t>顧</t></r><r><t>客</t></r><rPh sb="0" eb="1"><t>コ</t></rPh></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData><row><c t="s"><v>0</v></c><c t="s"><v>1</v></c>'
+                                               '<c t="inlineStr"><is><t>day</t></is></c></row><row><c><v>1</v></c>'
+                                               '<c t="inlineStr"><is><t>x</t></is></c><c><v>366</v></c></row></sheetData></worksheet>')
+    (tmp_path / "book.xlsx").write_bytes(body.getvalue())
+    schema = T.StructType([T.StructField("unpaid", T.LongType()), T.StructField("who", T.StringType()),
+                           T.StructField("day", T.DateType())])
+    row = FS.read_workbooks(spark, str(tmp_path / "book.xlsx"), schema, {"未払FLAG": "unpaid", "顧客": "who"}).first()
+    assert (row["unpaid"], row["who"], str(row["day"])) == (1, "x", "1905-01-01")
