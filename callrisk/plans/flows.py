@@ -143,6 +143,7 @@ def optimization_run(spark: SparkSession, calls: DataFrame, grid: dict | None =
 
 def start_live_scoring(events_stream: DataFrame, crm: DataFrame, out_dir: str, checkpoint: str,
                        trigger: dict | None = None):
-    """PL-6: live events -> scores -> session summaries, delivered per agent."""
-    summaries = ST.session_stream(ST.score_events(events_stream, crm))
-    return W.push_by_agent(summaries, out_dir, checkpoint, "agent_id", trigger)
+    """PL-6: live events -> state machine -> call-start, score, call-end, summary and rejection messages,
+    delivered per agent."""
+    messages = ST.live_results(ST.score_events(events_stream, crm), crm)
+    return W.push_by_agent(messages, out_dir, checkpoint, "agent_id", trigger)

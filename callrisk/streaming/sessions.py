@@ -1,15 +1,10 @@
 """Structured Streaming operators of the live path (ST-1..4, ST-9, SNK-11).
 
-* ``session_stream``: the call-session state machine (ST-1 / ST-5) as
-  ``applyInPandasWithState`` keyed by ``call_id``.  State per call is a fixed
-  handful of fields (open flag, session number, start, agent, score count,
-  sum and last score), never the list of scores, so it stays bounded however
-  long a call runs.  Emits a summary when a session ends (ENDED), when a new
-  start replaces it (REPLACED), or, with a timeout, when the event-time
-  watermark passes ``last event + timeout`` (TIMED_OUT).
+* ``live_stream``: the call-session state machine (``applyInPandasWithState`` keyed by
+  ``call_id``), whose rows feed ``session_stream`` (ST-1 / ST-5), ``rescoring_stream``
+  (ST-2), ``score_cache_stream`` (ST-8), ``attribute_stream`` (ST-6) and
+  ``live_results`` (PL-6).  Events are taken in event-time order behind the watermark.
 * ``trigger_stream``: stateless parse + filter of contact events (ST-9).
-* ``rescoring_stream``: 10-second tumbling windows per call with the latest
-  score (ST-2), watermarked.
 * ``latest_view_stream``: latest segment / count / span per contact (ST-4).
 
 The batch twins in ``callrisk.operators.sessions`` compute the same rows from
@@ -25,13 +20,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.rules import rule_score
+from .. import schema as S
+from ..functions.scalar import elapsed_seconds
+from ..operators.rules import agent_recommendations, realtime_band, risk_factors, rule_score
 from ..sources.events import contact_triggers
 
-SUMMARY_SCHEMA = ("call_id long, session_no long, started_at timestamp, agent_id string, ended_at timestamp, "
-                  "status string, duration_s double, n_scores long, final_score double, mean_score double")
-STATE_SCHEMA = ("open boolean, session_no long, started_us long, agent_id string, n_scores long, "
-                "score_sum double, final_score double, last_us long")
+MICROS = 1_000_000
+#: Rows of the live state machine.  ``outcome``: OPENED, SCORED, CLOSED or REJECTED for each event; and
+#: ENDED, REPLACED or TIMED_OUT (a session is over, with its summary), RESCORED (last score of a period)
+#: and EXPIRED (a cached score is past its time to live).
+LIVE_SCHEMA = ("call_id long, session_no long, event_id long, ts timestamp, outcome string, agent_id string, "
+               "started_at timestamp, customer_sentiment double, risk_score double, n_scores long, "
+               "final_score double, mean_score double")
+LIVE_COLUMNS = [c.split()[0] for c in LIVE_SCHEMA.split(", ")]
+EVENT_FIELDS = ("us", "event_id", "kind", "agent_id", "sentiment", "score")
+WINDOW_FIELDS = ("end", "session_no", "event_id", "score", "started")
+LIVE_STATE = ("open boolean, session_no long, started_us long, agent_id string, n_scores long, score_sum double, "
+              "final_score double, last_us long, cached_us long, cached_score double, "
+              "us array<long>, event_id array<long>, kind array<string>, agent array<string>, "
+              "sentiment array<double>, score array<double>, w_end array<long>, w_session array<long>, "
+              "w_event array<long>, w_score array<double>, w_started array<long>")
 
 
 def score_events(stream: DataFrame, crm: DataFrame) -> DataFrame:
@@ -43,65 +51,185 @@ def score_events(stream: DataFrame, crm: DataFrame) -> DataFrame:
     return j.withColumn("risk_score", F.bround(rule_score(), 2))
 
 
-def _session_fn(timeout_ms: int | None):
-    def emit(out, key, st, status, ended_us):
-        started = pd.Timestamp(st["started_us"], unit="us")
-        ended = pd.Timestamp(ended_us, unit="us") if ended_us is not None else pd.NaT
-        out.append({
-            "call_id": key, "session_no": st["session_no"], "started_at": started, "agent_id": st["agent_id"],
-            "ended_at": ended, "status": status,
-            "duration_s": (ended_us - st["started_us"]) / 1e6 if ended_us is not None else None,
-            "n_scores": st["n_scores"], "final_score": st["final_score"],
-            "mean_score": st["score_sum"] / st["n_scores"] if st["n_scores"] else None})
+def _classify(ev: pd.DataFrame, opened: bool, number: int, started: int, agent) -> pd.DataFrame:
+    """Session number, outcome, start and agent of events in (time, id) order, given the call's state."""
+    starts, ends = (ev["kind"] == "START"), (ev["kind"] == "END")
+    session = number + starts.cumsum()
+    first_end = ends.groupby(session).cumsum() - ends          # ends of the session before this event
+    first_end += ((session == number) & (not opened)).astype(int)
+    is_open = (session >= 1) & (first_end == 0)
+    outcome = pd.Series("REJECTED", index=ev.index)
+    outcome[(ev["kind"] == "SEGMENT") & is_open] = "SCORED"
+    outcome[ends & is_open] = "CLOSED"
+    outcome[starts] = "OPENED"
+    at = ev["us"].where(starts).ffill().fillna(started).astype("int64")
+    who = ev["agent_id"].where(starts).astype(object)
+    owner = who.groupby(session).transform("first")
+    owner[session == number] = agent
+    return ev.assign(session_no=session.astype("int64"), outcome=outcome, started=at, session_agent=owner)
+
+
+def _summaries(ev: pd.DataFrame, st: dict) -> tuple[list[dict], dict]:
+    """Summaries of the sessions that end in ``ev``, and the state after it."""
+    out = []
+    for number, part in ev.groupby("session_no", sort=True):
+        if number != st["session_no"]:
+            if st["open"]:
+                out.append(_summary(st, "REPLACED", None, int(part["us"].iloc[0])))
+            st = dict(st, open=True, session_no=int(number), started_us=int(part["started"].iloc[0]),
+                      agent_id=part["session_agent"].iloc[0], n_scores=0, score_sum=0.0, final_score=None)
+        scored = part[part["outcome"] == "SCORED"]
+        if len(scored):
+            last = scored["score"].iloc[-1]
+            st.update(n_scores=st["n_scores"] + len(scored), score_sum=st["score_sum"] + float(scored["score"].sum()),
+                      final_score=None if pd.isna(last) else float(last))
+        closed = part[part["outcome"] == "CLOSED"]
+        if len(closed):
+            out.append(_summary(st, "ENDED", int(closed["event_id"].iloc[0]), int(closed["us"].iloc[0])))
+            st.update(open=False)
+    return out, st
+
+
+def _summary(st: dict, outcome: str, event_id, us) -> dict:
+    return {"session_no": st["session_no"], "event_id": event_id, "us": us, "outcome": outcome,
+            "agent_id": st["agent_id"], "started": st["started_us"], "n_scores": st["n_scores"],
+            "final_score": st["final_score"],
+            "mean_score": st["score_sum"] / st["n_scores"] if st["n_scores"] else None}
+
+
+def _windows(ev: pd.DataFrame, pending: pd.DataFrame, period_us: int, min_age_us: int, now: int):
+    """Last score of every (session, period) that the watermark has passed, and the pending ones."""
+    sc = ev[ev["outcome"] == "SCORED"]
+    new = pd.DataFrame({"end": (sc["us"] // period_us + 1) * period_us, "session_no": sc["session_no"],
+                        "event_id": sc["event_id"], "score": sc["score"], "started": sc["started"]})
+    every = new if pending.empty else pending if new.empty else pd.concat([pending, new], ignore_index=True)
+    every = every.drop_duplicates(["end", "session_no"], keep="last")
+    done = every[(every["end"] <= now)]
+    return done[done["end"] - done["started"] > min_age_us], every[every["end"] > now]
+
+
+def _live_fn(timeout_ms: int, keep_ms: int, period_s: int, min_age_s: int, ttl_s: int):
+    names = [c.split()[0] for c in LIVE_STATE.split(", ")]
+    lists = names[10:]
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        call_id = int(key[0])
-        names = ["open", "session_no", "started_us", "agent_id", "n_scores", "score_sum", "final_score", "last_us"]
         if state.exists:
             st = dict(zip(names, state.get))
         else:
-            st = dict(open=False, session_no=0, started_us=0, agent_id=None, n_scores=0, score_sum=0.0,
-                      final_score=None, last_us=0)
-        out: list[dict] = []
-        if state.hasTimedOut:
+            st = dict.fromkeys(names[:10], None) | dict(open=False, session_no=0, started_us=0, n_scores=0,
+                                                        score_sum=0.0, last_us=0) | {n: [] for n in lists}
+        held = pd.DataFrame({f: list(st[n]) for f, n in zip(EVENT_FIELDS, lists[:6])})
+        pending = pd.DataFrame({f: list(st[n]) for f, n in zip(WINDOW_FIELDS, lists[6:])})
+        frames = [held] if len(held) else []
+        for pdf in pdfs if not state.hasTimedOut else ():
+            frames.append(pd.DataFrame({
+                "us": pdf["ts"].astype("datetime64[us]").astype("int64"), "event_id": pdf["event_id"],
+                "kind": pdf["kind"], "agent_id": pdf["agent_id"], "sentiment": pdf["customer_sentiment"],
+                "score": pdf["risk_score"]}))
+        now = state.getCurrentWatermarkMs() * 1000
+        ev = pd.concat(frames, ignore_index=True) if frames else held
+        ready = ev[ev["us"] <= now].sort_values(["us", "event_id"]).reset_index(drop=True) if len(ev) else ev
+        later = ev[ev["us"] > now] if len(ev) else ev
+        out = []
+        if len(ready):
+            ready = _classify(ready, st["open"], st["session_no"], st["started_us"], st["agent_id"])
+            out.append(ready.assign(agent_id=ready["session_agent"], customer_sentiment=ready["sentiment"],
+                                    risk_score=ready["score"].where(ready["outcome"] == "SCORED")))
+            ended, st = _summaries(ready, st)
+            out.append(pd.DataFrame(ended))
+            st["last_us"] = int(ready["us"].iloc[-1])
+            sc = ready[ready["outcome"] == "SCORED"]
+            if len(sc):
+                last = sc["score"].iloc[-1]
+                st.update(cached_us=int(sc["us"].iloc[-1]), cached_score=None if pd.isna(last) else float(last))
+        else:
+            ready = ready.assign(outcome="", session_no=0, started=0)
+        done, pending = _windows(ready, pending, period_s * MICROS, min_age_s * MICROS, now)
+        out.append(pd.DataFrame({"session_no": done["session_no"], "event_id": done["event_id"], "us": done["end"],
+                                 "outcome": "RESCORED", "started": done["started"], "risk_score": done["score"]}))
+        if st["cached_us"] is not None and st["cached_us"] + ttl_s * MICROS <= now:
+            out.append(pd.DataFrame([{"session_no": st["session_no"], "us": st["cached_us"], "outcome": "EXPIRED",
+                                      "risk_score": st["cached_score"]}]))
+            st.update(cached_us=None, cached_score=None)
+        if st["open"] and st["last_us"] + timeout_ms * 1000 <= now:
+            out.append(pd.DataFrame([_summary(st, "TIMED_OUT", None, None)]))
+            st.update(open=False)
+        if later.empty and pending.empty and not st["open"] and st["cached_us"] is None \
+                and st["last_us"] + keep_ms * 1000 <= now:
+            if state.exists:
+                state.remove()
+        else:
+            st.update({n: later[f].tolist() for f, n in zip(EVENT_FIELDS, lists[:6])})
+            st.update({n: pending[f].tolist() for f, n in zip(WINDOW_FIELDS, lists[6:])})
+            state.update(tuple(_plain(st[n]) for n in names))
+            times = [*later["us"].tolist(), *pending["end"].tolist(), st["last_us"] + keep_ms * 1000]
             if st["open"]:
-                emit(out, call_id, st, "TIMED_OUT", None)
-            state.remove()
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SUMMARY_SCHEMA.split(", ")])
-            return
-        ev = pd.concat(list(pdfs), ignore_index=True)
-        ev["_us"] = ev["ts"].astype("datetime64[us]").astype("int64")
-        ev = ev.sort_values(["_us", "event_id"], kind="mergesort")
-        for kind, us, agent, score in zip(ev["kind"], ev["_us"], ev["agent_id"], ev["risk_score"]):
-            if kind == "START":
-                if st["open"]:
-                    emit(out, call_id, st, "REPLACED", None)
-                st.update(open=True, session_no=st["session_no"] + 1, started_us=int(us), agent_id=agent,
-                          n_scores=0, score_sum=0.0, final_score=None)
-            elif kind == "END":
-                if st["open"]:
-                    emit(out, call_id, st, "ENDED", int(us))
-                    st.update(open=False, n_scores=0, score_sum=0.0, final_score=None)
-            elif st["open"]:
-                s = None if pd.isna(score) else float(score)
-                st["n_scores"] += 1
-                st["score_sum"] += s or 0.0
-                st["final_score"] = s
-            st["last_us"] = max(st["last_us"], int(us))
-        state.update(tuple(st[n] for n in names))
-        if timeout_ms is not None and st["open"]:
-            state.setTimeoutTimestamp(st["last_us"] // 1000 + timeout_ms)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in SUMMARY_SCHEMA.split(", ")])
+                times.append(st["last_us"] + timeout_ms * 1000)
+            if st["cached_us"] is not None:
+                times.append(st["cached_us"] + ttl_s * MICROS)
+            due = [-(-int(t) // 1000) for t in times if t > now]
+            state.setTimeoutTimestamp(min(due) if due else now // 1000 + 1)
+        out = [x for x in out if len(x)]
+        rows = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["us", "started"])
+        rows["call_id"] = int(key[0])
+        rows["ts"] = pd.to_datetime(rows["us"], unit="us")
+        rows["started_at"] = pd.to_datetime(rows["started"].where(rows.get("session_no", 0) != 0), unit="us") \
+            if len(rows) else pd.to_datetime(rows["started"], unit="us")
+        yield rows.reindex(columns=LIVE_COLUMNS).astype(
+            {"session_no": "Int64", "event_id": "Int64", "n_scores": "Int64"})
     return fn
 
 
-def session_stream(scored: DataFrame, watermark: str = "1 hour", timeout_ms: int | None = None) -> DataFrame:
-    """ST-1 / ST-5 on a stream of scored live events (see ``score_events``)."""
-    timeout = GroupStateTimeout.EventTimeTimeout if timeout_ms is not None else GroupStateTimeout.NoTimeout
+def _plain(v):
+    """State values without pandas' missing markers."""
+    if isinstance(v, list):
+        return [None if x is None or x != x else x for x in v]
+    return None if v is None or v != v else v
+
+
+def live_stream(scored: DataFrame, watermark: str = "1 hour", timeout_ms: int = 4 * 3_600_000,
+                keep_ms: int = 24 * 3_600_000, period_s: int = 10, min_age_s: int = S.RESCORE_MIN_AGE_SECONDS,
+                ttl_s: int = S.SCORE_CACHE_TTL_SECONDS) -> DataFrame:
+    """The live state machine (ST-1, ST-2, ST-5, ST-8) over scored events (``score_events``).
+
+    Events wait in the state until the watermark has passed them, so a late start inside the
+    watermark still opens its session, and are then taken in (time, id) order.  State per call: a
+    few numbers, the events inside the watermark's lag and the open 10-second windows; an open
+    session without events is closed after ``timeout_ms``, and a call is forgotten ``keep_ms`` after
+    its last event.
+    """
     return (scored.withWatermark("ts", watermark)
-            .select("call_id", "event_id", "ts", "kind", "agent_id", "risk_score")
+            .select("call_id", "event_id", "ts", "kind", "agent_id", "customer_sentiment", "risk_score")
             .groupBy("call_id")
-            .applyInPandasWithState(_session_fn(timeout_ms), SUMMARY_SCHEMA, STATE_SCHEMA, "append", timeout))
+            .applyInPandasWithState(_live_fn(timeout_ms, keep_ms, period_s, min_age_s, ttl_s), LIVE_SCHEMA,
+                                    LIVE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+
+
+def session_stream(scored: DataFrame, watermark: str = "1 hour", timeout_ms: int = 4 * 3_600_000, **kw) -> DataFrame:
+    """ST-1 / ST-5: a summary for each session that ended, was replaced or timed out."""
+    over = live_stream(scored, watermark, timeout_ms, **kw).filter(F.col("outcome").isin("ENDED", "REPLACED", "TIMED_OUT"))
+    ended = F.when(F.col("outcome") == "ENDED", F.col("ts"))
+    return over.select("call_id", "session_no", "started_at", "agent_id", ended.alias("ended_at"),
+                       F.col("outcome").alias("status"), elapsed_seconds(ended, F.col("started_at")).alias("duration_s"),
+                       "n_scores", "final_score", "mean_score")
+
+
+def live_results(scored: DataFrame, crm: DataFrame, **kw) -> DataFrame:
+    """PL-6 / SC-16: every live message: call opened, scored (score, band, confidence, recommendations and
+    factors), closed, session over with its summary, and rejected events with their error."""
+    rows = live_stream(scored, **kw).filter(~F.col("outcome").isin("RESCORED", "EXPIRED"))
+    k = crm.select("customer_id", "account_balance", "risk_factors")
+    j = rows.join(k, rows.call_id == k.customer_id, "left")
+    is_scored = F.col("outcome") == "SCORED"
+    score = F.col("risk_score")
+    return j.select(
+        "call_id", "session_no", "event_id", "ts", "outcome", "agent_id", "started_at", "risk_score",
+        F.when(is_scored, realtime_band(score)).alias("risk_category"),
+        F.when(is_scored, F.lit(S.RULE_CONFIDENCE)).alias("confidence"),
+        F.when(is_scored, agent_recommendations(score)).alias("recommendations"),
+        F.when(is_scored, risk_factors()).alias("factors"),
+        F.when(F.col("outcome") == "REJECTED", F.lit("Call not found")).alias("error"),
+        "n_scores", "final_score", "mean_score")
 
 
 def trigger_stream(raw_events: DataFrame) -> DataFrame:
@@ -109,14 +237,11 @@ def trigger_stream(raw_events: DataFrame) -> DataFrame:
     return contact_triggers(raw_events)
 
 
-def rescoring_stream(scored: DataFrame, period: str = "10 seconds", watermark: str = "1 minute") -> DataFrame:
-    """ST-2: latest score of each call per tumbling window (append mode: a window
-    is emitted once the watermark passes its end)."""
-    seg = scored.filter(F.col("kind") == "SEGMENT").withWatermark("ts", watermark)
-    return (seg.groupBy("call_id", F.window("ts", period).alias("w"))
-            .agg(F.max_by(F.struct("event_id", "risk_score"), F.struct("ts", "event_id")).alias("l"))
-            .select("call_id", F.col("w.end").alias("window_end"), F.col("l.event_id").alias("event_id"),
-                    F.col("l.risk_score").alias("risk_score")))
+def rescoring_stream(scored: DataFrame, **kw) -> DataFrame:
+    """ST-2: the latest score of each session per 10-second window, once the session is older than 30 s;
+    a window comes when the watermark has passed its end."""
+    return live_stream(scored, **kw).filter(F.col("outcome") == "RESCORED").select(
+        "call_id", "session_no", F.col("ts").alias("window_end"), "event_id", "risk_score")
 
 
 def latest_view_stream(segments: DataFrame) -> DataFrame:
@@ -193,74 +318,17 @@ def presence_stream(events: DataFrame) -> DataFrame:
         F.max("ts").alias("last_seen"))
 
 
-CACHE_SCHEMA = "call_id long, scored_at timestamp, risk_score double, cached boolean"
-CACHE_STATE = "scored_us long, risk_score double"
+def score_cache_stream(scored: DataFrame, **kw) -> DataFrame:
+    """ST-8: the score cache as a change log: each accepted score enters the cache of its call
+    (``cached = true``) and leaves it one hour of event time after the last one (``cached = false``)."""
+    rows = live_stream(scored, **kw).filter(F.col("outcome").isin("SCORED", "EXPIRED"))
+    return rows.select("call_id", "session_no", "event_id", F.col("ts").alias("scored_at"), "risk_score",
+                       (F.col("outcome") == "SCORED").alias("cached"))
 
 
-def _cache_fn(ttl_ms: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        call_id = int(key[0])
-        if state.hasTimedOut:
-            us, score = state.get
-            state.remove()
-            yield pd.DataFrame([{"call_id": call_id, "scored_at": pd.Timestamp(us, unit="us"),
-                                 "risk_score": score, "cached": False}])
-            return
-        best = state.get if state.exists else None
-        for pdf in pdfs:
-            us_col = pdf["ts"].astype("datetime64[us]").astype("int64")
-            for us, eid, score in zip(us_col, pdf["event_id"], pdf["risk_score"]):
-                if best is None or int(us) >= best[0]:
-                    best = (int(us), None if pd.isna(score) else float(score))
-        state.update(best)
-        state.setTimeoutTimestamp(best[0] // 1000 + ttl_ms)
-        yield pd.DataFrame([{"call_id": call_id, "scored_at": pd.Timestamp(best[0], unit="us"),
-                             "risk_score": best[1], "cached": True}])
-    return fn
-
-
-def score_cache_stream(scored: DataFrame, ttl_ms: int = 3_600_000, watermark: str = "10 minutes") -> DataFrame:
-    """ST-8: the latest score of each call, kept for one hour of event time:
-    each update re-arms an event-time timeout at ``scored_at + ttl``; when the
-    watermark passes it the entry is removed from state and an expiry row
-    (``cached = false``) is emitted.  State per call is one timestamp and one
-    score."""
-    seg = scored.filter(F.col("kind") == "SEGMENT").withWatermark("ts", watermark)
-    return (seg.select("call_id", "event_id", "ts", "risk_score").groupBy("call_id")
-            .applyInPandasWithState(_cache_fn(ttl_ms), CACHE_SCHEMA, CACHE_STATE, "update",
-                                    GroupStateTimeout.EventTimeTimeout))
-
-
-ATTR_SCHEMA = ("call_id long, session_no long, event_id long, as_of timestamp, queue_time double, "
-               "talk_time double, hold_time int")
-ATTR_STATE = "open boolean, session_no long, started_us long"
-
-
-def _attr_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    call_id = int(key[0])
-    is_open, session_no, started = state.get if state.exists else (False, 0, 0)
-    ev = pd.concat(list(pdfs), ignore_index=True)
-    ev["_us"] = ev["ts"].astype("datetime64[us]").astype("int64")
-    ev = ev.sort_values(["_us", "event_id"], kind="mergesort")
-    out = []
-    for kind, us, eid in zip(ev["kind"], ev["_us"], ev["event_id"]):
-        if kind == "START":
-            is_open, session_no, started = True, session_no + 1, int(us)
-        elif kind == "END":
-            is_open = False
-        elif is_open:
-            secs = (int(us) - started) / 1e6
-            out.append({"call_id": call_id, "session_no": session_no, "event_id": int(eid),
-                        "as_of": pd.Timestamp(int(us), unit="us"), "queue_time": secs, "talk_time": secs,
-                        "hold_time": 0})
-    state.update((is_open, session_no, started))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in ATTR_SCHEMA.split(", ")])
-
-
-def attribute_stream(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """ST-6: contact attributes on every live update of an open call (with a
-    processing-time trigger of 5 s this is the 5-second refresh); state per
-    call is the open flag, session number and start."""
-    return (events.withWatermark("ts", watermark).select("call_id", "event_id", "ts", "kind")
-            .groupBy("call_id")
-            .applyInPandasWithState(_attr_fn, ATTR_SCHEMA, ATTR_STATE, "append", GroupStateTimeout.NoTimeout))
+def attribute_stream(scored: DataFrame, **kw) -> DataFrame:
+    """ST-6: contact attributes on every accepted live update of an open call."""
+    rows = live_stream(scored, **kw).filter(F.col("outcome") == "SCORED")
+    secs = elapsed_seconds("ts", "started_at")
+    return rows.select("call_id", "session_no", "event_id", F.col("ts").alias("as_of"), secs.alias("queue_time"),
+                       secs.alias("talk_time"), F.lit(0).alias("hold_time"))

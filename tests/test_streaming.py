@@ -35,20 +35,64 @@ def _norm(rows):
     return out
 
 
-def test_session_stream_equals_batch_twin(spark, scratch):
+LIVE = dict(watermark="1 hour", keep_ms=10**12, timeout_ms=10**12)
+
+
+def _shuffled(spark, df, path, files=3):
+    """The events dealt to files at random, inside a watermark of 400 days all arrive in time; a last file
+    far ahead moves the watermark past every event."""
+    df.withColumn("_f", F.pmod(F.xxhash64("event_id"), F.lit(files))).repartition(files, "_f").drop("_f") \
+        .write.mode("append").parquet(path)
+    ahead = df.limit(1).withColumn("ts", F.lit("2030-01-01").cast("timestamp")).withColumn("call_id", F.lit(-1).cast("long")) \
+        .withColumn("kind", F.lit("SEGMENT")).select(*df.columns)
+    for k in range(2):
+        ahead.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {k} DAYS")).coalesce(1).write.mode("append").parquet(path)
+
+
+def _live(spark, scratch, snaps, make, name, per_trigger=1, **kw):
+    """The rows that a live stream gives for shuffled arrivals."""
+    src = os.path.join(scratch, name)
+    _shuffled(spark, snaps, src)
+    stream = spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", per_trigger).parquet(src)
+    out = make(ST.score_events(stream, AD.crm(spark, SF_SMALL)), **{**LIVE, "watermark": "400 days", **kw})
+    q = (out.writeStream.format("memory").queryName(name).outputMode("append")
+         .option("checkpointLocation", os.path.join(scratch, f"ck_{name}")).trigger(availableNow=True).start())
+    q.awaitTermination(600)
+    return spark.table(name).filter("call_id >= 0")
+
+
+def _hot(spark):
+    """Live events in which one call holds a third of all rows, with bursts, sessions under 30 s and several
+    scores per 10 seconds."""
     snaps = AD.snapshots(spark, SF_SMALL)
+    fast = snaps.withColumn("call_id", F.lit(3).cast("long")).withColumn(
+        "ts", F.lit("2024-01-05").cast("timestamp") + F.make_dt_interval(secs=F.col("event_id") * 1.7)) \
+        .withColumn("event_id", F.col("event_id") + 10_000_000).filter(F.pmod(F.col("event_id"), F.lit(2)) == 0)
+    return snaps.unionByName(fast)
+
+
+def test_session_stream_equals_batch_twin(spark, scratch):
     crm = AD.crm(spark, SF_SMALL)
-    src = os.path.join(scratch, "snapshots")
-    _write_in_time_slices(snaps, src, ["2024-01-10", "2024-01-20"])
-    stream = spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", 2).parquet(src)
-    out = ST.session_stream(ST.score_events(stream, crm))
-    q = (out.writeStream.format("memory").queryName("sessions_out").outputMode("append")
-         .option("checkpointLocation", os.path.join(scratch, "ck")).trigger(availableNow=True).start())
-    q.awaitTermination(300)
-    got = spark.table("sessions_out").collect()
-    twin = SE.session_summaries(snaps, crm).filter(F.col("status").isin("ENDED", "REPLACED")).collect()
-    assert len(twin) > 0
-    assert _norm(got) == _norm(twin)
+    for name, snaps in (("sessions_out", AD.snapshots(spark, SF_SMALL)), ("sessions_hot", _hot(spark))):
+        got = _live(spark, scratch, snaps, ST.session_stream, name).collect()
+        twin = SE.session_summaries(snaps, crm).filter(F.col("status").isin("ENDED", "REPLACED")).collect()
+        assert len(twin) > 0
+        assert _norm(got) == _norm(twin) and len(got) == len(twin)
+
+
+def test_outcomes_equal_batch_twin(spark, scratch):
+    snaps = _hot(spark)
+    crm = AD.crm(spark, SF_SMALL)
+    got = _live(spark, scratch, snaps, lambda s, **kw: ST.live_results(s, crm, **kw), "live_out")
+    want = SE.classify_events(snaps).select("event_id", "call_id", "session_no", "outcome")
+    mine = got.filter(F.col("outcome").isin("OPENED", "SCORED", "CLOSED", "REJECTED"))
+    assert mine.count() == want.count()
+    assert mine.select(*want.columns).exceptAll(want).count() == 0
+    scored = SE.scored_events(SE.classify_events(snaps), AD.crm(spark, SF_SMALL)).select("event_id", "risk_score")
+    assert mine.filter("outcome = 'SCORED'").select("event_id", "risk_score").exceptAll(scored).count() == 0
+    row = mine.filter("outcome = 'SCORED'").first()
+    assert row["risk_category"] and len(row["recommendations"]) > 0 and row["factors"] is not None
+    assert mine.filter("outcome = 'REJECTED' AND error IS NULL").count() == 0
 
 
 def test_trigger_stream_equals_batch(spark, scratch):
@@ -65,26 +109,13 @@ def test_trigger_stream_equals_batch(spark, scratch):
     assert got.exceptAll(want).count() == 0
 
 
-def test_rescoring_stream_windows(spark, scratch):
-    snaps = AD.snapshots(spark, SF_SMALL)
-    crm = AD.crm(spark, SF_SMALL)
-    src = os.path.join(scratch, "snap2")
-    _write_in_time_slices(snaps, src, ["2024-01-10", "2024-01-20"])
-    stream = spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", 2).parquet(src)
-    q = (ST.rescoring_stream(ST.score_events(stream, crm)).writeStream.format("memory").queryName("rescore_out")
-         .option("checkpointLocation", os.path.join(scratch, "ck3")).trigger(availableNow=True).start())
-    q.awaitTermination(300)
-    got = spark.table("rescore_out")
-    # batch form: every window whose end the final watermark (max ts - 1 minute) has passed
-    seg = ST.score_events(snaps, crm).filter(F.col("kind") == "SEGMENT")
-    wm = seg.agg(F.max("ts")).first()[0]
-    want = (seg.groupBy("call_id", F.window("ts", "10 seconds").alias("w"))
-            .agg(F.max_by(F.struct("event_id", "risk_score"), F.struct("ts", "event_id")).alias("l"))
-            .select("call_id", F.col("w.end").alias("window_end"), F.col("l.event_id").alias("event_id"),
-                    F.col("l.risk_score").alias("risk_score"))
-            .filter(F.col("window_end") <= F.lit(wm) - F.expr("INTERVAL 1 MINUTE")))
-    assert got.count() == want.count() > 0
-    assert got.exceptAll(want).count() == 0
+def test_rescoring_stream_equals_batch_twin(spark, scratch):
+    snaps = _hot(spark)
+    got = _live(spark, scratch, snaps, ST.rescoring_stream, "rescore_out")
+    want = SE.periodic_rescoring(snaps, AD.crm(spark, SF_SMALL))
+    scored = SE.classify_events(snaps).filter("outcome = 'SCORED'").count()
+    assert got.count() == want.count() and 0 < want.count() < scored     # windows merged, young sessions left out
+    assert got.select(*want.columns).exceptAll(want).count() == 0
 
 
 def test_segment_buffer_stream_equals_batch(spark, scratch):
@@ -186,7 +217,7 @@ def test_session_timeout_closes_abandoned_call(spark, scratch):
         df.coalesce(1).write.mode("append").parquet(src)      # one file per arrival, in time order
     crm = AD.crm(spark, SF_SMALL)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    out = ST.session_stream(ST.score_events(stream, crm), watermark="1 hour", timeout_ms=3_600_000)
+    out = ST.session_stream(ST.score_events(stream, crm), watermark="1 hour", timeout_ms=3_600_000, keep_ms=3_600_000)
     q = (out.writeStream.format("memory").queryName("timeout_out").outputMode("append")
          .option("checkpointLocation", os.path.join(scratch, "ck8")).trigger(availableNow=True).start())
     q.awaitTermination(300)
@@ -196,36 +227,40 @@ def test_session_timeout_closes_abandoned_call(spark, scratch):
     assert (9, "TIMED_OUT") not in got                   # still within its timeout
 
 
-def test_score_cache_stream_expires_after_ttl(spark, scratch):
-    rows = [[(1, 7, "2024-01-01 10:00:00", "SEGMENT", -0.9), (2, 8, "2024-01-01 10:00:00", "SEGMENT", 0.2)],
-            [(3, 8, "2024-01-01 10:50:00", "SEGMENT", -0.2)],
-            [(4, 9, "2024-01-01 11:30:00", "SEGMENT", 0.5)]]
-    src = os.path.join(scratch, "cache")
-    for part in rows:
-        spark.createDataFrame(part, "event_id long, call_id long, ts string, kind string, customer_sentiment double") \
-            .withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(src)
-    schema = "event_id long, call_id long, ts timestamp, kind string, customer_sentiment double"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    out = ST.score_cache_stream(ST.score_events(stream, AD.crm(spark, SF_SMALL)))
-    q = (out.writeStream.format("memory").queryName("cache_out").outputMode("update")
-         .option("checkpointLocation", os.path.join(scratch, "ck9")).trigger(availableNow=True).start())
-    q.awaitTermination(300)
-    rows_out = spark.table("cache_out").collect()
-    expired = {r["call_id"] for r in rows_out if not r["cached"]}
-    assert expired == {7}            # 10:00 + 1 h < watermark (11:30 - 10 min); call 8 was refreshed at 10:50
-    latest8 = max((r for r in rows_out if r["call_id"] == 8), key=lambda r: r["scored_at"])
-    assert str(latest8["scored_at"]).startswith("2024-01-01 10:50")
+def test_score_cache_stream_equals_batch_twin_and_expires(spark, scratch):
+    snaps = _hot(spark)
+    got = _live(spark, scratch, snaps, ST.score_cache_stream, "cache_out")
+    latest = got.filter("cached").groupBy("call_id").agg(
+        F.max_by(F.struct("session_no", "scored_at", "risk_score"), F.struct("scored_at", "event_id")).alias("r")) \
+        .select("call_id", "r.*")
+    want = SE.score_cache(snaps, AD.crm(spark, SF_SMALL), "2029-01-01 00:00:00", ttl_s=10**9)
+    assert latest.count() == want.count() > 0
+    assert latest.select(*want.columns).exceptAll(want).count() == 0
+    expired = {r["call_id"] for r in got.filter("NOT cached").collect()}
+    assert expired == {r["call_id"] for r in want.collect()}             # the watermark is years ahead
 
 
 def test_attribute_stream_equals_batch(spark, scratch):
-    snaps = AD.snapshots(spark, SF_SMALL)
-    src = os.path.join(scratch, "attr")
-    _write_in_time_slices(snaps, src, ["2024-01-10", "2024-01-20"])
-    stream = spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (ST.attribute_stream(stream).writeStream.format("memory").queryName("attr_out")
-         .option("checkpointLocation", os.path.join(scratch, "ck10")).trigger(availableNow=True).start())
-    q.awaitTermination(300)
-    got = spark.table("attr_out")
+    snaps = _hot(spark)
+    got = _live(spark, scratch, snaps, ST.attribute_stream, "attr_out")
     want = SE.attribute_updates(snaps)
     assert got.count() == want.count() > 0
-    assert got.exceptAll(want).count() == 0
+    assert got.exceptAll(want.select(*got.columns)).count() == 0
+
+
+def test_late_start_inside_the_watermark_keeps_its_score(spark, scratch):
+    kind = ("event_id long, call_id long, ts string, kind string, agent_id string, customer_sentiment double")
+    rows = [[(2, 7, "2024-01-01 10:00:05", "SEGMENT", "a", -0.9)], [(1, 7, "2024-01-01 10:00:00", "START", "a", 0.0)],
+            [(3, 7, "2024-01-01 10:00:30", "END", "a", 0.0)], [(9, -1, "2024-01-02 10:00:00", "START", "b", 0.0)],
+            [(10, -1, "2024-01-02 11:00:00", "END", "b", 0.0)]]
+    src = os.path.join(scratch, "late")
+    for part in rows:
+        df = spark.createDataFrame(part, kind).withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = ST.session_stream(ST.score_events(stream, AD.crm(spark, SF_SMALL)), keep_ms=3_600_000)
+    q = (out.writeStream.format("memory").queryName("late_out").outputMode("append")
+         .option("checkpointLocation", os.path.join(scratch, "ckl")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    row = spark.table("late_out").filter("call_id = 7").collect()
+    assert [(r["status"], r["n_scores"], r["duration_s"]) for r in row] == [("ENDED", 1, 30.0)]
