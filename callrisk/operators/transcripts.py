@@ -20,12 +20,13 @@ def segment_buffer(segments: DataFrame, n: int = S.SEGMENT_BUFFER) -> DataFrame:
     return segments.withColumn("pos", F.row_number().over(newest)).filter(F.col("pos") <= n)
 
 
-def transcript_view(buf: DataFrame) -> DataFrame:
-    """TOP-5 / ST-4: latest segment, buffered count and elapsed seconds."""
-    return buf.groupBy("contact_id").agg(
+def transcript_view(segments: DataFrame, n: int = S.SEGMENT_BUFFER) -> DataFrame:
+    """TOP-5 / ST-4: latest segment, buffered count (at most ``n``) and seconds since the call's first
+    segment; one aggregate over all segments."""
+    return segments.groupBy("contact_id").agg(
         F.max("segment_id").alias("latest_segment_id"),
         F.max_by("speaker", "segment_id").alias("latest_speaker"),
-        F.count(F.lit(1)).alias("segment_count"),
+        F.least(F.count(F.lit(1)), F.lit(n)).alias("segment_count"),
         (F.unix_seconds(F.max("timestamp")) - F.unix_seconds(F.min("timestamp"))).alias("call_duration"))
 
 

@@ -64,7 +64,8 @@ CRM = """crm AS (
              FROM orders GROUP BY o_custkey) oc ON c_custkey = oc.o_custkey)"""
 
 SNAPSHOTS = """snapshots AS (
-  SELECT event_id, user_id AS call_id, CAST(ts AS TIMESTAMP) AS ts,
+  SELECT event_id, user_id AS call_id,
+         make_timestamp(CAST(us - us % 86400000000 + 41400000000 + (us % 86400000000) // 5000 AS BIGINT)) AS ts,
          CASE event_type WHEN 'signup' THEN 'START' WHEN 'error' THEN 'END' ELSE 'SEGMENT' END AS kind,
          CASE WHEN event_type = 'purchase' THEN 'CUSTOMER'
               WHEN event_type IN ('click', 'view') THEN 'AGENT' END AS speaker,
@@ -72,14 +73,14 @@ SNAPSHOTS = """snapshots AS (
          CAST(NULL AS DOUBLE) AS agent_sentiment,
          least(value, CAST(100.0 AS DOUBLE)) / 50.0 - 1.0 AS customer_sentiment,
          CAST(NULL AS DOUBLE) AS confidence, props
-  FROM events)"""
+  FROM (SELECT * EXCLUDE (ts), epoch_us(CAST(ts AS TIMESTAMP)) AS us FROM events))"""
 
 SEGMENTS = """segments AS (
-  SELECT conv_id AS contact_id, turn AS segment_id,
+  SELECT conv_id // 4 AS contact_id, (conv_id % 4) * 1000 + turn AS segment_id,
          CASE WHEN role = 'user' THEN 'CUSTOMER' ELSE 'AGENT' END AS speaker, text,
          CAST((length(text) % 101) / 100.0 AS DOUBLE) AS positive_score,
          CAST(((length(text) * 7) % 101) / 100.0 AS DOUBLE) AS negative_score,
-         1704067200 + conv_id * 3600 + turn * 5 AS epoch_s
+         1704067200 + (conv_id // 4) * 36000 + ((conv_id % 4) * 1000 + turn) * 5 AS epoch_s
   FROM conversations WHERE role IN ('user', 'assistant'))"""
 
 PROFILE = """profile AS (

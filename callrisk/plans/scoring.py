@@ -190,14 +190,14 @@ def q_segment_buffer(spark, d):
     return TR.segment_buffer(AD.segments(spark, d)).select("contact_id", "segment_id", "pos", "speaker")
 
 
-@register("latest_segment", _BUF_CTE + """
-SELECT contact_id, arg_max(segment_id, segment_id) AS latest_segment_id,
-       arg_max(speaker, segment_id) AS latest_speaker, CAST(count(*) AS BIGINT) AS segment_count,
+@register("latest_segment", with_views("segments") + """
+SELECT contact_id, max(segment_id) AS latest_segment_id,
+       arg_max(speaker, segment_id) AS latest_speaker, least(CAST(count(*) AS BIGINT), 10) AS segment_count,
        CAST(max(epoch_s) - min(epoch_s) AS BIGINT) AS call_duration
-FROM buf GROUP BY contact_id""")
+FROM segments GROUP BY contact_id""")
 def q_latest_segment(spark, d):
-    """TOP-5 / ST-4: latest segment, buffered count and elapsed seconds per contact."""
-    return TR.transcript_view(TR.segment_buffer(AD.segments(spark, d)))
+    """TOP-5 / ST-4: latest segment, buffered count and seconds since the first segment per contact."""
+    return TR.transcript_view(AD.segments(spark, d))
 
 
 @register("first_customer_segment", with_views("segments") + """

@@ -21,6 +21,10 @@ CRM_HIGH_BALANCE = 30000.0
 CRM_IRREGULAR_PENDING = 4
 CRM_WATCH_SEGMENT = "MACHINERY"
 CRM_HEAVY_CALLER = 12
+DAY_MICROS = 86_400_000_000
+LIVE_START_MICROS = 41_400_000_000
+LIVE_SPEED_UP = 5_000
+CONTACT_PARTS = 4               # conversations that follow each other in one contact
 AGENT_POOL = 12                 # live calls are assigned to agent-<user_id % 12>
 
 
@@ -115,13 +119,21 @@ def crm_from_customers(customer: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
+def live_time(ts) -> F.Column:
+    """A day's events drawn together to a few seconds from 11:30 on, so that bursts, several scores in one
+    period and sessions of a few seconds occur as in live calls."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    of_day = F.pmod(micros, F.lit(DAY_MICROS))
+    return F.timestamp_micros(micros - of_day + LIVE_START_MICROS + F.floor(of_day / LIVE_SPEED_UP).cast("long"))
+
+
 def snapshots_from_events(events: DataFrame) -> DataFrame:
     """Live call snapshots: one row per event of a call (call_id = user_id)."""
     et = F.col("event_type")
     return events.select(
         F.col("event_id"),
         F.col("user_id").alias("call_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        live_time("ts").alias("ts"),
         F.when(et == "signup", "START").when(et == "error", "END").otherwise("SEGMENT").alias("kind"),
         F.when(et == "purchase", "CUSTOMER").when(et.isin("click", "view"), "AGENT")
         .cast("string").alias("speaker"),
@@ -134,15 +146,18 @@ def snapshots_from_events(events: DataFrame) -> DataFrame:
 
 
 def segments_from_conversations(conversations: DataFrame) -> DataFrame:
-    """Transcript segments; system turns are dropped."""
+    """Transcript segments; system turns are dropped.  A contact is ``CONTACT_PARTS`` conversations one
+    after the other."""
     role = F.col("role")
+    contact = F.floor(F.col("conv_id") / CONTACT_PARTS).cast("long")
+    segment = (F.col("conv_id") % CONTACT_PARTS) * 1000 + F.col("turn")
     n = F.length("text")
     pos = ((n % 101) / 100.0).cast("double")
     neg = (((n * 7) % 101) / 100.0).cast("double")
     return (conversations.filter(role.isin("user", "assistant"))
             .select(
-                F.col("conv_id").alias("contact_id"),
-                F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 5)
+                contact.alias("contact_id"),
+                F.timestamp_seconds(F.lit(1704067200) + contact * 36000 + segment * 5)
                 .alias("timestamp"),
                 F.when(role == "user", "CUSTOMER").otherwise("AGENT").alias("speaker"),
                 F.col("text"),
@@ -153,7 +168,7 @@ def segments_from_conversations(conversations: DataFrame) -> DataFrame:
                     pos.alias("positive_score"), neg.alias("negative_score"),
                     F.greatest(F.lit(0.0), 1.0 - pos - neg).alias("neutral_score"),
                 ).alias("sentiment"),
-                F.col("turn").alias("segment_id"),
+                segment.alias("segment_id"),
             ))
 
 

@@ -23,6 +23,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from .. import schema as S
 from ..functions.scalar import elapsed_seconds
 from ..operators.rules import agent_recommendations, realtime_band, risk_factors, rule_score
+from ..operators.transcripts import transcript_view
 from ..sources.events import contact_triggers
 
 MICROS = 1_000_000
@@ -245,12 +246,8 @@ def rescoring_stream(scored: DataFrame, **kw) -> DataFrame:
 
 
 def latest_view_stream(segments: DataFrame) -> DataFrame:
-    """ST-4: latest segment, count and span per contact (update mode)."""
-    return segments.groupBy("contact_id").agg(
-        F.max("segment_id").alias("latest_segment_id"),
-        F.max_by("speaker", "segment_id").alias("latest_speaker"),
-        F.count(F.lit(1)).alias("segment_count"),
-        (F.unix_seconds(F.max("timestamp")) - F.unix_seconds(F.min("timestamp"))).alias("call_duration"))
+    """ST-4: latest segment, buffered count and seconds since the first segment per contact (update mode)."""
+    return transcript_view(segments)
 
 
 def checkpoint_location(spark, name: str) -> str:
