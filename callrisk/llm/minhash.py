@@ -14,6 +14,7 @@ columns are left out; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ BITS = 4
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+@lru_cache(maxsize=4096)
 def _draws(attempt: int) -> np.ndarray:
     """The bin that each empty bin looks at in one attempt."""
     seed = np.arange(BINS, dtype=np.uint64) + np.uint64(BINS * attempt) + np.uint64(1)
@@ -48,14 +50,15 @@ def sketch(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray
     bins = bins.reshape(rows, BINS)
     some = n > 0
     filled = bins != _EMPTY
-    empty = ~filled & some[:, None]
+    alone = filled.sum(axis=1) == 1  # every draw ends in the one filled bin
+    bins[alone] = bins[alone].min(axis=1, keepdims=True)
+    r, b = np.nonzero(~filled & (some & ~alone)[:, None])
     attempt = 0
-    while empty.any():
-        r, b = np.nonzero(empty)
+    while len(r):
         source = _draws(attempt)[b]
         good = filled[r, source]
         bins[r[good], b[good]] = bins[r[good], source[good]]
-        empty[r[good], b[good]] = False
+        r, b = r[~good], b[~good]
         attempt += 1
     # a bin's low bits come from its value and its number: copies of one value agree by chance in each
     # bin anew, not in all or none
