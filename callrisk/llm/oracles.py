@@ -38,3 +38,23 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(word.n_hit, 0) AS
        coalesce(word.n_hit, 0) > 0 AS contaminated
 FROM doc d LEFT JOIN word ON d.doc_id = word.doc_id LEFT JOIN found ON d.doc_id = found.doc_id
 """
+
+ORACLE["op1_bwt_dedup"] = """
+WITH body AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+block AS (SELECT doc_id, k, substr(h, 800 * k + 1, 1600) AS h
+          FROM (SELECT doc_id, h, unnest(range(0, len(h) // 800 + 1)) AS k FROM body)),
+start AS (SELECT doc_id, k, h, unnest(range(0, least(greatest(len(h) // 2 - 399, 0), 400))) AS j FROM block),
+win AS (SELECT doc_id, 400 * k + j AS i, hash(substr(h, 2 * j + 1, 800)) AS w FROM start),
+again AS (SELECT doc_id, i FROM win WHERE w IN (SELECT w FROM win GROUP BY w HAVING count(*) > 1)),
+marked AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, true) AS fresh FROM again),
+run AS (SELECT doc_id, i, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked),
+span AS (SELECT doc_id, k, min(i) AS a, max(i) + 400 AS b FROM run GROUP BY doc_id, k),
+gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM span),
+kept AS (SELECT g.doc_id, count(*) AS n_spans, sum(g.b - g.a) AS n_removed, max(g.b) AS last,
+                string_agg(substr(t.h, 2 * g.c + 1, 2 * (g.a - g.c)), '' ORDER BY g.a) AS h
+         FROM gap g JOIN body t ON g.doc_id = t.doc_id GROUP BY g.doc_id)
+SELECT t.doc_id, CAST(len(t.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(k.n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN k.doc_id IS NULL THEN t.h ELSE k.h || substr(t.h, 2 * k.last + 1) END)) AS kept_sha256
+FROM body t LEFT JOIN kept k ON t.doc_id = k.doc_id
+"""
