@@ -41,3 +41,15 @@ def test_no_python_udfs(spark, name):
     p = plan(df)
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
     assert "WholeStageCodegen" in p or "codegen id" in p
+
+
+def test_scored_customers_read_lineitem_once_and_only_what_they_need(spark):
+    p = plan(E.queries()["top_risk_customers"](spark, SF_SMALL))
+    assert "ExistingRDD" not in p
+    schemas = [line for line in p.splitlines() if "ReadSchema" in line and "l_orderkey" in line]
+    assert len(schemas) == 1 and "l_quantity" not in schemas[0] and "l_shipdate" not in schemas[0]
+
+
+def test_last_segments_are_limited_before_the_shuffle(spark):
+    p = plan(E.queries()["segment_buffer"](spark, SF_SMALL))
+    assert "WindowGroupLimit" in p
