@@ -73,8 +73,8 @@ def sentencepiece_model(tokens: list[bytes]) -> bytes:
     return bytes(out) + _field(2, trainer) + _field(3, normaliser)
 
 
-class Codec:
-    """Encoder and decoder of one worker process."""
+class Encoder:
+    """Encoder of one worker process."""
 
     def __init__(self, tokens: list[bytes], model: bytes):
         import sentencepiece
@@ -83,9 +83,6 @@ class Codec:
         self.whole = {t: [i] for i, t in enumerate(tokens)}
         self.table = pretokens.classes("tiktoken")
         self.pool = pretokens.TokenPool(self._encode)
-        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
-        self.start, self.length = offsets_of(lengths)[:-1], lengths
 
     def _encode(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """A pre-token that is itself in the vocabulary is that token, the others are merged."""
@@ -95,7 +92,7 @@ class Codec:
             ids[i] = x
         return pretokens.concatenated(ids)
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, concatenated, and ids per row."""
         piece = pretokens.Piece(data, offsets, self.table)
         entry = self.pool.lookup(piece.tokens)[piece.which] if len(piece.which) else piece.which
@@ -103,20 +100,22 @@ class Codec:
         ids = self.pool.flat[ragged_index(self.pool.offsets[entry], size)]
         return ids, np.bincount(piece.row, size, piece.rows).astype(np.int64)
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+class Decoder:
+    """Inverse of the byte mapping: the bytes of each id, back to back."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.start = offsets_of(self.length)[:-1]
+
+    def __call__(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the ids, and the offset of each id's bytes."""
         size = self.length[ids]
         return self.flat[ragged_index(self.start[ids], size)], offsets_of(size)
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def _codec(path: str, tokens: list[bytes], model: bytes) -> Codec:
-    """The codec of this worker process, built once."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(tokens, model)
-    return _CODECS[path]
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,10 +128,11 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     model = sentencepiece_model(tokens)
 
     def run(batch):
-        codec = _codec(vocabulary, tokens, model)
+        if vocabulary not in _ENCODERS:  # once for each worker process
+            _ENCODERS[vocabulary] = Encoder(tokens, model)
         data, offsets = utf8(batch.column(1))
         for a, b in pieces(offsets):
-            ids, count = codec.encode(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+            ids, count = _ENCODERS[vocabulary](data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
             yield {id_col: batch.column(0).slice(a, b - a), "n_tokens": count,
                    "ids": binary(4 * offsets_of(count), ids.astype("<u4"))}
 
@@ -143,17 +143,15 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, n_tokens, ids, decoded binary) for rows of little-endian unsigned 32-bit ids; null ids
     decode to empty bytes.  Columns of ``df`` with these names are replaced, others left out."""
-    tokens = read_ranks(vocabulary)
-    model = sentencepiece_model(tokens)
+    decoder = Decoder(read_ranks(vocabulary))
 
     def run(batch):
-        codec = _codec(vocabulary, tokens, model)
         data, offsets = utf8(batch.column(1))
         for a, b in pieces(offsets):
             body = data[offsets[a]:offsets[b]]
             ids = np.frombuffer(body.tobytes(), "<u4")
             bounds = (offsets[a:b + 1] - offsets[a]) // 4
-            decoded, at = codec.decode(ids)
+            decoded, at = decoder(ids)
             yield {id_col: batch.column(0).slice(a, b - a), "n_tokens": np.diff(bounds),
                    ids_col: binary(4 * bounds, body), "decoded": binary(at[bounds], decoded)}
 
