@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import NOT_SPACE, RangeHash, ascii_lower, mix, pieces, utf8, word_ranges
-from .tasks import map_arrow, texts
+from .tasks import least_by_hash, map_arrow, texts
 
 SAMPLE = 4000
 DIMENSIONS = 48
@@ -116,7 +116,7 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", train: Column
     docs = texts(df, id_col, text_col)
     known = rows.select(F.col(label_id).alias("id"), F.col(label).cast("double").alias("y")) \
         .join(docs.select("id").distinct(), "id", "left_semi")
-    sample = known.orderBy(F.xxhash64("id"), "id", "y").limit(SAMPLE)  # the documented bound
+    sample = least_by_hash(known, "id", SAMPLE).drop("hash")  # the documented bound
 
     def run(batch):
         data, offsets = utf8(batch.column(1))

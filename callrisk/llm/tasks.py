@@ -108,3 +108,18 @@ def range_of(id_col: Column, bounds: list) -> Column:
         return F.when(id_col.isNull(), -1).otherwise(0)
     below = F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= id_col)
     return F.when(id_col.isNull(), -1).otherwise(F.size(below))
+
+
+def least_by_hash(df: DataFrame, key: str, size: int) -> DataFrame:
+    """The ``size`` rows of least hash of ``key``: a sample that depends on nothing else.
+
+    Only rows below a threshold that leaves about four times as many are sorted, so the tasks together
+    send a bounded number of rows however many tasks there are; should too few be left, all are sorted.
+    """
+    hashed = df.withColumn("hash", F.xxhash64(key))
+    n = df.count()
+    if n > 8 * size:
+        few = hashed.where(F.col("hash") < F.lit(int(-2 ** 63 + 2 ** 64 * 4 * size / n)))
+        if few.count() >= size:
+            hashed = few
+    return hashed.orderBy("hash").limit(size)
