@@ -41,7 +41,7 @@ from .tasks import gathered, texts, written
 
 GRAM = 16
 WINDOW = 64
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 
 
 def depth(length: int) -> int:
@@ -283,11 +283,12 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     bound_batches(spark)
     bits = exchange.bucket_bits(spark)
     table = exchange.ShardTable(_state(df, length, id_col, text_col))
-    with batch_rows(spark, 2):
-        blocks = merge(table, rounds, bits)
-        out = _checked(table, blocks, length, rounds, bits, df.schema[id_col].dataType, id_col)
-    table.drop()
-    return out
+    try:
+        with batch_rows(spark, 2):
+            blocks = merge(table, rounds, bits)
+            return _checked(table, blocks, length, rounds, bits, df.schema[id_col].dataType, id_col)
+    finally:
+        table.drop()
 
 
 def merge(table: exchange.ShardTable, rounds: int, bits: int) -> DataFrame | None:
@@ -383,8 +384,8 @@ def _checked(table, blocks, length, rounds, bits, id_type, id_col) -> DataFrame:
 
     whole = _with(table, [*merged, "body", "ids"], blocks=blocks, strings=strings, strings_by_anchor=anchors,
                   windows=windows)
-    return written(whole.mapInArrow(remove, f"{id_col} {id_type.simpleString()}, n_bytes long, n_removed long, "
-                                            "n_spans long, kept binary"), "bwt-kept")
+    return whole.mapInArrow(remove, f"{id_col} {id_type.simpleString()}, n_bytes long, n_removed long, "
+                                    "n_spans long, kept binary")
 
 
 def _result(ids, data, offsets, gone, kind, id_col) -> pa.RecordBatch:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tasks import partitions
+from .tasks import partitions, shared_path
 
 REQUEST = "shard long, level int, bucket int, keys binary, counts binary"
 ANSWER = "shard long, level int, bucket int, answer binary, distinct long"
@@ -124,18 +124,23 @@ def answered(column, level: int, width: int) -> np.ndarray:
 
 
 class ShardTable:
-    """A table of shard rows bucketed by shard, so that joins with answers move only the answers."""
+    """A table of shard rows bucketed by shard, so that joins with answers move only the answers.
+
+    Its files lie in the shared checkpoint folder; ``drop`` removes the table's name alone, so plans made
+    before still read them.
+    """
 
     def __init__(self, df: DataFrame):
         self.spark, self.name = df.sparkSession, f"shards_{uuid.uuid4().hex}"
-        (df.write.format("parquet").bucketBy(partitions(self.spark), "shard").sortBy("shard")
-         .saveAsTable(self.name))
+        (df.write.format("parquet").option("path", shared_path(self.spark, "shards"))
+         .bucketBy(partitions(self.spark), "shard").sortBy("shard").saveAsTable(self.name))
+        self.table = self.spark.table(self.name)
 
     def read(self) -> DataFrame:
-        return self.spark.table(self.name)
+        return self.table
 
     def join(self, answers: DataFrame) -> DataFrame:
-        return self.read().join(answers.hint("shuffle_hash"), "shard", "left")
+        return self.table.join(answers.hint("shuffle_hash"), "shard", "left")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
