@@ -31,7 +31,7 @@ from .tasks import gathered, written
 
 ORDER = 2
 DISCOUNT = 0.75
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Hashes of the end and of the start of a document; words have other hashes (64 bits).
 END, START = np.uint64(0xE5D0E5D0E5D0E5D1), np.uint64(0x57A5757A5757A57B)
 
@@ -123,10 +123,11 @@ def score(df: DataFrame, train, order: int = ORDER, id_col: str = "doc_id", text
     ``train``: boolean column of ``df``, true for documents to learn from.
     """
     table = exchange.ShardTable(_state(df, id_col, text_col, train))
-    with batch_rows(df.sparkSession, 2):
-        out = _scored(df, table, order, id_col)
-    table.drop()
-    return out
+    try:
+        with batch_rows(df.sparkSession, 2):
+            return _scored(df, table, order, id_col)
+    finally:
+        table.drop()
 
 
 def _scored(df: DataFrame, table: exchange.ShardTable, order: int, id_col: str) -> DataFrame:
@@ -182,9 +183,8 @@ def _scored(df: DataFrame, table: exchange.ShardTable, order: int, id_col: str)
     id_type = to_arrow_type(kind)
     whole = table.join(gram_answers.join(exchange.by_shard(histories, "histories"), "shard", "left")).select(
         "shard", "ids", "train", "lengths", "words", "tokens", "grams", "histories")
-    out = whole.mapInArrow(traverse, f"{id_col} {kind.simpleString()}, train boolean, n_tokens long, n_known long, "
-                                     "train_tokens long, base_score double, score double")
-    return written(out, "lm-scores")
+    return whole.mapInArrow(traverse, f"{id_col} {kind.simpleString()}, train boolean, n_tokens long, n_known long, "
+                                      "train_tokens long, base_score double, score double")
 
 
 def automaton(shard: Shard, grams, histories, order: int, totals: int, types: int):
