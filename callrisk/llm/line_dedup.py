@@ -2,7 +2,7 @@
 
 Documents are taken in batches of ascending id.  ``LineRuns`` holds the hashes of all line keys seen so
 far as runs: tables bucketed and sorted by the hash, so that a merge join reads them in order without a
-shuffle.  A batch is joined against the runs, its unseen keys become a new run of level 0, and when a
+shuffle.  A batch is merge-joined against the runs, its unseen keys become a new run of level 0, and when a
 level holds ``FANOUT`` runs they are compacted into one run of the next level.  A key's lines stay in the
 document of the least id that holds it: a later batch meets the key in a run, and inside a batch the
 least id owns it.
@@ -34,7 +34,10 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, UPPER.lower())
+    stripped = F.btrim(line, F.lit(BLANKS))
+    # lower() is the same for ASCII text and much cheaper than a character table
+    return F.when(F.octet_length(stripped) == F.char_length(stripped), F.lower(stripped)) \
+        .otherwise(F.translate(stripped, UPPER, UPPER.lower()))
 
 
 def key_hash(line: Column, min_chars: int) -> Column:
@@ -45,75 +48,79 @@ def key_hash(line: Column, min_chars: int) -> Column:
 
 
 class LineRuns:
-    """Levels of sorted runs of (h1, h2); no hash is in two runs."""
+    """Levels of runs: tables of (h1, h2, owner, n, seen) whose rows that are not ``seen`` are the run's
+    hashes; no hash is in two runs."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.levels: list[list[str]] = []
+        self.written: list[str] = []
         self.buckets = partitions(spark)
 
     def runs(self) -> list[str]:
         return [name for level in self.levels for name in level]
 
-    def _write(self, hashes: DataFrame) -> str:
+    def hashes(self, name: str) -> DataFrame:
+        return self.spark.table(name).where("NOT seen").select("h1", "h2")
+
+    def write(self, marked: DataFrame) -> str:
+        """A table bucketed and sorted by the hash (rows grouped or joined by it are in place already)."""
         name = f"line_run_{uuid.uuid4().hex}"
-        (hashes.repartition(self.buckets, "h1", "h2").write.format("parquet")
-         .bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name))
+        (marked.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name))
+        self.written.append(name)
         return name
 
-    def unseen(self, hashes: DataFrame) -> DataFrame:
-        """Merge anti-join against every run."""
-        for name in self.runs():
-            hashes = hashes.join(self.spark.table(name).hint("merge"), ["h1", "h2"], "left_anti")
-        return hashes
-
-    def add(self, hashes: DataFrame) -> None:
-        """Add distinct unseen hashes as a run of level 0, then compact full levels."""
-        new, k = self._write(hashes), 0
+    def seen(self, hashes: DataFrame) -> DataFrame:
+        """Adds ``seen``: whether any run holds the hash (merge join with every run)."""
+        found = F.lit(False)
+        for k, name in enumerate(self.runs()):
+            run = self.hashes(name).withColumn(f"in_{k}", F.lit(True))
+            hashes = hashes.join(run.hint("merge"), ["h1", "h2"], "left")
+            found = found | F.coalesce(F.col(f"in_{k}"), F.lit(False))
+        return hashes.withColumn("seen", found).drop(*[f"in_{k}" for k in range(len(self.runs()))])
+
+    def add(self, name: str) -> None:
+        """Take a written table as a run of level 0, then compact full levels into the next one."""
+        k = 0
         while True:
             if len(self.levels) == k:
                 self.levels.append([])
-            self.levels[k].append(new)
+            self.levels[k].append(name)
             if len(self.levels[k]) < FANOUT:
                 return
             full, self.levels[k] = self.levels[k], []
-            merged = self.spark.table(full[0])
-            for name in full[1:]:
-                merged = merged.unionAll(self.spark.table(name))
-            new = self._write(merged)
-            self._drop(full)
+            merged = self.hashes(full[0])
+            for other in full[1:]:
+                merged = merged.unionAll(self.hashes(other))
+            name = self.write(merged.withColumn("seen", F.lit(False)).repartition(self.buckets, "h1", "h2"))
             k += 1
 
-    def _drop(self, names: list[str]) -> None:
-        for name in names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-
     def close(self) -> None:
-        self._drop(self.runs())
-        self.levels = []
+        for name in self.written:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.levels, self.written = [], []
 
 
 def dropped_keys(keys: DataFrame, batches: list[int]) -> DataFrame:
     """(id, h1, h2) of the keys that a document loses; ``keys``: distinct (id, h1, h2, batch)."""
-    spark = keys.sparkSession
-    runs, out = LineRuns(spark), None
-    for batch in batches:
-        own = keys.where(F.col("batch") == batch).select("id", "h1", "h2")
-        first = own.groupBy("h1", "h2").agg(F.min("id").alias("owner"), F.count("*").alias("n"))
-        first = written(first, "line-owners")
-        fresh = written(runs.unseen(first), "line-fresh")
-        seen = first.join(fresh.select("h1", "h2"), ["h1", "h2"], "left_anti").withColumn("seen", F.lit(True))
-        shared = seen.unionAll(fresh.where("n > 1").withColumn("seen", F.lit(False)))
-        salted = shared.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        mine = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-        lost = (mine.join(salted, ["h1", "h2", "salt"])
-                .where(F.col("seen") | ~F.col("id").eqNullSafe(F.col("owner"))).select("id", "h1", "h2"))
-        lost = written(lost, "line-lost")
-        out = lost if out is None else out.unionAll(lost)
-        if batch != batches[-1]:
-            runs.add(fresh.select("h1", "h2"))
-    runs.close()
-    return out
+    runs, shared = LineRuns(keys.sparkSession), None
+    try:
+        for batch in batches:
+            first = (keys.where(F.col("batch") == batch).groupBy("h1", "h2")
+                     .agg(F.min("id").alias("owner"), F.count("*").alias("n")))
+            marked = runs.write(runs.seen(first))
+            if batch != batches[-1]:
+                runs.add(marked)
+            # what some document of the batch loses: keys of earlier batches, and keys of several documents
+            own = runs.spark.table(marked).where("seen OR n > 1").withColumn("batch", F.lit(batch))
+            shared = own if shared is None else shared.unionAll(own)
+        shared = written(shared, "line-shared")
+    finally:
+        runs.close()
+    salted = shared.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    mine = keys.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    return (mine.join(salted, ["batch", "h1", "h2", "salt"])
+            .where(F.col("seen") | ~F.col("id").eqNullSafe(F.col("owner"))).select("id", "h1", "h2"))
 
 
 def dedup_lines(df: DataFrame, min_chars: int = 10, batches: int = 4, id_col: str = "doc_id",
@@ -127,7 +134,9 @@ def dedup_lines(df: DataFrame, min_chars: int = 10, batches: int = 4, id_col: st
             # null ids come after all others
             .select("id", "k.h1", "k.h2", F.when(F.col("r") < 0, len(bounds) + 1).otherwise(F.col("r")).alias("batch"))
             .distinct())
-    lost = dropped_keys(written(keys, "line-keys"), [*range(len(bounds) + 2)])
+    keys = written(keys, "line-keys")
+    batches_in = sorted(r["batch"] for r in keys.select("batch").distinct().collect())
+    lost = dropped_keys(keys, batches_in or [0])
     per_doc = lost.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost")) \
         .withColumnRenamed("id", "lost_id")
     joined = docs.join(per_doc, F.col("id").eqNullSafe(F.col("lost_id")), "left")

@@ -57,10 +57,10 @@ def test_blanks_case_length_and_repeats(spark):
 def test_runs_are_compacted_and_disjoint(spark):
     runs = line_dedup.LineRuns(spark)
     for k in range(5):
-        batch = spark.range(k * 10, k * 10 + 15).selectExpr("id AS h1", "id AS h2")
-        runs.add(runs.unseen(batch))
+        batch = spark.range(k * 10, k * 10 + 15).selectExpr("id AS h1", "id AS h2", "id AS owner", "1L AS n")
+        runs.add(runs.write(runs.seen(batch)))
     assert [len(level) for level in runs.levels] == [1, 0, 1]
-    seen = [r.h1 for name in runs.runs() for r in spark.table(name).collect()]
+    seen = [r.h1 for name in runs.runs() for r in runs.hashes(name).collect()]
     assert sorted(seen) == list(range(55))
     runs.close()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
