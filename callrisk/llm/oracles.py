@@ -58,3 +58,34 @@ SELECT t.doc_id, CAST(len(t.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(k.n_rem
        sha256(unhex(CASE WHEN k.doc_id IS NULL THEN t.h ELSE k.h || substr(t.h, 2 * k.last + 1) END)) AS kept_sha256
 FROM body t LEFT JOIN kept k ON t.doc_id = k.doc_id
 """
+
+
+def _clusters(rounds: int, k: int, dims: int) -> str:
+    """Rounds of assignment and exact floors, one common table expression each."""
+    gap = "list_sum(list_transform(range(1, {d} + 1), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))".format(d=dims)
+    steps = [f"""vec AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = {dims}
+    AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims}),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) - 1 AS INTEGER) AS c, x
+  FROM vec QUALIFY c < {k})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (
+  SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT v.r, c.c, CAST({gap} AS BIGINT) AS d FROM vec v CROSS JOIN c{n} c) GROUP BY r)""")
+        if n < rounds:
+            steps.append(f"""c{n + 1} AS MATERIALIZED (
+  SELECT old.c, coalesce(new.x, old.x) AS x FROM c{n} old LEFT JOIN (
+    SELECT c, list(CAST(m AS BIGINT) ORDER BY i) AS x FROM (
+      SELECT c, i, (s - ((s % n) + n) % n) // n AS m FROM (
+        SELECT a.c, i, sum(v.x[i]) AS s, count(*) AS n FROM a{n} a JOIN vec v ON a.r = v.r,
+          unnest(range(1, {dims} + 1)) AS p(i) GROUP BY a.c, i)) GROUP BY c) new ON old.c = new.c)""")
+    last = f"a{rounds}"
+    return f"""WITH {", ".join(steps)}
+SELECT v.vec_id, a.c AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM {last} a JOIN vec v ON a.r = v.r JOIN c{rounds} c ON a.c = c.c"""
+
+
+ORACLE["op11_vp_clusters"] = _clusters(rounds=5, k=40, dims=64)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import (backoff_lm, bpe_codec, bwt_dedup, inverted_index, knn_quality, line_dedup, minhash, simhash, token_counts,
-               token_files)
+               token_files, vp_clusters)
 from .oracles import ORACLE  # noqa: F401
 from .tasks import held_out, shared_path
 
@@ -118,3 +118,13 @@ def op1_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repeats_digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_vp_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_digest(vp_clusters.cluster(read_table(spark, sf_dir, "embeddings"), k=40, rounds=5))
+
+
+def cluster_digest(found: DataFrame) -> DataFrame:
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                        F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
