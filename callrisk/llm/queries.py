@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import (backoff_lm, bpe_codec, bwt_dedup, inverted_index, knn_quality, line_dedup, minhash, simhash, token_counts,
-               token_files, vp_clusters)
+from . import (backoff_lm, bpe_codec, bwt_dedup, chat_repair, inverted_index, knn_quality, line_dedup, minhash, simhash,
+               token_counts, token_files, vp_clusters)
 from .oracles import ORACLE  # noqa: F401
 from .tasks import held_out, shared_path
 
@@ -128,3 +128,17 @@ def op11_vp_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_digest(found: DataFrame) -> DataFrame:
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
                         F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
+@query
+def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digest(chat_repair.damaged(read_table(spark, sf_dir, "conversations")))
+
+
+def repair_digest(rows: DataFrame) -> DataFrame:
+    """Plans of all conversations with the digest of their repaired rows."""
+    found, fixed = chat_repair.repair(rows)
+    sums = chat_repair.digests(fixed).withColumnRenamed("id", "of")
+    return found.join(sums, F.col("id").eqNullSafe(F.col("of")), "left").select(
+        F.col("id").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
