@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import (backoff_lm, bpe_codec, bwt_dedup, chat_repair, inverted_index, knn_quality, line_dedup, minhash, simhash,
-               token_counts, token_files, vp_clusters)
+               token_counts, token_files, toxicity, vp_clusters)
 from .oracles import ORACLE  # noqa: F401
 from .tasks import held_out, shared_path
 
@@ -142,3 +142,16 @@ def repair_digest(rows: DataFrame) -> DataFrame:
     return found.join(sums, F.col("id").eqNullSafe(F.col("of")), "left").select(
         F.col("id").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+TOXIC_THRESHOLD = 0.3
+
+
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from the labelled rows whose id's crc32 mod 4 is not 2."""
+    found = toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "toxic",
+                              train=~held_out(F.col("doc_id"), 2, 4))
+    return found.select("doc_id", held_out(F.col("doc_id"), 2, 4).alias("held_out"), "score",
+                        F.when(F.col("score") >= TOXIC_THRESHOLD, 1).otherwise(0).alias("predicted"),
+                        F.col("evidence.id").alias("evidence"))

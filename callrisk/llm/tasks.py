@@ -78,9 +78,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def held_out(id_col: Column, remainder: int) -> Column:
-    """crc32(id as text) mod 5 = remainder; a null id counts as the empty text."""
-    return (F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5) == remainder
+def held_out(id_col: Column, remainder: int, folds: int = 5) -> Column:
+    """crc32(id as text) mod ``folds`` = remainder; a null id counts as the empty text."""
+    return (F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds) == remainder
 
 
 def binary(offsets, body) -> pa.Array:
