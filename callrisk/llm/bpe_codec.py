@@ -3,8 +3,9 @@
 The rank vocabulary becomes a sentencepiece BPE model without any training: piece i is token i with
 every byte written as one private character, its score is minus its rank, and the normaliser is the
 identity.  Sentencepiece merges the pair with the highest score first, leftmost on ties, which is the
-rank order of the byte-level vocabulary.  Pre-tokens are encoded one by one; decoding maps pieces back
-to bytes.
+rank order of the byte-level vocabulary.  Pre-tokens are encoded one by one; one that is itself in the
+vocabulary is that token without a merge (as the rank library has it, also where merging would give
+another split).  Decoding maps pieces back to bytes.
 
 Defined results: null text is empty text (no ids); empty text has no ids and decodes to empty bytes;
 repeated rows and ids give one row each; extra input columns are left out; an empty table gives an
@@ -118,6 +119,14 @@ class Decoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def _encoder(vocabulary: str, tokens: list[bytes], model: bytes) -> Encoder:
+    """The worker's encoder of a vocabulary; a worker keeps one."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[vocabulary] = Encoder(tokens, model)
+    return _ENCODERS[vocabulary]
+
+
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens long, ids binary: little-endian unsigned 32-bit) for every row of ``df``.
 
@@ -128,11 +137,10 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     model = sentencepiece_model(tokens)
 
     def run(batch):
-        if vocabulary not in _ENCODERS:  # once for each worker process
-            _ENCODERS[vocabulary] = Encoder(tokens, model)
+        encoder = _encoder(vocabulary, tokens, model)
         data, offsets = utf8(batch.column(1))
         for a, b in pieces(offsets):
-            ids, count = _ENCODERS[vocabulary](data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+            ids, count = encoder(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
             yield {id_col: batch.column(0).slice(a, b - a), "n_tokens": count,
                    "ids": binary(4 * offsets_of(count), ids.astype("<u4"))}
 
@@ -140,6 +148,28 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                                                         ("n_tokens", "long"), ("ids", "binary")])
 
 
+def transcode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids, decoded): ``decode(encode(df))`` in one Python stage, so that a task has one worker."""
+    tokens = read_ranks(vocabulary)
+    model = sentencepiece_model(tokens)
+    decoder = Decoder(tokens)
+
+    def run(batch):
+        encoder = _encoder(vocabulary, tokens, model)
+        data, offsets = utf8(batch.column(1))
+        for a, b in pieces(offsets):
+            ids, count = encoder(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+            written = ids.astype("<u4")
+            bounds = offsets_of(count)
+            decoded, at = decoder(np.frombuffer(written.tobytes(), "<u4"))
+            yield {id_col: batch.column(0).slice(a, b - a), "n_tokens": count, "ids": binary(4 * bounds, written),
+                   "decoded": binary(at[bounds], decoded)}
+
+    return map_arrow(texts(df, id_col, text_col), run,
+                     [(id_col, df.schema[id_col].dataType), ("n_tokens", "long"), ("ids", "binary"),
+                      ("decoded", "binary")])
+
+
 def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, n_tokens, ids, decoded binary) for rows of little-endian unsigned 32-bit ids; null ids
     decode to empty bytes.  Columns of ``df`` with these names are replaced, others left out."""

@@ -83,17 +83,18 @@ class Shard:
         self.key = np.repeat(np.arange(len(self.terms)), self.counts) << 32 | self.positions
         self.doc_first = offsets_of(np.asarray(n_words, np.int64))
 
-    def find(self, phrases: np.ndarray, bounds: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
-        """Matches of the phrases (flat term hashes, bounds): phrase number and start position."""
+    def find(self, phrases: np.ndarray, bounds: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matches of the phrases (flat term hashes, bounds): phrase number, start position (with slack it may
+        lie before the document) and document."""
         none = np.zeros(0, np.int64)
         if not len(self.terms) or not len(phrases):
-            return none, none
+            return none, none, none
         slot = np.minimum(np.searchsorted(self.terms, phrases), len(self.terms) - 1)
         known = self.terms[slot] == phrases
         size = np.diff(bounds)
         whole = np.flatnonzero(np.logical_and.reduceat(known, bounds[:-1]))
         if not len(whole):
-            return none, none
+            return none, none, none
         # terms of each phrase in order of rarity
         flat = ragged_index(bounds[whole], size[whole])
         of = np.repeat(np.arange(len(whole)), size[whole])
@@ -124,7 +125,7 @@ class Shard:
             phrase, start, doc = phrase[ok], start[ok], doc[ok]
             if not len(phrase):
                 break
-        return whole[phrase], start
+        return whole[phrase], start, doc
 
 
 def test_phrases(items: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -169,11 +170,10 @@ def search(index: DataFrame, items: DataFrame, window: int = 10, slack: int = 0,
             shard = Shard(*(r[c].as_py() for c in ("terms", "postings", "counts", "n_words")))
             owner = np.frombuffer(r["owner"].as_py(), "<i8")
             bounds = offsets_of(np.frombuffer(r["sizes"].as_py(), "<i8"))
-            phrase, start = shard.find(np.frombuffer(r["phrases"].as_py(), np.uint64), bounds, slack)
+            phrase, start, doc = shard.find(np.frombuffer(r["phrases"].as_py(), np.uint64), bounds, slack)
             if not len(phrase):
                 continue
             size = np.diff(bounds)[phrase]
-            doc = np.searchsorted(shard.doc_first, np.maximum(start, 0), "right") - 1
             low = np.maximum(start - slack, shard.doc_first[doc])
             high = np.minimum(start + size + slack, shard.doc_first[doc + 1])
             order = np.lexsort((low, doc))

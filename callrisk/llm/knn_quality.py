@@ -7,7 +7,8 @@ latent space is the span of the leading singular vectors of the labelled sample'
 is projected, its exact cosines with all labelled vectors are computed in blocks, and the ``NEIGHBOURS``
 nearest ones (with all ties) vote with their label, weighted by a power of their similarity.
 
-Learning uses a bounded sample (``SAMPLE`` labelled rows of least id hash); its vectors, the idf weights
+Learning uses a bounded sample (``SAMPLE`` labelled rows of least id hash, and at most ``SAMPLE`` texts of
+them, of least hash of their terms); its vectors, the idf weights
 and the basis are a few megabytes of fixed bound and travel to the tasks with the function.  Only text
 enters a score.
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import NOT_SPACE, RangeHash, ascii_lower, mix, pieces, utf8, word_ranges
-from .tasks import least_by_hash, map_arrow, texts
+from .tasks import least_by_hash, map_arrow, texts, written
 
 SAMPLE = 4000
 DIMENSIONS = 48
@@ -114,8 +115,8 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", train: Column
     if train is not None:
         rows = rows.where(train)
     docs = texts(df, id_col, text_col)
-    known = rows.select(F.col(label_id).alias("id"), F.col(label).cast("double").alias("y")) \
-        .join(docs.select("id").distinct(), "id", "left_semi")
+    known = written(rows.select(F.col(label_id).alias("id"), F.col(label).cast("double").alias("y"))
+                    .join(docs.select("id"), "id", "left_semi"), "labelled")
     sample = least_by_hash(known, "id", SAMPLE).drop("hash")  # the documented bound
 
     def run(batch):
@@ -125,7 +126,9 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", train: Column
             yield {"y": batch.column(2).slice(a, b - a), "x": [r.astype(np.float16).tobytes() for r in terms]}
 
     pairs = docs.join(F.broadcast(sample), "id").select("id", "text", "y")
-    found = map_arrow(pairs, run, [("y", "double"), ("x", "binary")]).toArrow()
+    terms = map_arrow(pairs, run, [("y", "double"), ("x", "binary")])
+    # an id that repeats has a row for each of its texts: the bound holds for the rows too
+    found = least_by_hash(written(terms, "labelled-terms"), "x", SAMPLE).drop("hash").toArrow()
     y = found.column("y").to_numpy()
     raw = b"".join(found.column("x").to_pylist())
     x = np.frombuffer(raw, np.float16).reshape(len(y), WIDTH).astype(np.float32)

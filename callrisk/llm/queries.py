@@ -30,8 +30,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe_codec.encode(read_table(spark, sf_dir, "documents"), vocabulary)
-    return codec_digest(bpe_codec.decode(ids, vocabulary))
+    return codec_digest(bpe_codec.transcode(read_table(spark, sf_dir, "documents"), vocabulary))
 
 
 def codec_digest(coded: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 A file set has two Parquet tables: ``dictionary`` (hash, bytes) and ``segments``.  A segment holds some
 documents in ascending id order: their ids, an index of frame offsets, the frames back to back, the token
 counts and the hash of the dictionary that reads them.  A short document is read by its index entry
-alone.  The dictionary is trained on the serialised id arrays of a bounded sample (``SAMPLE_DOCUMENTS``
-rows of least id hash, ``SAMPLE_CHARACTERS`` each); every document is written whole.
+alone.  The dictionary is trained on the whole serialised id arrays of a bounded sample: the
+``SAMPLE_DOCUMENTS`` rows of least id hash among the documents of at most ``SAMPLE_CHARACTERS`` (short ones
+are what a dictionary helps).  It has ``DICTIONARY_BYTES``, or an eighth of the sample where that is less; a
+sample that the trainer finds too small is itself the dictionary (raw content).
 
 Ids are stored with 2 bytes where the vocabulary allows, else 4.  Documents go to range buckets of the
 document id, whose bounds come from a sort of the id column alone; within a bucket they are sorted and
@@ -88,19 +90,22 @@ def dictionary_hash(body: bytes) -> int:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end: int) -> bytes:
-    """Dictionary from the serialised ids of a bounded sample; empty where the sample is too small."""
+    """Dictionary from the serialised ids of a bounded sample; empty where no document is short."""
     import zstandard
 
-    least = least_by_hash(docs, "id", SAMPLE_DOCUMENTS).select(F.substring("text", 1, SAMPLE_CHARACTERS))
+    short = docs.where(F.coalesce(F.char_length("text"), F.lit(0)) <= SAMPLE_CHARACTERS)
+    least = least_by_hash(short, "id", SAMPLE_DOCUMENTS).select("text")
     rows = sorted((r[0] or "").encode() for r in least.collect())
     encoder = _encoder(tokenizer)
     ids, count = encoder.rows(np.frombuffer(b"".join(rows), np.uint8),
                               offsets_of(np.fromiter(map(len, rows), np.int64, len(rows))), end)
     kind = _dtype(encoder.size)
     samples = [x.astype(kind).tobytes() for x in np.split(ids, np.cumsum(count)[:-1])] if rows else []
-    if sum(map(len, samples)) < 8 * DICTIONARY_BYTES:
-        return b""
-    return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+    total = sum(map(len, samples))
+    try:
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, total // 8), samples).as_bytes()
+    except zstandard.ZstdError:  # too few bytes to train on
+        return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
 def write(df: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id",

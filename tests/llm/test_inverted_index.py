@@ -68,6 +68,15 @@ def test_proximity(spark):
     assert [r[0] for r in run(docs, items, slack=1) if r[2]] == [1, 2]
 
 
+def test_proximity_credits_the_matching_document(spark):
+    """The start of a shifted match may lie in the document before the matching one."""
+    docs = spark.createDataFrame([(1, "x y z w v a a a b b b"), (2, "a c b")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(9, "a b c")], "item_id long, text string")
+    assert [(r[0], r[3]) for r in run(docs, items, slack=2) if r[2]] == [(2, (9,))]
+    first = spark.createDataFrame([(1, "c a b a b")], "doc_id long, text string")   # start before the shard
+    assert [r[0] for r in run(first, items, slack=3) if r[2]] == [1]
+
+
 def test_query_columns(spark):
     df = queries.QUERIES["op5_decontamination"](spark, SF)
     assert df.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]

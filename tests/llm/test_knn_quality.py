@@ -49,3 +49,10 @@ def test_votes_equal_a_plain_computation(documents, spark):
         least = cosine[min(knn_quality.NEIGHBOURS, len(cosine)) - 1][0]
         votes = [(max(c, 0) ** knn_quality.POWER, y) for c, y in cosine if c >= least]
         assert abs(got[r.doc_id] - sum(w * y for w, y in votes) / sum(w for w, _ in votes)) < 0.02
+
+
+def test_sample_is_bounded_where_a_labelled_id_repeats(spark, monkeypatch):
+    monkeypatch.setattr(knn_quality, "SAMPLE", 20)
+    docs = spark.range(500).selectExpr("1L AS doc_id", "concat('word ', id % 100, ' text') AS text")
+    labels = spark.createDataFrame([(1, 1)] * 3, "doc_id long, quality int")
+    assert len(knn_quality.fit(docs, labels).labels) == 20

@@ -78,6 +78,13 @@ def test_codec(table, vocab):
     assert sorted((key(r.doc_id), *r[1:]) for r in got) == sorted(want)
 
 
+def test_one_stage_equals_encode_and_decode(table, vocab):
+    path = vocab("byte_bpe_multi_50k.tiktoken")
+    two, one = bpe_codec.decode(bpe_codec.encode(table, path), path), bpe_codec.transcode(table, path)
+    assert one.schema == two.schema
+    assert sorted((key(r.doc_id), *r[1:]) for r in one.collect()) == sorted((key(r.doc_id), *r[1:]) for r in two.collect())
+
+
 def test_null_ids_decode_to_nothing(spark, vocab):
     df = spark.createDataFrame([(1, None)], "doc_id long, ids binary")
     assert bytes(bpe_codec.decode(df, vocab("byte_bpe_multi_50k.tiktoken")).first()["decoded"]) == b""
@@ -109,3 +116,28 @@ def test_one_document_is_read_by_its_index(documents, vocab, spark, tmp_path):
     few = token_files.read(spark, folder, only=[3, 77]).collect()
     assert sorted(r.id for r in few) == [3, 77]
     assert all(every[r.id] == r for r in few)
+
+
+@pytest.mark.parametrize("rows", [1, 2, 60, 1000])
+def test_dictionary_at_every_size(vocab, spark, tmp_path, rows):
+    """Every file set has a dictionary, frames need it, and reading checks its hash."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(rows)
+    path, folder = vocab("byte_bpe_50k.json"), str(tmp_path / "files")
+    body = token_files.train_dictionary(docs.selectExpr("doc_id AS id", "text"), path, 2)
+    assert 0 < len(body) <= token_files.DICTIONARY_BYTES and (rows < 1000 or len(body) == token_files.DICTIONARY_BYTES)
+    token_files.write(docs, folder, path, end_id=2)
+    saved = spark.read.parquet(f"{folder}/dictionary").first()
+    assert bytes(saved["body"]) == body and saved["hash"] == token_files.dictionary_hash(body)
+    whole = {r.id: r.n_tokens for r in token_files.read(spark, folder).collect()}
+    assert len(whole) == rows
+    plain = sum(len(zstandard.ZstdCompressor(level=token_files.LEVEL).compress(bytes(r.token_ids)))
+                for r in token_files.read(spark, folder).collect())
+    packed = sum(len(r.frames) for r in spark.read.parquet(f"{folder}/segments").collect())
+    assert packed < plain
+    other = str(tmp_path / "other")
+    spark.createDataFrame([(saved["hash"], bytearray(body + b"x"))], "hash long, body binary").write.parquet(f"{other}/dictionary")
+    spark.read.parquet(f"{folder}/segments").write.parquet(f"{other}/segments")
+    with pytest.raises(Exception, match="don't match the segment's hash"):
+        token_files.read(spark, other).collect()
