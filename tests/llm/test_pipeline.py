@@ -5,6 +5,7 @@ import hashlib
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from callrisk.llm import knn_quality, queries
 from callrisk.sources.tables import read_table
@@ -113,3 +114,26 @@ def test_edges_and_empty(edge, empty, spark):
             if name == "simhash":
                 seen = [fingerprint(r.text) for r in docs.collect()]
                 assert all((a ^ b).bit_count() > 4 for k, a in enumerate(seen) for b in seen[:k])
+
+
+CLASHES = ("id", "n_tokens", "fp", "bucket", "shard", "ids", "start", "n_lines", "score", "label", "a", "b", "kept",
+           "n_dropped", "row_number", "row", "rest", "key", "component_id", "n_hit", "n_words", "item_ids", "decoded",
+           "none", "lost", "y", "h", "batch")
+
+
+def test_clashing_columns_pass_every_stage(edge, spark):
+    """Columns named like the operators' own neither stop a stage nor get lost, and change nothing."""
+    plain = edge.select("doc_id", "text")
+    for name in CLASHES:
+        edge = edge.withColumn(name, F.lit("clash"))
+    for name, stage in corpus_pipeline.STAGES:
+        after, bare = stage(spark, edge, SF), stage(spark, plain, SF)
+        if name == "bpe":
+            assert sorted(map(str, after.collect())) == sorted(map(str, bare.collect()))
+            continue
+        assert after.columns == edge.columns
+        rows = after.collect()
+        assert all(r[c] == "clash" for r in rows for c in CLASHES)
+        as_sent = lambda found: sorted(((r.doc_id, r.text) for r in found), key=str)
+        assert as_sent(rows) == as_sent(bare.collect())
+        edge, plain = after.cache(), bare.cache()
