@@ -11,7 +11,9 @@ A line's key is the line without ASCII white space at both ends, A-Z lower-cased
 ``min_chars`` code points never drop.  Keys are compared by two independent 64-bit hashes.
 
 A common line costs one row per map task before the shuffle that finds its owner, and its occurrences
-are spread over ``SALTS`` salted copies of the owner row in the join that marks them.
+are spread over ``SALTS`` salted copies of the owner row in the join that marks them.  Marked lines are line
+numbers of a row, known by its id and the hash of its text, so that the texts are cut without hashing them
+again and rows of equal or null id are spread out too.
 
 Defined results: null and empty text is one empty line; rows of equal id count as one document and none
 loses a line to the other; null ids count as one document after all others; named extra columns are
@@ -25,7 +27,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tasks import id_bounds, partitions, range_of, written
+from .tasks import discard, id_bounds, partitions, range_of, shared_path, written
 
 FANOUT = 2
 SALTS = 8
@@ -48,13 +50,13 @@ def key_hash(line: Column, min_chars: int) -> Column:
 
 
 class LineRuns:
-    """Levels of runs: tables of (h1, h2, owner, n, seen) whose rows that are not ``seen`` are the run's
-    hashes; no hash is in two runs."""
+    """Levels of runs: tables of (h1, h2, owner, several, seen) in the shared folder, whose rows that are not
+    ``seen`` are the run's hashes; no hash is in two runs."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.levels: list[list[str]] = []
-        self.written: list[str] = []
+        self.written: dict[str, str] = {}
         self.buckets = partitions(spark)
 
     def runs(self) -> list[str]:
@@ -66,8 +68,9 @@ class LineRuns:
     def write(self, marked: DataFrame) -> str:
         """A table bucketed and sorted by the hash (rows grouped or joined by it are in place already)."""
         name = f"line_run_{uuid.uuid4().hex}"
-        (marked.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name))
-        self.written.append(name)
+        self.written[name] = shared_path(self.spark, "line-run")
+        (marked.write.format("parquet").option("path", self.written[name])
+         .bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name))
         return name
 
     def seen(self, hashes: DataFrame) -> DataFrame:
@@ -96,31 +99,42 @@ class LineRuns:
             k += 1
 
     def close(self) -> None:
-        for name in self.written:
+        for name, path in self.written.items():
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.levels, self.written = [], []
+            discard(self.spark, path)
+        self.levels, self.written = [], {}
 
 
-def dropped_keys(keys: DataFrame, batches: list[int]) -> DataFrame:
-    """(id, h1, h2) of the keys that a document loses; ``keys``: distinct (id, h1, h2, batch)."""
+def dropped_lines(keys: DataFrame, batches: list[int]) -> DataFrame:
+    """(id, body, pos) of the lines that a row loses; ``keys``: (id, body, pos, h1, h2, batch) of all lines
+    whose key counts."""
     runs, shared = LineRuns(keys.sparkSession), None
     try:
         for batch in batches:
             first = (keys.where(F.col("batch") == batch).groupBy("h1", "h2")
-                     .agg(F.min("id").alias("owner"), F.count("*").alias("n")))
-            marked = runs.write(runs.seen(first))
-            if batch != batches[-1]:
-                runs.add(marked)
+                     .agg(F.min("id").alias("owner"), (F.min("id") != F.max("id")).alias("several")))
+            marked = runs.seen(first)
+            if batch != batches[-1]:  # nothing comes after the last batch that would read its run
+                name = runs.write(marked)
+                marked = runs.spark.table(name)
+                runs.add(name)
             # what some document of the batch loses: keys of earlier batches, and keys of several documents
-            own = runs.spark.table(marked).where("seen OR n > 1").withColumn("batch", F.lit(batch))
+            own = marked.where("seen OR several").select("h1", "h2", "owner", "seen", F.lit(batch).alias("batch"))
             shared = own if shared is None else shared.unionAll(own)
         shared = written(shared, "line-shared")
     finally:
         runs.close()
     salted = shared.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    mine = keys.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    mine = keys.withColumn("salt", F.pmod(F.xxhash64("id", "body"), F.lit(SALTS)).cast("int"))
     return (mine.join(salted, ["batch", "h1", "h2", "salt"])
-            .where(F.col("seen") | ~F.col("id").eqNullSafe(F.col("owner"))).select("id", "h1", "h2"))
+            .where(F.col("seen") | ~F.col("id").eqNullSafe(F.col("owner"))).select("id", "body", "pos"))
+
+
+def without(lines: Column, gone: Column) -> Column:
+    """The lines between the line numbers of ``gone`` (ascending)."""
+    cuts = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda k: F.slice(
+        lines, F.get(cuts, k) + 2, F.get(cuts, k + 1) - F.get(cuts, k) - 1)))
 
 
 def dedup_lines(df: DataFrame, min_chars: int = 10, batches: int = 4, id_col: str = "doc_id",
@@ -129,20 +143,22 @@ def dedup_lines(df: DataFrame, min_chars: int = 10, batches: int = 4, id_col: st
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                      F.struct(*[F.col(c) for c in keep] or [F.lit(None).alias("none")]).alias("rest"))
     bounds = id_bounds(docs, batches)
-    keys = (docs.select("id", range_of(F.col("id"), bounds).alias("r"), F.explode(F.split("text", "\n")).alias("line"))
-            .select("id", "r", key_hash(F.col("line"), min_chars).alias("k")).where("k is not null")
+    body = F.xxhash64("text")
+    keys = (docs.select("id", body.alias("body"), range_of(F.col("id"), bounds).alias("r"),
+                        F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+            .select("id", "body", "pos", "r", key_hash(F.col("line"), min_chars).alias("k")).where("k is not null")
             # null ids come after all others
-            .select("id", "k.h1", "k.h2", F.when(F.col("r") < 0, len(bounds) + 1).otherwise(F.col("r")).alias("batch"))
-            .distinct())
+            .select("id", "body", "pos", "k.h1", "k.h2",
+                    F.when(F.col("r") < 0, len(bounds) + 1).otherwise(F.col("r")).alias("batch")))
     keys = written(keys, "line-keys")
     batches_in = sorted(r["batch"] for r in keys.select("batch").distinct().collect())
-    lost = dropped_keys(keys, batches_in or [0])
-    per_doc = lost.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost")) \
-        .withColumnRenamed("id", "lost_id")
-    joined = docs.join(per_doc, F.col("id").eqNullSafe(F.col("lost_id")), "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("lost"), key_hash(x, min_chars)), F.lit(False)))
-    rows = joined.withColumn("lines", F.when(F.col("lost").isNull(), lines).otherwise(kept))
-    return rows.select(F.col("id").alias(id_col), F.size(lines).cast("long").alias("n_lines"),
-                       (F.size(lines) - F.size("lines")).cast("long").alias("n_dropped"),
-                       F.array_join("lines", "\n").alias("kept"), *[F.col("rest")[c].alias(c) for c in keep])
+    lost = dropped_lines(keys, batches_in or [0])
+    per_row = lost.groupBy("id", "body").agg(F.sort_array(F.collect_set("pos")).alias("gone")) \
+        .withColumnsRenamed({"id": "lost_id", "body": "lost_body"})
+    joined = docs.join(per_row, F.col("id").eqNullSafe(F.col("lost_id")) & (body == F.col("lost_body")), "left")
+    gone, text = F.col("gone"), F.col("text")
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    kept = F.when(gone.isNull(), text).otherwise(F.array_join(without(F.split(text, "\n"), gone), "\n"))
+    return joined.select(F.col("id").alias(id_col), n_lines.cast("long").alias("n_lines"),
+                         F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_dropped"), kept.alias("kept"),
+                         *[F.col("rest")[c].alias(c) for c in keep])

@@ -30,6 +30,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``shared_path`` named, once nothing reads it any more."""
+    if not path.startswith(ensure_checkpoint_dir(spark)):
+        raise ValueError(f"{path} is not in the shared folder")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two input columns as (id, text); any other column, whatever its name, is left out."""
     bound_batches(df.sparkSession)

@@ -66,6 +66,30 @@ def test_runs_are_compacted_and_disjoint(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
 
 
+def test_null_and_repeated_ids(spark):
+    """Null ids are one document after all others; rows of equal id keep their common lines."""
+    rows = [(None, "shared line one\nonly here, null"), (None, "shared line one\nonly here, null"),
+            (None, "null rows share this\nx"), (None, "null rows share this\ny"), (4, "same id line\nshared line one"),
+            (4, "same id line\nother text"), (9, "same id line\nother text\nsame id line\nlast"), (9, "last one of nine")]
+    df = spark.createDataFrame(rows * 3, "doc_id long, text string").repartition(4)
+    got = queries.line_digest(line_dedup.dedup_lines(df, batches=2)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows * 3)
+
+
+def test_runs_lie_in_the_shared_folder_and_go(spark, documents, monkeypatch):
+    import os
+
+    from callrisk.llm import tasks
+
+    folders = []
+    monkeypatch.setattr(line_dedup, "shared_path", lambda s, n: folders.append(tasks.shared_path(s, n)) or folders[-1])
+    assert line_dedup.dedup_lines(documents, batches=4).count() == documents.count()
+    assert len(folders) == 4 and all(f.startswith(spark.sparkContext.getCheckpointDir()) for f in folders)
+    assert not any(os.path.exists(f.removeprefix("file:")) for f in folders)
+    with pytest.raises(ValueError):
+        tasks.discard(spark, "/elsewhere/run")
+
+
 def test_main_path_is_native():
     source = inspect.getsource(line_dedup)
     assert not any(w in source for w in ("udf", "InPandas", "InArrow", ".rdd", "numpy", "pandas"))
