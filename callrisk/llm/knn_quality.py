@@ -33,6 +33,8 @@ SAMPLE = 4000
 DIMENSIONS = 48
 NEIGHBOURS = 40
 POWER = 4
+#: Rows of a dense term matrix.
+ROWS = 1024
 #: Hashed dimensions: shapes, shape pairs, repeats, lengths, words.
 SHAPES, PAIRS, REPEATS, LENGTHS, WORDS = 256, 512, 8, 32, 512
 WIDTH = SHAPES + PAIRS + REPEATS + LENGTHS + WORDS
@@ -121,7 +123,7 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", train: Column
 
     def run(batch):
         data, offsets = utf8(batch.column(1))
-        for a, b in pieces(offsets):
+        for a, b in _parts(offsets):
             terms = term_matrix(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
             yield {"y": batch.column(2).slice(a, b - a), "x": [r.astype(np.float16).tobytes() for r in terms]}
 
@@ -143,6 +145,13 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", train: Column
     return model
 
 
+def _parts(offsets: np.ndarray):
+    """Pieces of bounded size that have at most ROWS rows: short texts would make wide matrices."""
+    for a, b in pieces(offsets):
+        for x in range(a, b, ROWS):
+            yield x, min(x + ROWS, b)
+
+
 def hash_of(row: np.ndarray) -> int:
     import xxhash
 
@@ -159,7 +168,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     def run(batch):
         data, offsets = utf8(batch.column(1))
-        for a, b in pieces(offsets):
+        for a, b in _parts(offsets):
             terms = term_matrix(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
             yield {"id": batch.column(0).slice(a, b - a), "score": model.scores(terms),
                    "rest": batch.column(2).slice(a, b - a)}

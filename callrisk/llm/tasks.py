@@ -104,10 +104,11 @@ def binary(offsets, body) -> pa.Array:
 
 def id_bounds(docs: DataFrame, n: int) -> list:
     """Least ids of the second to last of up to n ranges of about equal size of the ``id`` column;
-    only ids are sorted."""
+    only ids are sorted.  A session may deal the sort over more partitions than n: then neighbours are joined."""
     ranged = docs.select("id").where(F.col("id").isNotNull()).repartitionByRange(n, "id")
     found = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("id")).collect()
-    return sorted(r["id"] for r in found)[1:]
+    least = sorted(r["id"] for r in found)
+    return [least[k * len(least) // n] for k in range(1, n)] if len(least) > n else least[1:]
 
 
 def range_of(id_col: Column, bounds: list) -> Column:

@@ -83,3 +83,18 @@ def test_id_ranges_are_balanced_and_in_order(spark):
     sizes = df.groupBy(tasks.range_of(F.col("id"), bounds).alias("r")).count().orderBy("r").collect()
     assert [r["r"] for r in sizes] == [0, 1, 2, 3] and max(r["count"] for r in sizes) < 500
     assert spark.sql("SELECT CAST(NULL AS BIGINT) AS id").select(tasks.range_of(F.col("id"), bounds)).first()[0] == -1
+
+
+@pytest.mark.parametrize("dealt", [2, 4, 37])
+def test_id_ranges_are_as_many_as_asked_for(spark, dealt):
+    """A session that deals range sorts over more partitions gives no more ranges."""
+    kind = type(spark.range(0))
+    own = kind.repartitionByRange
+    try:
+        kind.repartitionByRange = lambda self, n, *c: own(self, max(n, dealt), *c)
+        bounds = tasks.id_bounds(spark.range(1000), 4)
+    finally:
+        kind.repartitionByRange = own
+    assert len(bounds) == 3
+    sizes = spark.range(1000).groupBy(tasks.range_of(F.col("id"), bounds).alias("r")).count().collect()
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 500
