@@ -174,21 +174,22 @@ def exact_modes(df: DataFrame, cols: list[str], by: tuple = ()) -> DataFrame:
         F.min_by("value", F.struct((-F.col("_n")).alias("k"), F.col("value").alias("v"))).alias("mode"))
 
 
-def auc_from_scores(df: DataFrame, label: str, score: str, partitions: int | None = None) -> DataFrame:
+def auc_from_scores(df: DataFrame, label: str, score: str, partitions: int | None = None,
+                    by: tuple = ()) -> DataFrame:
     """Exact ROC-AUC with ties counted half: rank-sum over distinct scores.
 
-    One row: ``auc`` (null when one class is absent), ``n_pos``, ``n_neg``.
+    One row (one per value of ``by``): ``auc`` (null when one class is absent), ``n_pos``, ``n_neg``.
     """
-    by_score = df.groupBy(F.col(score).cast("double").alias("s")).agg(
+    by_score = df.groupBy(*by, F.col(score).cast("double").alias("s")).agg(
         F.count_if(F.col(label) == 1).alias("n_pos"),
         F.count_if(F.col(label) != 1).alias("n_neg"))
-    ranked, _ = running_count(by_score, [], "s", "n_neg", partitions)
+    ranked, _ = running_count(by_score, list(by), "s", "n_neg", partitions)
     below = F.col("_cum") - F.col("n_neg")
-    agg = ranked.agg(
+    agg = ranked.groupBy(*by).agg(
         F.sum(F.col("n_pos") * (below + 0.5 * F.col("n_neg"))).alias("_u"),
         F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
     return agg.select(
-        F.try_divide(F.col("_u"), (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auc"),
+        *by, F.try_divide(F.col("_u"), (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auc"),
         F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"))
 
 

@@ -17,8 +17,6 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +25,7 @@ from ..functions import hashing as H
 from ..functions.ranking import auc_from_scores
 from .clean import numeric_columns
 from .metrics import split_columns
+from .search import best_point, search
 
 
 def feature_names(df: DataFrame, key: str = S.ID_COL, label: str = "label",
@@ -108,18 +107,6 @@ def cross_validated_auc(frame: DataFrame, estimator, folds: int = 5, parallelism
         kept.unpersist()
 
 
-def grid_search(frame: DataFrame, estimator, grid: dict, folds: int = 3, parallelism: int = 2):
-    """ML-6 / ML-7: ``CrossValidator`` over a parameter grid with ROC-AUC; the
-    fold column comes from the hash so folds do not depend on partitioning."""
-    b = ParamGridBuilder()
-    for name, values in grid.items():
-        b = b.addGrid(estimator.getParam(name), values)
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=b.build(),
-                        evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
-                        numFolds=folds, foldCol="cv_fold", parallelism=parallelism, seed=S.SPLIT_SEED)
-    return fit_persisted(cv, frame.withColumn("cv_fold", (F.col("fold") % folds).cast("int")))
-
-
 # The original grids, in MLlib parameter names (rounds -> maxIter,
 # learning rate -> stepSize, row subsample -> subsamplingRate, column subsample ->
 # featureSubsetStrategy, min child weight -> minInstancesPerNode as a stand-in).
@@ -130,11 +117,18 @@ FULL_GRID = {"maxIter": [50, 100, 200], "maxDepth": [3, 5, 7], "stepSize": [0.01
              "minInstancesPerNode": [1, 3]}                                            # ML-7, 216 points
 
 
-def tuned(frame: DataFrame, estimator, grid: dict, folds: int = 5, parallelism: int = 4):
-    """ML-7: grid search; (best model, its parameters).  A failure is not caught."""
-    cv = grid_search(frame, estimator, grid, folds, parallelism)
-    best = {p.name: v for p, v in cv.bestModel.extractParamMap().items() if p.name in grid}
-    return cv.bestModel, best
+# The grid that the original takes for small tables.
+SMALL_GRID = {"maxIter": [50, 100], "maxDepth": [3, 5], "stepSize": [0.1]}
+
+
+def tuned(frame: DataFrame, estimator, grid: dict, folds: int = 5, parallelism: int = 4, key: str | None = None,
+          prepare=None):
+    """ML-6 / ML-7: grid search with shared prefixes over balanced folds; (model fitted on all rows with the
+    best parameters, these parameters).  ``prepare``: applied to training rows only.  A failure is not caught."""
+    key = key or frame.columns[0]
+    best = best_point(search(frame, estimator, grid, folds, key, parallelism, prepare))
+    chosen = estimator.copy({estimator.getParam(n): v for n, v in best.items()})
+    return fit_persisted(chosen, prepare(frame) if prepare else frame), best
 
 
 def compare_models(train: DataFrame, test: DataFrame, estimators: dict) -> list[tuple[str, float]]:

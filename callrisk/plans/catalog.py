@@ -80,8 +80,8 @@ QUERIES = {
 
 
 def _merge():
-    from . import exports, live, models, prepare, scoring
-    for mod in (prepare, scoring, live, models, exports):
+    from . import exports, live, models, prepare, scoring, training
+    for mod in (prepare, scoring, live, models, exports, training):
         dup = set(mod.QUERIES) & set(QUERIES)
         if dup:
             raise ValueError(f"duplicate query names {dup}")

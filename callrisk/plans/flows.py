@@ -62,15 +62,16 @@ def evaluation(scored: DataFrame) -> dict:
 
 
 def train_complete(customers: DataFrame, model_dir: str | None = None, version: str = "v1",
-                   params: dict | None = None, folds: int = 5, tune: bool = False, grid: dict | None = None):
-    """PL-2: stratified split, fit (with ``tune`` the training grid is searched first), evaluation on the
+                   params: dict | None = None, folds: int = 5, tune: bool = False, grid: dict | None = None,
+                   tune_folds: int = 3):
+    """PL-2: stratified split, fit (with ``tune`` the training grid is searched first, in three folds), evaluation on the
     test split, cross-validated AUC on the training split, and optionally save.  Returns (model,
     features, frame, metrics dict)."""
     feats = MD.feature_names(customers)
     frame = MD.with_split(MD.assemble(customers, feats))
     train = frame.filter(~F.col("is_test"))
     if tune:
-        model, params = MD.tuned(train, MD.boosted(params), grid or MD.TRAINING_GRID, folds)
+        model, params = MD.tuned(train, MD.boosted(params), grid or MD.TRAINING_GRID, tune_folds)
     else:
         model = MD.fit_persisted(MD.boosted(params), train)
     scored = M.predict_at(MD.p_default(model.transform(frame.filter(F.col("is_test")))), "p_default")
