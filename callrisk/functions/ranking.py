@@ -4,6 +4,8 @@ A global median, mode, AUC or ROC curve is a "group" holding the whole table;
 Spark's exact ``median``/``percentile`` aggregates would merge every distinct
 value into one task.  Here the work is spread instead:
 
+Quantiles of whole columns need no order at all (``selection``).  Elsewhere:
+
 1. collapse to a frequency table (partial aggregation before the shuffle);
 2. range-partition it on (key, value) and cut lineage, fixing which
    partition each value lives in;
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, shuffle_partitions
+from .selection import quantiles
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -128,9 +131,15 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], by:
     """Linear-interpolated quantiles (pandas / ``quantile_cont`` semantics).
 
     Output: one row per (by..., column) with one column per entry of
-    ``probs`` (alias -> probability) plus ``n`` (non-null count).
+    ``probs`` (alias -> probability) plus ``n`` (non-null count).  Quantiles of whole columns come from
+    ``selection``, those of groups (of any number) from the rank job.
     """
     by = tuple(by)
+    if not by:
+        found, _ = quantiles(df, cols, probs)
+        return df.sparkSession.createDataFrame(
+            [(c, v["n"], *[v[a] for a in probs]) for c, v in found.items()],                 # one row per column
+            "column string, n long, " + ", ".join(f"{a} double" for a in probs))
     keys = [*by, "column"]
     long = long_values(df, cols, by)
     freq = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_w"))
@@ -152,12 +161,11 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], by:
     return g.select(*out)
 
 
-def exact_medians(df: DataFrame, cols: list[str], partitions: int | None = None) -> dict:
+def exact_medians(df: DataFrame, cols: list[str]) -> dict:
     """Global exact medians as a small dict (one value per column)."""
     if not cols:
         return {}
-    rows = exact_quantiles(df, cols, {"median": 0.5}, partitions=partitions).collect()
-    return {r["column"]: r["median"] for r in rows}
+    return {c: v["median"] for c, v in quantiles(df, cols, {"median": 0.5})[0].items()}
 
 
 def exact_modes(df: DataFrame, cols: list[str], by: tuple = ()) -> DataFrame:

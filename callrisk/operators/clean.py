@@ -124,8 +124,8 @@ def median_fill(df: DataFrame, cols=None, exclude=(S.ID_COL, S.TARGET_COL), mate
 
     Key and target are never imputed.  Integral columns that hold nulls become
     double (as an integer column with missing values is float in pandas).  One
-    pass counts nulls; the exact medians come from the distributed rank job
-    (no single-task percentile buffer) and enter the plan as one value per column,
+    pass counts nulls; the exact medians come from aggregate passes over all columns
+    side by side (``functions.selection``) and enter the plan as one value per column,
     so later projections and filters still reach the scans.  ``materialize`` first
     writes the input to the shared checkpoint folder, for inputs that are dear to
     compute several times.

@@ -1,6 +1,7 @@
 """Profiling operators (PRF-1..7): null profile, describe, duplicates,
 histograms, box statistics, correlations.  All are aggregates; exact
-quantiles use the distributed rank job of ``functions.ranking``."""
+quantiles of columns come from ``functions.selection``, those per group from
+the distributed rank job of ``functions.ranking``."""
 
 from __future__ import annotations
 
@@ -9,7 +10,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import exact_quantiles, long_values
+from ..functions.ranking import exact_quantiles
+from ..functions.selection import quantiles
 from .clean import numeric_columns
 
 
@@ -36,14 +38,16 @@ def dtype_counts(df: DataFrame) -> list[tuple[str, int]]:
 
 def describe(df: DataFrame, cols=None) -> DataFrame:
     """PRF-2: count, mean, sample std, min, quartiles (exact, interpolated), max
-    per numeric column, long form."""
+    per numeric column, long form; columns without a value are left out."""
     cols = list(cols) if cols is not None else numeric_columns(df, ())
-    long = long_values(df, cols)
-    moments = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    q = exact_quantiles(df, cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).drop("n")
-    return moments.join(q, "column")
+    x = {c: F.col(c).cast("double") for c in cols}
+    moments = [agg(x[c]).alias(f"{name}_{i}") for i, c in enumerate(cols)
+               for name, agg in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
+    quarters, row = quantiles(df, cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, moments)
+    rows = [(c, quarters[c]["n"], *[row[f"{m}_{i}"] for m in ("mean", "std", "min", "max")],
+             *[quarters[c][q] for q in ("q25", "q50", "q75")]) for i, c in enumerate(cols) if c in quarters]
+    return df.sparkSession.createDataFrame(rows, "column string, count long, mean double, std double, min double, "
+                                                 "max double, q25 double, q50 double, q75 double")   # one row per column
 
 
 def duplicate_rows(df: DataFrame, cols=None) -> DataFrame:

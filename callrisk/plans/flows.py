@@ -8,8 +8,8 @@
 * ``complete_run`` (PL-4): PL-1 -> PL-2 -> PL-3 -> exports -> summary; returns
   the manifest.
 * ``optimization_run`` (PL-5): FE-B call grain -> forest baseline -> median
-  importance selection -> class weights on the training split -> grid search
-  -> comparison -> report row.
+  importance selection -> oversampling (or class weights) on training rows ->
+  grid search -> comparison -> report row.
 * ``start_live_scoring`` (PL-6): live event stream -> CRM join -> session state
   machine -> per-agent sink.
 
@@ -32,7 +32,9 @@ from ..operators import explain as X
 from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import models as MD
+from ..operators import oversample as OS
 from ..operators import rules as R
+from ..session import stored
 from ..sinks import writers as W
 from ..streaming import sessions as ST
 
@@ -114,13 +116,28 @@ def complete_run(spark: SparkSession, calls: DataFrame, out_dir: str, run_id: st
     return W.export_run(spark, out_dir, run_id, results, mrows, imp, summary)
 
 
+def oversampling(calls: DataFrame, feats: list[str], key: str = "contact_id"):
+    """A ``prepare`` step for searches and fits: the given training rows with the synthetic rows that bring
+    their classes to parity, assembled.  ``calls`` holds the feature columns of all rows."""
+    def prepare(rows: DataFrame) -> DataFrame:
+        whole = calls.select(key, "label", *feats).join(rows.select(key), key, "left_semi")
+        both = stored(OS.oversampled(whole, feats, key), "oversampled")
+        return MD.assemble(both.withColumn("row_no", F.monotonically_increasing_id()), feats, key="row_no")
+
+    return prepare
+
+
 def optimization_run(spark: SparkSession, calls: DataFrame, grid: dict | None = None, params: dict | None = None,
-                     folds: int = 5, model_dir: str | None = None, version: str = "optimized") -> DataFrame:
-    """PL-5 at call grain: stratified split first, weights on the training rows only, the full grid unless
-    another one is given; the optimised model is saved where ``model_dir`` is given."""
+                     folds: int = 5, model_dir: str | None = None, version: str = "optimized",
+                     rebalance: str = "oversample") -> DataFrame:
+    """PL-5 at call grain: stratified split first, the training rows of each fit oversampled (``rebalance`` =
+    "oversample") or weighted ("weights"), the full grid unless another one is given; the optimised model is
+    saved where ``model_dir`` is given."""
+    if rebalance not in ("oversample", "weights"):
+        raise ValueError(f"unknown rebalancing {rebalance!r}")
     c = calls.transform(FE.call_features_nonzero)
-    c = C.encode_label_b(C.mean_fill(C.coerce_numeric(c, MD.feature_names(c, "contact_id", "label",
-                                                                          (S.ID_COL, S.TARGET_COL)))))
+    c = stored(C.encode_label_b(C.mean_fill(C.coerce_numeric(c, MD.feature_names(
+        c, "contact_id", "label", (S.ID_COL, S.TARGET_COL))))), "optimization-calls")
     feats = MD.feature_names(c, "contact_id", "label", (S.ID_COL, S.TARGET_COL))
     frame = MD.with_split(MD.assemble(c, feats, key="contact_id"), "contact_id")
     te = frame.filter(F.col("is_test"))
@@ -129,7 +146,9 @@ def optimization_run(spark: SparkSession, calls: DataFrame, grid: dict | None =
     keep = MD.select_by_median_importance(MD.importances(base, feats))
     sel = MD.with_split(MD.assemble(c, keep, key="contact_id"), "contact_id")
     tr2, te2 = sel.filter(~F.col("is_test")), sel.filter(F.col("is_test"))
-    model, best = MD.tuned(MD.class_weights(tr2), MD.boosted(params, weightCol="weight"), grid or MD.FULL_GRID, folds)
+    prepare = oversampling(c, keep) if rebalance == "oversample" else MD.class_weights
+    estimator = MD.boosted(params, **({"weightCol": "weight"} if rebalance == "weights" else {}))
+    model, best = MD.tuned(tr2, estimator, grid or MD.FULL_GRID, folds, key="contact_id", prepare=prepare)
     scored = M.predict_at(MD.p_default(model.transform(te2)), "p_default")
     measured = evaluation(scored)
     comparison = MD.compare_models(tr2, te2, {"random_forest": MD.forest(100), "boosted_trees": MD.boosted(params)})
