@@ -16,8 +16,9 @@ from pyspark.sql import SparkSession
 
 #: Text bytes handled at once by the vectorised passes (a longer document is one piece).
 PIECE_BYTES = 2 << 20
-#: Rows per Arrow batch: keeps a batch of very long texts small in the Python worker.
+#: Rows and bytes per Arrow batch: keep a batch of very long texts, or of whole shards, small in the worker.
 BATCH_ROWS = 256
+BATCH_BYTES = 8 << 20
 
 _RNG = np.random.default_rng(20240229)
 #: Random 64-bit value of each byte, and the odd base, of the polynomial range hash.
@@ -27,11 +28,15 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the rows per Arrow batch of this session to ``rows`` (never raise it)."""
+    """Lower the rows per Arrow batch of this session to ``rows`` (never raise it), and bound its bytes.
+
+    The bound stays with the session, because the plans that the operators return run later.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 @contextmanager

@@ -98,3 +98,10 @@ def test_id_ranges_are_as_many_as_asked_for(spark, dealt):
     assert len(bounds) == 3
     sizes = spark.range(1000).groupBy(tasks.range_of(F.col("id"), bounds).alias("r")).count().collect()
     assert len(sizes) == 4 and max(r["count"] for r in sizes) < 500
+
+
+def test_batches_are_bounded_by_bytes_where_the_plan_runs(spark):
+    """Also in a plan that runs after the operator has returned it."""
+    df = tasks.texts(spark.range(200).repartition(1).selectExpr("id", "repeat('x', 1000000) AS text"), "id", "text")
+    sizes = tasks.map_arrow(df, lambda b: iter([{"n": [b.nbytes]}]), [("n", "long")], None)
+    assert max(r.n for r in sizes.collect()) < 2 * arrays.BATCH_BYTES
