@@ -11,7 +11,7 @@
   importance selection -> oversampling (or class weights) on training rows ->
   grid search -> comparison -> report row.
 * ``start_live_scoring`` (PL-6): live event stream -> CRM join -> session state
-  machine -> per-agent sink.
+  machine -> per-agent sink; ``start_crm_updates``: -> written CRM upsert.
 
 Unlike the original, a failure never falls back to synthetic data.
 """
@@ -36,6 +36,7 @@ from ..operators import oversample as OS
 from ..operators import rules as R
 from ..session import stored
 from ..sinks import writers as W
+from ..sinks.versions import KeyedTable, upsert_stream
 from ..streaming import sessions as ST
 
 
@@ -167,3 +168,14 @@ def start_live_scoring(events_stream: DataFrame, crm: DataFrame, out_dir: str, c
     delivered per agent."""
     messages = ST.live_results(ST.score_events(events_stream, crm), crm)
     return W.push_by_agent(messages, out_dir, checkpoint, "agent_id", trigger)
+
+
+def start_crm_updates(events_stream: DataFrame, crm: DataFrame, table: KeyedTable, checkpoint: str,
+                      trigger: dict | None = None):
+    """PL-6 / SNK-8: every live score goes back to the customer's record: score, level, time, factors and
+    recommendations, the latest one staying.  The update key is the customer, who calls under the same id."""
+    scored = ST.live_results(ST.score_events(events_stream, crm), crm).where("outcome = 'SCORED'")
+    updates = W.risk_update_record(scored.select(
+        F.col("call_id").alias("customer_id"), "risk_score", F.col("risk_category").alias("risk_level"),
+        F.col("ts").alias("risk_updated_at"), "event_id", "factors", "recommendations"))
+    return upsert_stream(updates, table, checkpoint, trigger=trigger)

@@ -356,6 +356,46 @@ def q_correlations(spark, d):
     return r6(P.correlation_long(AD.calls(spark, d), _CORR_COLS))
 
 
+def _score_box_sql(by: str, source: str) -> str:
+    """Box statistics of ``x`` per ``by`` over the common table expression text ``source`` (which ends in b)."""
+    return source + f""",
+q AS (SELECT {by}, count(x) AS n, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
+             quantile_cont(x, 0.75) AS q3 FROM b GROUP BY {by})
+SELECT q.{by}, q.n, {x6('q.q1')} AS q1, {x6('q.median')} AS median, {x6('q.q3')} AS q3, {x6('q.q3 - q.q1')} AS iqr,
+       {x6('min(CASE WHEN x >= q.q1 - 1.5 * (q.q3 - q.q1) THEN x END)')} AS whisker_lo,
+       {x6('max(CASE WHEN x <= q.q3 + 1.5 * (q.q3 - q.q1) THEN x END)')} AS whisker_hi,
+       CAST(count_if(x < q.q1 - 1.5 * (q.q3 - q.q1) OR x > q.q3 + 1.5 * (q.q3 - q.q1)) AS BIGINT) AS outliers
+FROM b JOIN q ON b.{by} = q.{by} GROUP BY q.{by}, q.n, q.q1, q.median, q.q3"""
+
+
+@register("score_box_by_flag", _score_box_sql("unpaid_flag", _scored_customers_cte() + """,
+b AS (SELECT m.unpaid_flag, s.risk_score AS x FROM scored s JOIN modes m ON s.record_no = m.record_no)"""))
+def q_score_box_by_flag(spark, d):
+    """PRF-6: quartiles, whiskers and outliers of the risk score per payment flag."""
+    from .catalog import scored_customers
+    scored = scored_customers(spark, d, with_label=True)
+    flag = F.when(F.col("label") == 1, S.TARGET_UNPAID).otherwise(S.TARGET_PAID)
+    return r6(P.box_stats(scored.withColumn("unpaid_flag", flag), "risk_score", "unpaid_flag"))
+
+
+def _age_source() -> str:
+    from .prepare import _profile_customers_sql
+    scored = _scored_customers_cte()[len(with_views("calls", "crm")):]
+    profile = _profile_customers_sql()[len(with_views("profile")):].rsplit("\nSELECT ", 1)[0]
+    return with_views("calls", "crm", "profile") + scored + profile + """,
+b AS (SELECT f.age_band, s.risk_score AS x FROM scored s JOIN feat f ON s.record_no = f.record_no)"""
+
+
+@register("score_box_by_age", _score_box_sql("age_band", _age_source()))
+def q_score_box_by_age(spark, d):
+    """PRF-6: quartiles, whiskers and outliers of the risk score per age band (FE-C3)."""
+    from .catalog import scored_customers
+    from .prepare import q_profile_customer_features
+    bands = q_profile_customer_features(spark, d).select("record_no", "age_band")
+    scored = scored_customers(spark, d).select("record_no", "risk_score")
+    return r6(P.box_stats(scored.join(bands, "record_no"), "risk_score", "age_band"))
+
+
 # -- split and metrics ------------------------------------------------------------------------
 
 def _hash_sql(k):

@@ -64,7 +64,7 @@ def report_row(spark: SparkSession, fields: dict) -> DataFrame:
 def export_run(spark: SparkSession, base: str, run_id: str, results: DataFrame, metrics: DataFrame,
                importance: DataFrame, summary: DataFrame) -> DataFrame:
     """SNK-7: write results, metrics, importances and summary of one run;
-    return the manifest (artefact, path, rows)."""
+    return the manifest (artefact, path)."""
     paths = {"risk_scores": export_risk_scores(results, os.path.join(base, "risk_scores"), run_id)}
     paths.update({f"metrics_{k}": v for k, v in export_metrics(metrics, os.path.join(base, "metrics"), run_id).items()})
     paths["feature_importance"] = write_table(importance, os.path.join(base, "importance", run_id), "csv")
@@ -102,16 +102,18 @@ def risk_update_record(df: DataFrame) -> DataFrame:
 
 
 def save_model(model, base: str, name: str, version: str, metadata: dict) -> str:
-    """SNK-9: ``<base>/<name>/<version>`` (model + metadata JSON) and a
-    ``latest`` pointer file naming the newest version."""
+    """SNK-9: ``<base>/<name>/<version>`` (model + metadata JSON) and a commit in
+    ``latest`` that names the newest version: readers see the old one or the new one, never a half."""
+    from .versions import CommitLog
+
     path = os.path.join(base, name, version)
     model.write().overwrite().save(os.path.join(path, "model"))
     spark = SparkSession.getActiveSession()
     meta = dict(metadata, version=version, name=name)
     spark.createDataFrame([(json.dumps(meta, default=str),)], "meta string").coalesce(1) \
         .write.mode("overwrite").text(os.path.join(path, "metadata"))
-    spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite") \
-        .text(os.path.join(base, name, "latest"))
+    log = CommitLog(spark, os.path.join(base, name, "latest"))
+    log.commit(max(log.numbers(), default=-1) + 1, {"version": version})
     return path
 
 
@@ -126,7 +128,11 @@ def load_model(base: str, name: str, version: str | None = None, loader=None):
     """SRC-9: load a saved model (the ``latest`` version by default) with its metadata."""
     spark = SparkSession.getActiveSession()
     if version is None:
-        version = spark.read.text(os.path.join(base, name, "latest")).first()[0]
+        from .versions import CommitLog
+        _, newest = CommitLog(spark, os.path.join(base, name, "latest")).latest()
+        if newest is None:
+            raise FileNotFoundError(f"no model {name!r} in {base}")
+        version = newest["version"]
     path = os.path.join(base, name, version)
     if loader is None:
         from pyspark.ml import PipelineModel
