@@ -132,6 +132,28 @@ def attribute_updates(events: DataFrame) -> DataFrame:
                     secs.alias("talk_time"), F.lit(0).alias("hold_time"))
 
 
+def attribute_ticks(events: DataFrame, since: str, until: str, every_s: int = S.ATTRIBUTE_REFRESH_SECONDS) -> DataFrame:
+    """ST-6 (periodic): the contact attributes of every session at its start and every ``every_s`` seconds after
+    it while it is open, for the instants in [since, until): queue and talk time in total seconds since the
+    start, no hold time, both sides connected.  A session is open until its end or the next start of its call."""
+    per = _per_session(classify_events(events), scores=False)
+    after = per.select("call_id", (F.col("session_no") - 1).alias("session_no"), F.col("started_at").alias("_next"))
+    over = F.least(F.coalesce("ended_at", F.lit(until).cast("timestamp")), F.coalesce("_next", F.lit(until).cast("timestamp")),
+                   F.lit(until).cast("timestamp"))
+    spans = per.join(after, ["call_id", "session_no"], "left").select(
+        "call_id", "session_no", "started_at", F.unix_micros("started_at").alias("_a"), F.unix_micros(over).alias("_b"))
+    step = every_s * 1_000_000
+    first = F.greatest(F.ceil((F.unix_micros(F.lit(since).cast("timestamp")) - F.col("_a")) / step), F.lit(0))
+    last = F.ceil((F.col("_b") - F.col("_a")) / step) - 1
+    ticks = spans.select("call_id", "session_no", "started_at", "_a", first.alias("_k"), last.alias("_l")) \
+        .filter("_k <= _l").select("call_id", "session_no", "started_at", "_a", F.explode(F.sequence("_k", "_l")).alias("_n"))
+    at = F.timestamp_micros(F.col("_a") + F.col("_n") * step)
+    secs = elapsed_seconds("as_of", "started_at")
+    return ticks.select("call_id", "session_no", "started_at", at.alias("as_of")).select(
+        "call_id", "session_no", "as_of", secs.alias("queue_time"), secs.alias("talk_time"), F.lit(0).alias("hold_time"),
+        F.lit(True).alias("agent_connected"), F.lit(True).alias("customer_connected"))
+
+
 def session_states(events: DataFrame, at) -> DataFrame:
     """Session rows without scores (start, end, status) as of ``at``."""
     return _per_session(classify_events(events, at), scores=False).select(

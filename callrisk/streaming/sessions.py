@@ -1,9 +1,10 @@
 """Structured Streaming operators of the live path (ST-1..4, ST-9, SNK-11).
 
-* ``live_stream``: the call-session state machine (``applyInPandasWithState`` keyed by
-  ``call_id``), whose rows feed ``session_stream`` (ST-1 / ST-5), ``rescoring_stream``
-  (ST-2), ``score_cache_stream`` (ST-8), ``attribute_stream`` (ST-6) and
-  ``live_results`` (PL-6).  Events are taken in event-time order behind the watermark.
+* ``live_stream``: the call-session state machine (``calls.LiveCalls``, keyed by ``call_id``),
+  whose rows feed ``session_stream`` (ST-1 / ST-5), ``rescoring_stream`` (ST-2),
+  ``score_cache_stream`` (ST-8), ``attribute_stream`` and ``attribute_tick_stream`` (ST-6),
+  ``gauge_stream`` (AGG-10) and ``live_results`` (PL-6).  Events are taken in event-time
+  order behind the watermark.
 * ``trigger_stream``: stateless parse + filter of contact events (ST-9).
 * ``latest_view_stream``: latest segment / count / span per contact (ST-4).
 
@@ -25,22 +26,7 @@ from ..functions.scalar import elapsed_seconds
 from ..operators.rules import agent_recommendations, realtime_band, risk_factors, rule_score
 from ..operators.transcripts import transcript_view
 from ..sources.events import contact_triggers
-
-MICROS = 1_000_000
-#: Rows of the live state machine.  ``outcome``: OPENED, SCORED, CLOSED or REJECTED for each event; and
-#: ENDED, REPLACED or TIMED_OUT (a session is over, with its summary), RESCORED (last score of a period)
-#: and EXPIRED (a cached score is past its time to live).
-LIVE_SCHEMA = ("call_id long, session_no long, event_id long, ts timestamp, outcome string, agent_id string, "
-               "started_at timestamp, customer_sentiment double, risk_score double, n_scores long, "
-               "final_score double, mean_score double")
-LIVE_COLUMNS = [c.split()[0] for c in LIVE_SCHEMA.split(", ")]
-EVENT_FIELDS = ("us", "event_id", "kind", "agent_id", "sentiment", "score")
-WINDOW_FIELDS = ("end", "session_no", "event_id", "score", "started")
-LIVE_STATE = ("open boolean, session_no long, started_us long, agent_id string, n_scores long, score_sum double, "
-              "final_score double, last_us long, cached_us long, cached_score double, "
-              "us array<long>, event_id array<long>, kind array<string>, agent array<string>, "
-              "sentiment array<double>, score array<double>, w_end array<long>, w_session array<long>, "
-              "w_event array<long>, w_score array<double>, w_started array<long>")
+from .calls import GAUGES, OUTPUT, LiveCalls, LiveGauges
 
 
 def score_events(stream: DataFrame, crm: DataFrame) -> DataFrame:
@@ -52,158 +38,29 @@ def score_events(stream: DataFrame, crm: DataFrame) -> DataFrame:
     return j.withColumn("risk_score", F.bround(rule_score(), 2))
 
 
-def _classify(ev: pd.DataFrame, opened: bool, number: int, started: int, agent) -> pd.DataFrame:
-    """Session number, outcome, start and agent of events in (time, id) order, given the call's state."""
-    starts, ends = (ev["kind"] == "START"), (ev["kind"] == "END")
-    session = number + starts.cumsum()
-    first_end = ends.groupby(session).cumsum() - ends          # ends of the session before this event
-    first_end += ((session == number) & (not opened)).astype(int)
-    is_open = (session >= 1) & (first_end == 0)
-    outcome = pd.Series("REJECTED", index=ev.index)
-    outcome[(ev["kind"] == "SEGMENT") & is_open] = "SCORED"
-    outcome[ends & is_open] = "CLOSED"
-    outcome[starts] = "OPENED"
-    at = ev["us"].where(starts).ffill().fillna(started).astype("int64")
-    who = ev["agent_id"].where(starts).astype(object)
-    owner = who.groupby(session).transform("first")
-    owner[session == number] = agent
-    return ev.assign(session_no=session.astype("int64"), outcome=outcome, started=at, session_agent=owner)
-
-
-def _summaries(ev: pd.DataFrame, st: dict) -> tuple[list[dict], dict]:
-    """Summaries of the sessions that end in ``ev``, and the state after it."""
-    out = []
-    for number, part in ev.groupby("session_no", sort=True):
-        if number != st["session_no"]:
-            if st["open"]:
-                out.append(_summary(st, "REPLACED", None, int(part["us"].iloc[0])))
-            st = dict(st, open=True, session_no=int(number), started_us=int(part["started"].iloc[0]),
-                      agent_id=part["session_agent"].iloc[0], n_scores=0, score_sum=0.0, final_score=None)
-        scored = part[part["outcome"] == "SCORED"]
-        if len(scored):
-            last = scored["score"].iloc[-1]
-            st.update(n_scores=st["n_scores"] + len(scored), score_sum=st["score_sum"] + float(scored["score"].sum()),
-                      final_score=None if pd.isna(last) else float(last))
-        closed = part[part["outcome"] == "CLOSED"]
-        if len(closed):
-            out.append(_summary(st, "ENDED", int(closed["event_id"].iloc[0]), int(closed["us"].iloc[0])))
-            st.update(open=False)
-    return out, st
-
-
-def _summary(st: dict, outcome: str, event_id, us) -> dict:
-    return {"session_no": st["session_no"], "event_id": event_id, "us": us, "outcome": outcome,
-            "agent_id": st["agent_id"], "started": st["started_us"], "n_scores": st["n_scores"],
-            "final_score": st["final_score"],
-            "mean_score": st["score_sum"] / st["n_scores"] if st["n_scores"] else None}
-
-
-def _windows(ev: pd.DataFrame, pending: pd.DataFrame, period_us: int, min_age_us: int, now: int):
-    """Last score of every (session, period) that the watermark has passed, and the pending ones."""
-    sc = ev[ev["outcome"] == "SCORED"]
-    new = pd.DataFrame({"end": (sc["us"] // period_us + 1) * period_us, "session_no": sc["session_no"],
-                        "event_id": sc["event_id"], "score": sc["score"], "started": sc["started"]})
-    every = new if pending.empty else pending if new.empty else pd.concat([pending, new], ignore_index=True)
-    every = every.drop_duplicates(["end", "session_no"], keep="last")
-    done = every[(every["end"] <= now)]
-    return done[done["end"] - done["started"] > min_age_us], every[every["end"] > now]
-
-
-def _live_fn(timeout_ms: int, keep_ms: int, period_s: int, min_age_s: int, ttl_s: int):
-    names = [c.split()[0] for c in LIVE_STATE.split(", ")]
-    lists = names[10:]
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            st = dict(zip(names, state.get))
-        else:
-            st = dict.fromkeys(names[:10], None) | dict(open=False, session_no=0, started_us=0, n_scores=0,
-                                                        score_sum=0.0, last_us=0) | {n: [] for n in lists}
-        held = pd.DataFrame({f: list(st[n]) for f, n in zip(EVENT_FIELDS, lists[:6])})
-        pending = pd.DataFrame({f: list(st[n]) for f, n in zip(WINDOW_FIELDS, lists[6:])})
-        frames = [held] if len(held) else []
-        for pdf in pdfs if not state.hasTimedOut else ():
-            frames.append(pd.DataFrame({
-                "us": pdf["ts"].astype("datetime64[us]").astype("int64"), "event_id": pdf["event_id"],
-                "kind": pdf["kind"], "agent_id": pdf["agent_id"], "sentiment": pdf["customer_sentiment"],
-                "score": pdf["risk_score"]}))
-        now = state.getCurrentWatermarkMs() * 1000
-        ev = pd.concat(frames, ignore_index=True) if frames else held
-        ready = ev[ev["us"] <= now].sort_values(["us", "event_id"]).reset_index(drop=True) if len(ev) else ev
-        later = ev[ev["us"] > now] if len(ev) else ev
-        out = []
-        if len(ready):
-            ready = _classify(ready, st["open"], st["session_no"], st["started_us"], st["agent_id"])
-            out.append(ready.assign(agent_id=ready["session_agent"], customer_sentiment=ready["sentiment"],
-                                    risk_score=ready["score"].where(ready["outcome"] == "SCORED")))
-            ended, st = _summaries(ready, st)
-            out.append(pd.DataFrame(ended))
-            st["last_us"] = int(ready["us"].iloc[-1])
-            sc = ready[ready["outcome"] == "SCORED"]
-            if len(sc):
-                last = sc["score"].iloc[-1]
-                st.update(cached_us=int(sc["us"].iloc[-1]), cached_score=None if pd.isna(last) else float(last))
-        else:
-            ready = ready.assign(outcome="", session_no=0, started=0)
-        done, pending = _windows(ready, pending, period_s * MICROS, min_age_s * MICROS, now)
-        out.append(pd.DataFrame({"session_no": done["session_no"], "event_id": done["event_id"], "us": done["end"],
-                                 "outcome": "RESCORED", "started": done["started"], "risk_score": done["score"]}))
-        if st["cached_us"] is not None and st["cached_us"] + ttl_s * MICROS <= now:
-            out.append(pd.DataFrame([{"session_no": st["session_no"], "us": st["cached_us"], "outcome": "EXPIRED",
-                                      "risk_score": st["cached_score"]}]))
-            st.update(cached_us=None, cached_score=None)
-        if st["open"] and st["last_us"] + timeout_ms * 1000 <= now:
-            out.append(pd.DataFrame([_summary(st, "TIMED_OUT", None, None)]))
-            st.update(open=False)
-        if later.empty and pending.empty and not st["open"] and st["cached_us"] is None \
-                and st["last_us"] + keep_ms * 1000 <= now:
-            if state.exists:
-                state.remove()
-        else:
-            st.update({n: later[f].tolist() for f, n in zip(EVENT_FIELDS, lists[:6])})
-            st.update({n: pending[f].tolist() for f, n in zip(WINDOW_FIELDS, lists[6:])})
-            state.update(tuple(_plain(st[n]) for n in names))
-            times = [*later["us"].tolist(), *pending["end"].tolist(), st["last_us"] + keep_ms * 1000]
-            if st["open"]:
-                times.append(st["last_us"] + timeout_ms * 1000)
-            if st["cached_us"] is not None:
-                times.append(st["cached_us"] + ttl_s * MICROS)
-            due = [-(-int(t) // 1000) for t in times if t > now]
-            state.setTimeoutTimestamp(min(due) if due else now // 1000 + 1)
-        out = [x for x in out if len(x)]
-        rows = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["us", "started"])
-        rows["call_id"] = int(key[0])
-        rows["ts"] = pd.to_datetime(rows["us"], unit="us")
-        rows["started_at"] = pd.to_datetime(rows["started"].where(rows.get("session_no", 0) != 0), unit="us") \
-            if len(rows) else pd.to_datetime(rows["started"], unit="us")
-        yield rows.reindex(columns=LIVE_COLUMNS).astype(
-            {"session_no": "Int64", "event_id": "Int64", "n_scores": "Int64"})
-    return fn
-
-
-def _plain(v):
-    """State values without pandas' missing markers."""
-    if isinstance(v, list):
-        return [None if x is None or x != x else x for x in v]
-    return None if v is None or v != v else v
-
-
 def live_stream(scored: DataFrame, watermark: str = "1 hour", timeout_ms: int = 4 * 3_600_000,
                 keep_ms: int = 24 * 3_600_000, period_s: int = 10, min_age_s: int = S.RESCORE_MIN_AGE_SECONDS,
-                ttl_s: int = S.SCORE_CACHE_TTL_SECONDS) -> DataFrame:
-    """The live state machine (ST-1, ST-2, ST-5, ST-8) over scored events (``score_events``).
+                ttl_s: int | None = S.SCORE_CACHE_TTL_SECONDS, refresh_s: int | None = None,
+                chained: bool = False) -> DataFrame:
+    """The live state machine (ST-1, ST-2, ST-5, ST-6, ST-8; ``calls.LiveCalls``) over scored events (``score_events``).
 
     Events wait in the state until the watermark has passed them, so a late start inside the
     watermark still opens its session, and are then taken in (time, id) order.  State per call: a
     few numbers, the events inside the watermark's lag and the open 10-second windows; an open
     session without events is closed after ``timeout_ms``, and a call is forgotten ``keep_ms`` after
-    its last event.
+    its last event.  With ``refresh_s`` every open session also gives a row at its start and every so
+    many seconds after it.  ``chained``: other stateful operators may follow, for which ``ts`` stays the event
+    time; then no cached scores expire (such rows would be older than the watermark).
     """
-    return (scored.withWatermark("ts", watermark)
-            .select("call_id", "event_id", "ts", "kind", "agent_id", "customer_sentiment", "risk_score")
+    rows = (scored.withWatermark("ts", watermark)
+            .select("call_id", "event_id", "ts", F.unix_micros("ts").alias("us"), "kind", "agent_id", "customer_sentiment",
+                    "risk_score")
             .groupBy("call_id")
-            .applyInPandasWithState(_live_fn(timeout_ms, keep_ms, period_s, min_age_s, ttl_s), LIVE_SCHEMA,
-                                    LIVE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+            .transformWithState(LiveCalls(timeout_ms, keep_ms, period_s, min_age_s, None if chained else ttl_s, refresh_s),
+                                OUTPUT, "append", "eventtime", eventTimeColumnName="ts" if chained else ""))
+    return rows.select("call_id", "session_no", "event_id", "ts", "outcome", "agent_id",
+                       F.timestamp_micros("started_us").alias("started_at"), "customer_sentiment", "risk_score",
+                       "n_scores", "final_score", "mean_score")
 
 
 def session_stream(scored: DataFrame, watermark: str = "1 hour", timeout_ms: int = 4 * 3_600_000, **kw) -> DataFrame:
@@ -218,7 +75,7 @@ def session_stream(scored: DataFrame, watermark: str = "1 hour", timeout_ms: int
 def live_results(scored: DataFrame, crm: DataFrame, **kw) -> DataFrame:
     """PL-6 / SC-16: every live message: call opened, scored (score, band, confidence, recommendations and
     factors), closed, session over with its summary, and rejected events with their error."""
-    rows = live_stream(scored, **kw).filter(~F.col("outcome").isin("RESCORED", "EXPIRED"))
+    rows = live_stream(scored, **kw).filter(~F.col("outcome").isin("RESCORED", "EXPIRED", "REFRESHED"))
     k = crm.select("customer_id", "account_balance", "risk_factors")
     j = rows.join(k, rows.call_id == k.customer_id, "left")
     is_scored = F.col("outcome") == "SCORED"
@@ -329,3 +186,30 @@ def attribute_stream(scored: DataFrame, **kw) -> DataFrame:
     secs = elapsed_seconds("ts", "started_at")
     return rows.select("call_id", "session_no", "event_id", F.col("ts").alias("as_of"), secs.alias("queue_time"),
                        secs.alias("talk_time"), F.lit(0).alias("hold_time"))
+
+
+def attribute_tick_stream(scored: DataFrame, refresh_s: int = S.ATTRIBUTE_REFRESH_SECONDS, **kw) -> DataFrame:
+    """ST-6: contact attributes of every open call at its start and every ``refresh_s`` seconds after it, as the
+    watermark passes these instants; timers give the rows, no event is needed."""
+    rows = live_stream(scored, refresh_s=refresh_s, **kw).filter(F.col("outcome") == "REFRESHED")
+    secs = elapsed_seconds("ts", "started_at")
+    return rows.select("call_id", "session_no", F.col("ts").alias("as_of"), secs.alias("queue_time"), secs.alias("talk_time"),
+                       F.lit(0).alias("hold_time"), F.lit(True).alias("agent_connected"),
+                       F.lit(True).alias("customer_connected"))
+
+
+def gauge_stream(scored: DataFrame, shards: int = 32, **kw) -> DataFrame:
+    """AGG-10: active calls and agents per shard of agents, a row whenever sessions of the shard open or close.
+    The counters follow the state machine in the same query; ``gauge_totals`` adds the shards up."""
+    rows = live_stream(scored, chained=True, **kw) \
+        .filter(F.col("outcome").isin("OPENED", "ENDED", "REPLACED", "TIMED_OUT"))
+    shard = F.pmod(F.xxhash64("agent_id"), F.lit(shards)).cast("int")
+    return (rows.select(shard.alias("shard"), "ts", "outcome", "agent_id").groupBy("shard")
+            .transformWithState(LiveGauges(), GAUGES, "append", "eventtime"))
+
+
+def gauge_totals(changes: DataFrame) -> DataFrame:
+    """The gauges now, from the rows that ``gauge_stream`` has given: the newest of each shard, added up."""
+    newest = changes.groupBy("shard").agg(F.max_by(F.struct("active_calls", "active_agents"), "ts").alias("g"))
+    return newest.agg(F.coalesce(F.sum("g.active_calls"), F.lit(0)).alias("active_calls"),
+                      F.coalesce(F.sum("g.active_agents"), F.lit(0)).alias("active_agents"))

@@ -265,3 +265,96 @@ def test_late_start_inside_the_watermark_keeps_its_score(spark, scratch):
     q.awaitTermination(300)
     row = spark.table("late_out").filter("call_id = 7").collect()
     assert [(r["status"], r["n_scores"], r["duration_s"]) for r in row] == [("ENDED", 1, 30.0)]
+
+
+def _short_calls(spark):
+    """Live events of 40 calls within a few minutes: restarts, ends, rejected events and calls left open."""
+    i = F.col("id")
+    kind = F.when(F.pmod(F.xxhash64("id"), F.lit(10)) < 2, "START").when(F.pmod(F.xxhash64("id"), F.lit(10)) < 3, "END") \
+        .otherwise("SEGMENT")
+    return spark.range(600).select(
+        i.alias("event_id"), (i % 40).alias("call_id"),
+        (F.lit("2024-03-01 09:00:00").cast("timestamp") + F.make_dt_interval(secs=i * 0.73 + (i % 7) * 0.01)).alias("ts"),
+        kind.alias("kind"), F.concat(F.lit("agent-"), (i % 40 % 9).cast("string")).alias("agent_id"),
+        (F.pmod(F.xxhash64("id"), F.lit(200)) / 100.0 - 1).alias("customer_sentiment"))
+
+
+def test_attribute_ticks_stream_equals_batch_twin(spark, scratch):
+    """Rows come from timers alone, also where no event of the call follows."""
+    snaps = _short_calls(spark)
+    until = "2024-03-01 09:20:00"
+    got = _live(spark, scratch, snaps, ST.attribute_tick_stream, "tick_out", timeout_ms=7_200_000, keep_ms=7_200_000)
+    want = SE.attribute_ticks(snaps, "2024-03-01 00:00:00", until)
+    mine = got.filter(F.col("as_of") < F.lit(until).cast("timestamp"))
+    assert mine.count() == want.count() > 3000
+    assert mine.select(*want.columns).exceptAll(want).count() == 0
+    assert got.count() > mine.count()                    # open calls go on until their time-out
+    assert got.filter(F.col("queue_time") >= 7200 + 600).count() == 0
+    later = SE.attribute_ticks(snaps, "2024-03-01 09:03:00", until)
+    assert 0 < later.count() < want.count() and later.exceptAll(want).count() == 0
+
+
+def test_gauge_stream_equals_live_gauges(spark, scratch):
+    from callrisk.operators import aggregate as A
+    for name, snaps in (("gauge_small", _short_calls(spark)), ("gauge_all", AD.snapshots(spark, SF_SMALL))):
+        src = os.path.join(scratch, name)
+        _shuffled(spark, snaps, src)
+        stream = spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        scored = ST.score_events(stream, AD.crm(spark, SF_SMALL))
+        out = ST.gauge_stream(scored, **{**LIVE, "watermark": "400 days"})
+        q = (out.writeStream.format("memory").queryName(name).outputMode("append")
+             .option("checkpointLocation", os.path.join(scratch, f"ck_{name}")).trigger(availableNow=True).start())
+        q.awaitTermination(600)
+        got = ST.gauge_totals(spark.table(name)).first()
+        want = A.live_gauges(SE.session_summaries(snaps, AD.crm(spark, SF_SMALL))).first()
+        assert tuple(got) == (want["active_calls"], want["active_agents"]) and got["active_calls"] > 0
+
+
+def test_time_out_between_events_of_one_batch(spark, scratch):
+    """A gap longer than the time-out closes the session, also when both events arrive together."""
+    kind = "event_id long, call_id long, ts string, kind string, agent_id string, customer_sentiment double"
+    rows = [(1, 7, "2024-01-01 10:00:00", "START", "a", 0.0), (2, 7, "2024-01-01 10:00:04", "SEGMENT", "a", -0.9),
+            (3, 7, "2024-01-01 12:30:00", "SEGMENT", "a", 0.0), (4, 7, "2024-01-01 12:31:00", "START", "a", 0.0),
+            (9, -1, "2024-01-03 10:00:00", "START", "b", 0.0)]
+    src = os.path.join(scratch, "gap")
+    df = spark.createDataFrame(rows, kind).withColumn("ts", F.col("ts").cast("timestamp"))
+    df.coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(df.schema).parquet(src)
+    crm = AD.crm(spark, SF_SMALL)
+    out = ST.live_results(ST.score_events(stream, crm), crm, timeout_ms=3_600_000)
+    q = (out.writeStream.format("memory").queryName("gap_out").outputMode("append")
+         .option("checkpointLocation", os.path.join(scratch, "ckg")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = [(r["outcome"], r["session_no"], str(r["ts"])[11:]) for r in
+           spark.table("gap_out").filter("call_id = 7").orderBy("ts", "session_no", "outcome").collect()]
+    assert got == [("OPENED", 1, "10:00:00"), ("SCORED", 1, "10:00:04"), ("TIMED_OUT", 1, "11:00:04"),
+                   ("REJECTED", 1, "12:30:00"), ("OPENED", 2, "12:31:00"), ("TIMED_OUT", 2, "13:31:00")]
+
+
+def test_a_batch_writes_its_own_events_alone(spark):
+    """The cost of a batch does not depend on the events that wait already."""
+    from types import SimpleNamespace
+
+    from callrisk.streaming.calls import LiveCalls
+
+    class Store(dict):
+        writes = 0
+
+        def getValue(self, k): return self[k]
+        def containsKey(self, k): return k in self
+        def exists(self): return bool(self)
+        def get(self, *a): return super().get(*a) if a else self["v"]
+        def updateValue(self, k, v): self[k] = v; Store.writes += 1       # noqa: E702
+        def update(self, v): self["v"] = v; Store.writes += 1             # noqa: E702
+
+    handle = SimpleNamespace(getValueState=lambda *a: Store(), getMapState=lambda *a: Store(), registerTimer=lambda t: None)
+    machine = LiveCalls(10**9, 10**9, 10, 30, 3600, None)
+    machine.init(handle)
+    costs = []
+    for k in range(50):
+        Store.writes = 0
+        rows = [SimpleNamespace(us=(k * 10 + j) * 1000, event_id=j, kind="SEGMENT", agent_id="a", customer_sentiment=0.0,
+                                risk_score=1.0) for j in range(10)]
+        list(machine.handleInputRows((1,), iter(rows), None))
+        costs.append(Store.writes)
+    assert set(costs) == {11} and len(machine.waiting) == 500
