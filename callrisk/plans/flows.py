@@ -167,7 +167,7 @@ def start_live_scoring(events_stream: DataFrame, crm: DataFrame, out_dir: str, c
     """PL-6: live events -> state machine -> call-start, score, call-end, summary and rejection messages,
     delivered per agent."""
     messages = ST.live_results(ST.score_events(events_stream, crm), crm)
-    return W.push_by_agent(messages, out_dir, checkpoint, "agent_id", trigger)
+    return W.deliver_rooms(messages, out_dir, checkpoint, "agent_id", trigger)
 
 
 def start_crm_updates(events_stream: DataFrame, crm: DataFrame, table: KeyedTable, checkpoint: str,

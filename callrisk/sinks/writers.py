@@ -143,15 +143,48 @@ def load_model(base: str, name: str, version: str | None = None, loader=None):
 
 
 def push_by_agent(results: DataFrame, base: str, checkpoint: str, agent: str = "agent_id", trigger=None):
-    """SNK-11: deliver each live result to its agent's room: a streaming sink
-    partitioned by agent (one folder per room), exactly-once via the
-    checkpoint."""
+    """SNK-11 for few agents: a streaming sink partitioned by agent (one folder per room), exactly-once via the
+    checkpoint.  A trigger writes a file for every agent in it: for many agents use ``deliver_rooms``."""
     w = (results.writeStream.format("parquet").option("path", base).option("checkpointLocation", checkpoint)
          .partitionBy(agent).outputMode("append"))
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
 
 
+def deliver_rooms(results: DataFrame, base: str, checkpoint: str, agent: str = "agent_id", trigger=None,
+                  files: int = 8):
+    """SNK-11: deliver each live result to its agent's room.
+
+    Each trigger writes one set of at most ``files`` files, sorted by agent, into the folder of its epoch, and
+    then commits the epoch; the number of files does not depend on the number of agents, and an agent's rows
+    are found by the files' own ranges (``read_room``).  A replayed epoch writes the same folder again and is
+    committed once, so nothing is delivered twice.  A busy agent's rows are spread over several files.
+    """
+    from .versions import CommitLog
+
+    def deliver(batch: DataFrame, epoch: int) -> None:
+        log = CommitLog(batch.sparkSession, os.path.join(base, "_commits"))
+        if epoch in log.numbers():
+            return
+        spread = F.pmod(F.xxhash64(*[c for c in batch.columns if c != agent]), F.lit(4))
+        batch.repartition(files, F.col(agent), spread).sortWithinPartitions(agent) \
+            .write.mode("overwrite").parquet(os.path.join(base, f"epoch={epoch}"))
+        log.commit(epoch, {"epoch": epoch})
+
+    return (results.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).outputMode("append")
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def read_room(spark: SparkSession, base: str, agent_id: str, agent: str = "agent_id") -> DataFrame | None:
+    """What was delivered to one agent, of committed epochs alone; None before the first commit."""
+    from .versions import CommitLog
+    epochs = CommitLog(spark, os.path.join(base, "_commits")).numbers()
+    if not epochs:
+        return None
+    return spark.read.option("basePath", base).parquet(*[os.path.join(base, f"epoch={e}") for e in epochs]) \
+        .where(F.col(agent) == agent_id)
+
+
 def room_name(agent_col: str = "agent_id") -> F.Column:
     return F.concat(F.lit("agent_"), F.col(agent_col))
 

@@ -1,9 +1,10 @@
 """File sources: processed-table CSV (SRC-3) and workbooks (SRC-1).
 
-Workbooks are read with ``binaryFile`` + ``mapInPandas``: one workbook per
-task, parsed with the standard library (a workbook is a zip of XML parts),
-emitted as rows under a declared schema.  Directories of many workbooks are
-read in parallel; no file passes through the driver.
+Workbooks are read with ``binaryFile`` + ``mapInPandas`` and parsed with the
+standard library (a workbook is a zip of XML parts), row by row, so that a task
+holds the packed file, its shared strings and one chunk of rows, never a parsed
+sheet.  Small workbooks share tasks; a large one is dealt over several tasks, each
+giving every n-th block of its rows.  No file passes through the driver.
 """
 
 from __future__ import annotations
@@ -57,23 +58,38 @@ def uses_1904_dates(content: bytes) -> bool:
     return props is not None and props.get("date1904") in ("1", "true")
 
 
-def workbook_rows(content: bytes, sheet: int = 0) -> list[list]:
-    """Cell values of one sheet as rows of strings / floats (first row = header)."""
+def _elements(z: zipfile.ZipFile, part: str, tag: str):
+    """The elements of one kind of an XML part, one at a time; what was read is forgotten."""
+    with z.open(part) as f:
+        events = ET.iterparse(f, ("start", "end"))
+        _, root = next(events)
+        open_ = [root]
+        for event, element in events:
+            if event == "start":
+                open_.append(element)
+                continue
+            open_.pop()
+            if element.tag == f"{{{_NS['m']}}}{tag}":
+                yield element
+                open_[-1].clear()
+
+
+def sheet_rows(content: bytes, sheet: int = 0, part: int = 0, parts: int = 1):
+    """(row number, cell values as strings / floats) of one sheet, as it is read; row 0 is the header.
+
+    With ``parts`` > 1 only the header and the blocks of rows that are dealt to ``part``.
+    """
     z = zipfile.ZipFile(io.BytesIO(content))
-    shared = []
-    if "xl/sharedStrings.xml" in z.namelist():
-        root = ET.fromstring(z.read("xl/sharedStrings.xml"))
-        shared = [_plain_text(si) for si in root.findall("m:si", _NS)]
+    shared = [_plain_text(si) for si in _elements(z, "xl/sharedStrings.xml", "si")] \
+        if "xl/sharedStrings.xml" in z.namelist() else []
     wb = ET.fromstring(z.read("xl/workbook.xml"))
-    sheets = wb.findall("m:sheets/m:sheet", _NS)
-    rid = sheets[sheet].get(_REL)
+    rid = wb.findall("m:sheets/m:sheet", _NS)[sheet].get(_REL)
     rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
-    target = next(r.get("Target") for r in rels if r.get("Id") == rid)
-    target = target.lstrip("/")
+    target = next(r.get("Target") for r in rels if r.get("Id") == rid).lstrip("/")
     target = target if target.startswith("xl/") else f"xl/{target}"
-    root = ET.fromstring(z.read(target))
-    rows = []
-    for r in root.iter(f"{{{_NS['m']}}}row"):
+    for number, r in enumerate(_elements(z, target, "row")):
+        if number and number // ROW_BLOCK % parts != part:
+            continue
         vals: dict[int, object] = {}
         place = -1
         for c in r.findall("m:c", _NS):
@@ -89,9 +105,12 @@ def workbook_rows(content: bytes, sheet: int = 0) -> list[list]:
                 val = float(v.text) if v is not None and v.text not in (None, "") else None
             place = _col_index(c.get("r")) if c.get("r") else place + 1   # without a reference: the next cell
             vals[place] = val
-        width = max(vals) + 1 if vals else 0
-        rows.append([vals.get(i) for i in range(width)])
-    return rows
+        yield number, [vals.get(i) for i in range(max(vals) + 1 if vals else 0)]
+
+
+def workbook_rows(content: bytes, sheet: int = 0) -> list[list]:
+    """Cell values of one sheet as rows of strings / floats (first row = header)."""
+    return [values for _, values in sheet_rows(content, sheet)]
 
 
 def read_workbooks(spark: SparkSession, path: str, schema: T.StructType, header_map: dict | None = None) -> DataFrame:
@@ -108,25 +127,39 @@ def read_workbooks(spark: SparkSession, path: str, schema: T.StructType, header_
 
     def parse(batches):
         for pdf in batches:
-            out = []
-            for content in pdf["content"]:
-                rows = workbook_rows(bytes(content))
-                shift = DAYS_1904 if uses_1904_dates(bytes(content)) else 0
-                if not rows:
-                    continue
-                header = [inverse.get(h, h) if isinstance(h, str) else h for h in rows[0]]
-                pos = {h: i for i, h in enumerate(header)}
-                for r in rows[1:]:
+            for content, part, parts in zip(pdf["content"], pdf["part"], pdf["parts"]):
+                content = bytes(content)
+                shift = DAYS_1904 if uses_1904_dates(content) else 0
+                pos, out = {}, []
+                for number, r in sheet_rows(content, 0, part, parts):
+                    if number == 0:
+                        header = [inverse.get(h, h) if isinstance(h, str) else h for h in r]
+                        pos = {h: i for i, h in enumerate(header)}
+                        # the header's own block of rows is dealt to part 0
+                        continue
                     out.append({n: (None if pos.get(n) is None or pos[n] >= len(r) or r[pos[n]] is None
                                     else _text(r[pos[n]] + shift if n in dates and isinstance(r[pos[n]], float)
                                                else r[pos[n]])) for n in names})
-            yield pd.DataFrame(out, columns=names)
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    raw = files.mapInPandas(parse, str_schema)
+                    if len(out) == ROW_BLOCK:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+                yield pd.DataFrame(out, columns=names)
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))   # a few packed files at a time
+    files = spark.read.format("binaryFile").load(path).select(
+        "path", "content", F.ceil(F.col("length") / PART_BYTES).cast("int").alias("parts"))
+    one = files.where("parts <= 1").select("content", F.lit(0).alias("part"), F.lit(1).alias("parts"))
+    many = files.where("parts > 1").select("path", "content", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+                                           "parts")
+    dealt = many.repartition("path", "part").select("content", "part", "parts")
+    raw = one.unionAll(dealt).mapInPandas(parse, str_schema)
     return raw.select(*[_typed(raw[f.name], f.dataType).alias(f.name) for f in schema.fields])
 
 
+#: Rows of a chunk; packed bytes of a workbook that one task parses; packed bytes handed to Python at once.
+ROW_BLOCK = 4096
+PART_BYTES = 8 << 20
+BATCH_BYTES = 32 << 20
 DAYS_1904 = 1462                  # fixed value: days from the 1900 to the 1904 date system
 EXCEL_EPOCH_UNIX_DAYS = 25569     # fixed value: day 0 of workbook date serials is 1899-12-30
 
