@@ -14,7 +14,7 @@ from .. import schema as S
 from ..operators import explain as X
 from ..operators import models as MD
 from ..functions.ranking import auc_from_scores
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 from ..sinks import writers as W
 from ..sources.tables import read_table
 from .common import r6
@@ -140,12 +140,13 @@ def q_scaled_features(spark, d):
 # -- MLlib model queries (rows-only checks) ---------------------------------------------------
 
 def model_frame(spark, d):
-    """Customer features -> label -> assembled vector -> split and fold columns."""
+    """Customer features -> label -> assembled vector -> split and fold columns, written once: the split's
+    rank job, the fit and the scoring all read it, and none computes the customer table again."""
     from .catalog import customer_table
-    c = customer_table(spark, d).withColumn(
-        "label", F.when(F.col(S.TARGET_COL) == S.TARGET_UNPAID, 1).otherwise(0))
+    c = stored(customer_table(spark, d).withColumn(
+        "label", F.when(F.col(S.TARGET_COL) == S.TARGET_UNPAID, 1).otherwise(0)), "customers")
     feats = MD.feature_names(c)
-    return MD.with_split(MD.assemble(c, feats)), feats
+    return stored(MD.with_split(MD.assemble(c, feats)), "model-frame"), feats
 
 
 def data_version(spark, d, *tables) -> str:
@@ -224,8 +225,9 @@ def q_feature_importance(spark, d):
 def _call_frame(spark, d):
     """Call-grain frame of the optimisation run (FE-B, coercion, mean fill, label B)."""
     from .prepare import q_mean_filled_features, _MEANFILL_FEATS
-    c = q_mean_filled_features(spark, d).withColumnRenamed("record_no", "customer_no")
-    return MD.with_split(MD.assemble(c, _MEANFILL_FEATS, key="contact_id"), "contact_id"), _MEANFILL_FEATS
+    c = stored(q_mean_filled_features(spark, d).withColumnRenamed("record_no", "customer_no"), "calls")
+    return stored(MD.with_split(MD.assemble(c, _MEANFILL_FEATS, key="contact_id"), "contact_id"), "call-frame"), \
+        _MEANFILL_FEATS
 
 
 @register("forest_baseline")
