@@ -1,11 +1,15 @@
 """Language-model scores from a weighted backoff automaton.
 
 N-gram counts of the training documents are smoothed by interpolated absolute discounting.  States are
-the histories seen in training.  An arc is a seen n-gram with its interpolated probability; a state's
-failure arc leads to the history without its first word and costs the mass that discounting left over.
-The traversal reads a document left to right: at each token it starts in the longest known history, takes
-failure arcs until the token has an arc, adds the log weights, and goes on.  The root has an arc for every
-token: (c + 0.5) / (N + 0.5 (V + 1)).
+the histories seen in training, numbered; the root is the empty one.  An arc is a seen n-gram: from the state
+of its history, by its last word, with its interpolated log probability, to the state of the longest known
+history that it ends in.  A state's failure arc leads to the history without its first word and costs the mass
+that discounting left over.  The root has an arc for every token: (c + 0.5) / (N + 0.5 (V + 1)).
+
+The traversal reads a document left to right and carries nothing but its state: it takes failure arcs until
+the token has an arc, takes that, and goes on in its target.  All documents of a shard are read side by side,
+long ones in segments: as a state depends on the last order - 1 tokens alone, a segment reads these tokens
+first, without counting them.
 
 The model is as large as the corpus, so no task holds it whole.  Documents are cut into shards; a shard
 sends its distinct n-grams with their training counts to the exchange and gets the corpus-wide counts of
@@ -32,6 +36,8 @@ from .tasks import gathered, written
 ORDER = 2
 DISCOUNT = 0.75
 SHARD_BYTES = 4 << 20
+#: Tokens that one lane of the traversal reads.
+SEGMENT = 256
 #: Hashes of the end and of the start of a document; words have other hashes (64 bits).
 END, START = np.uint64(0xE5D0E5D0E5D0E5D1), np.uint64(0x57A5757A5757A57B)
 
@@ -63,7 +69,7 @@ class Shard:
     def histories(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the n tokens before each token (the start counts as one), and whether they exist."""
         hashes = self.words[self.tokens]
-        out = np.full(len(hashes), np.uint64(n) * np.uint64(0xA24BAED4963EE407))
+        out = np.full(len(hashes), np.uint64(n * 0xA24BAED4963EE407 % 2 ** 64))
         for back in range(n, 0, -1):
             word = np.empty_like(hashes)
             word[back:] = hashes[:-back]
@@ -169,13 +175,13 @@ def _scored(df: DataFrame, table: exchange.ShardTable, order: int, id_col: str)
     def traverse(batches):
         for row in _rows(batches):
             shard = _shard(row)
-            weight, failure = automaton(shard, row["grams"], row["histories"], order, totals, types)
-            base, score_, known = walk(shard, weight, failure)
+            machine = Automaton(shard, row["grams"], row["histories"], order, totals, types)
+            base, known = machine.base(shard)
             n = len(shard.lengths)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row["ids"], id_type), pa.array(exchange.unpack(row["train"], bool)),
                  pa.array(shard.lengths), pa.array(known), pa.array(np.full(n, totals, np.int64)), pa.array(base),
-                 pa.array(score_)],
+                 pa.array(machine.read(shard))],
                 names=[id_col, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = df.schema[id_col].dataType
@@ -187,56 +193,120 @@ def _scored(df: DataFrame, table: exchange.ShardTable, order: int, id_col: str)
                                       "train_tokens long, base_score double, score double")
 
 
-def automaton(shard: Shard, grams, histories, order: int, totals: int, types: int):
-    """Per level n: weight of each position's n-gram arc (log10; nan: no such arc, at level 1 always
-    there), and the log10 failure weight of the position's history of n - 1 tokens (nan: not a state)."""
-    weight, failure = [], []
-    for n in range(1, order + 1):
-        at, keys = shard.grams(n)
-        distinct, which = np.unique(keys, return_inverse=True)
-        which = which.reshape(-1)
-        count = exchange.answered(grams, n, 2)[:, 0]
-        if n == 1:
-            p = (count + 0.5) / (totals + 0.5 * (types + 1))
-            weight.append((np.log10(p)[which], count[which] > 0))
-            lower = p[which]
-            failure.append(None)
-            continue
-        history, _ = shard.histories(n - 1)
-        _, of = np.unique(history[at], return_inverse=True)
-        tokens, kinds = exchange.answered(histories, n, 2).T
-        of = of.reshape(-1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            left = np.where(tokens > 0, DISCOUNT * kinds / tokens, np.nan)
-            seen = count[which] > 0
-            p = np.where(seen, (count[which] - DISCOUNT) / tokens[of] + left[of] * lower[at], np.nan)
-            arcs, fail = np.full(len(shard.tokens), np.nan), np.full(len(shard.tokens), np.nan)
-            arcs[at], fail[at] = np.log10(p), np.log10(left)[of]
-            # probability of the position's token from this history, for the level above
-            here = np.where(seen, p, np.where(tokens[of] > 0, left[of], 1.0) * lower[at])
-        lower = lower.copy()
-        lower[at] = here
-        weight.append((arcs, ~np.isnan(arcs)))
-        failure.append(fail)
-    return weight, failure
-
-
-def walk(shard: Shard, weight, failure) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The traversal, for all documents of a shard together: base score, score and known tokens."""
-    first = shard.first[:-1]
-    total = np.zeros(len(shard.tokens))
-    open_ = np.ones(len(shard.tokens), bool)  # tokens still looking for an arc
-    for n in range(len(weight), 1, -1):
-        arcs, has = weight[n - 1]
-        take = open_ & has
-        total[take] += arcs[take]
-        open_ &= ~take
-        fall = open_ & ~np.isnan(failure[n - 1])
-        total[fall] += failure[n - 1][fall]
-    root, known = weight[0]
-    total[open_] += root[open_]
-    if not len(first):
-        none = np.zeros(0)
-        return none, none, none.astype(np.int64)
-    return (np.add.reduceat(root, first), np.add.reduceat(total, first),
-            np.add.reduceat(known.astype(np.int64), first))
+class Automaton:
+    """States, arcs and failure arcs that the documents of a shard can reach.
+
+    Arcs are sorted by (state, word): ``key`` = state * words + word, with ``weight`` (log10) and ``target``;
+    ``fail_weight`` and ``fail_target`` belong to a state.  State 0 is the root, ``start`` that of a text's begin.
+    """
+
+    def __init__(self, shard: Shard, grams, histories, order: int, totals: int, types: int):
+        self.order, self.words = order, max(len(shard.words), 1)
+        n_tokens = len(shard.tokens)
+        # known[m]: for each position the number of its m-token history as a state, -1 where it is none
+        self.known = [np.zeros(n_tokens, np.int64)]
+        self.fail_weight, self.fail_target = [np.zeros(1)], [np.zeros(1, np.int64)]
+        left, tokens = [None], [None]
+        states = 1
+        for n in range(2, order + 1):
+            at, _ = shard.grams(n)
+            history = shard.histories(n - 1)[0][at]
+            _, one, of = np.unique(history, return_index=True, return_inverse=True)
+            seen, kinds = exchange.answered(histories, n, 2).T
+            with np.errstate(divide="ignore", invalid="ignore"):
+                rest = np.where(seen > 0, DISCOUNT * kinds / seen, np.nan)
+            number = np.where(seen > 0, np.cumsum(seen > 0) - 1 + states, -1)
+            here = np.full(n_tokens, -1)
+            here[at] = number[of.reshape(-1)]
+            live = np.flatnonzero(seen > 0)
+            self.fail_weight.append(np.log10(rest[live]))
+            self.fail_target.append(self.known[n - 2][at[one[live]]])
+            self.known.append(here)
+            left.append((of.reshape(-1), rest))
+            tokens.append(seen)
+            states += len(live)
+        self.fail_weight, self.fail_target = np.concatenate(self.fail_weight), np.concatenate(self.fail_target)
+        # the state after each position: the longest known history that ends there
+        after = np.zeros(n_tokens, np.int64)
+        ends = shard.first[1:] - 1
+        self.targets = [after.copy() for _ in range(order)]      # by the length of the arc's n-gram
+        for n in range(1, order + 1):
+            for m in range(1, min(n, order - 1) + 1):
+                ahead = np.full(n_tokens, -1)
+                ahead[:-1] = self.known[m][1:]
+                ahead[ends] = -1
+                self.targets[n - 1] = np.where(ahead >= 0, ahead, self.targets[n - 1])
+        key, weight, target = [], [], []
+        lower = None
+        for n in range(1, order + 1):
+            at, keys = shard.grams(n)
+            _, one, which = np.unique(keys, return_index=True, return_inverse=True)
+            which = which.reshape(-1)
+            count = exchange.answered(grams, n, 2)[:, 0]
+            if n == 1:
+                p = (count + 0.5) / (totals + 0.5 * (types + 1))
+                self.root, self.counted = np.log10(p), count > 0
+                lower = p[which]
+                arcs = np.arange(len(one))
+            else:
+                of, rest = left[n - 1]
+                seen = tokens[n - 1]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    below = np.where(seen[of] > 0, rest[of], 1.0) * lower[at]
+                    full = np.where(count[which] > 0, (count[which] - DISCOUNT) / seen[of] + below, below)
+                lower = lower.copy()
+                lower[at] = full
+                p = full[one]
+                arcs = np.flatnonzero(count > 0)
+            place = at[one[arcs]]
+            key.append(self.known[n - 1][place] * self.words + shard.tokens[place])
+            weight.append(np.log10(p[arcs]))
+            target.append(self.targets[n - 1][place])
+        sort = np.argsort(np.concatenate(key), kind="stable")
+        self.key, self.weight, self.target = (np.concatenate(x)[sort] for x in (key, weight, target))
+        begin = self.known[1][shard.first[:-1]] if order > 1 else np.zeros(len(shard.lengths), np.int64)
+        self.start = np.maximum(begin, 0)
+
+    def base(self, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
+        """Base score and known tokens of each document, from the root's arcs."""
+        first = shard.first[:-1]
+        if not len(first):
+            return np.zeros(0), np.zeros(0, np.int64)
+        return (np.add.reduceat(self.root[shard.tokens], first),
+                np.add.reduceat(self.counted[shard.tokens].astype(np.int64), first))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """New state and log10 weight of reading one word in each state: failure arcs, then the word's arc."""
+        state, total = state.copy(), np.zeros(len(state))
+        open_ = np.arange(len(state))
+        while len(open_):
+            wanted = state[open_] * self.words + word[open_]
+            at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+            hit = self.key[at] == wanted
+            done, at = open_[hit], at[hit]
+            total[done] += self.weight[at]
+            state[done] = self.target[at]
+            open_ = open_[~hit]
+            total[open_] += self.fail_weight[state[open_]]
+            state[open_] = self.fail_target[state[open_]]
+        return state, total
+
+    def read(self, shard: Shard) -> np.ndarray:
+        """Score of every document: one left-to-right traversal, documents and segments side by side."""
+        count = -(-shard.lengths // SEGMENT)
+        doc = np.repeat(np.arange(len(count)), count)
+        offset = (np.arange(len(doc)) - np.repeat(offsets_of(count)[:-1], count)) * SEGMENT
+        warm = np.minimum(offset, self.order - 1)                      # tokens read before the segment's own
+        size = np.minimum(shard.lengths[doc] - offset, SEGMENT) + warm
+        begin = shard.first[doc] + offset - warm
+        state = np.where(offset == warm, self.start[doc], 0)
+        order = np.argsort(-size, kind="stable")
+        doc, warm, size, begin, state = doc[order], warm[order], size[order], begin[order], state[order]
+        score_ = np.zeros(len(shard.lengths))
+        total = np.zeros(len(doc))
+        for k in range(int(size.max(initial=0))):
+            lanes = int(np.searchsorted(-size, -k, "left"))            # segments longer than k, which come first
+            state[:lanes], gained = self.step(state[:lanes], shard.tokens[begin[:lanes] + k])
+            total[:lanes] += np.where(warm[:lanes] > k, 0.0, gained)
+        np.add.at(score_, doc, total)
+        return score_
