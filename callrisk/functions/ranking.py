@@ -7,8 +7,8 @@ value into one task.  Here the work is spread instead:
 Quantiles of whole columns need no order at all (``selection``).  Elsewhere:
 
 1. collapse to a frequency table (partial aggregation before the shuffle);
-2. range-partition it on (key, value) and cut lineage, fixing which
-   partition each value lives in;
+2. range-partition it on (key, value) and write it with the partition number
+   (Parquet in the shared folder), fixing which partition each value lives in;
 3. running counts inside each partition (bounded by partition size) plus the
    totals of earlier partitions (one row per partition and key) give every
    value its exact global rank.
@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shuffle_partitions
+from ..session import shuffle_partitions, stored
 from .selection import quantiles
 
 
@@ -56,7 +56,7 @@ def running_count(freq: DataFrame, keys: list[str], order, weight,
     p = partitions or shuffle_partitions(spark)
     order = [order] if isinstance(order, str) else list(order)
     parted = freq.repartitionByRange(p, *keys, *order).withColumn("_pid", F.spark_partition_id())
-    parted = cut_lineage(parted)
+    parted = stored(parted, "ranked")
     w_local = (Window.partitionBy("_pid", *keys).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = parted.select("*", *[F.sum(w).over(w_local).alias(f"_l_{w}") for w in weights])
@@ -103,7 +103,7 @@ def next_in_order(df: DataFrame, keys: list[str], order: list[str], values: list
     partition and key).
     """
     p = partitions or shuffle_partitions(df.sparkSession)
-    parted = cut_lineage(df.repartitionByRange(p, *keys, *order).withColumn("_pid", F.spark_partition_id()))
+    parted = stored(df.repartitionByRange(p, *keys, *order).withColumn("_pid", F.spark_partition_id()), "ranked")
     w = Window.partitionBy("_pid", *keys).orderBy(*order)
     local = parted.select("*", *[F.lead(v).over(w).alias(f"_ln_{v}") for v in values],
                           F.lead(F.lit(1)).over(w).isNull().alias("_last"))
@@ -207,8 +207,9 @@ def roc_points(df: DataFrame, label: str, score: str, partitions: int | None = N
         F.count_if(F.col(label) == 1).alias("n_pos"),
         F.count_if(F.col(label) != 1).alias("n_neg"))
     desc = by_score.withColumn("_neg_t", -F.col("threshold"))
-    ranked, _ = running_count(desc, [], "_neg_t", ["n_pos", "n_neg"], partitions)
-    tot = by_score.agg(F.sum("n_pos").alias("P"), F.sum("n_neg").alias("N")).first()   # one row
+    ranked, totals = running_count(desc, [], "_neg_t", ["n_pos", "n_neg"], partitions)
+    tot = totals.first()   # one row, from the stored partition table
+    tot = {"P": tot["_total_n_pos"], "N": tot["_total_n_neg"]}
     return ranked.select(
         "threshold",
         F.try_divide(F.col("_cum_n_pos").cast("double"), F.lit(tot["P"]).cast("double")).alias("tpr"),
