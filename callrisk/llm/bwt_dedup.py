@@ -63,8 +63,23 @@ def gram_keys(data: np.ndarray) -> np.ndarray:
     raw = np.ascontiguousarray(data)
     low = np.ndarray((n,), "<u8", raw, 0, (1,))
     high = np.ndarray((n,), "<u8", raw, 8, (1,))
-    hashed = mix(low * np.uint64(0x9E3779B97F4A7C15) + mix(high + np.uint64(0xA24BAED4963EE407)))
-    return (hashed & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    hashed = high + np.uint64(0xA24BAED4963EE407)
+    mix_in_place(hashed)
+    hashed += low * np.uint64(0x9E3779B97F4A7C15)
+    mix_in_place(hashed)
+    hashed &= np.uint64(0xFFFFFFFF00000000)
+    hashed |= np.arange(n, dtype=np.uint64)
+    return hashed
+
+
+def mix_in_place(x: np.ndarray) -> None:
+    """``arrays.mix`` of a large array, with one array beside it."""
+    beside = np.empty_like(x)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+        np.right_shift(x, np.uint64(shift), out=beside)
+        x ^= beside
+        if factor is not None:
+            x *= np.uint64(factor)
 
 
 def least_positions(keys: np.ndarray, width: int) -> np.ndarray:
@@ -115,24 +130,26 @@ def transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(symbols)
     if not n:
         return np.zeros(0, np.int64), symbols
-    _, rank = np.unique(symbols, return_inverse=True)
-    rank = rank.reshape(-1).astype(np.int64)
-    ends = symbols == 0
-    rank[ends] = 0
-    rank[~ends] += int(ends.sum())
-    rank[ends] = np.arange(int(ends.sum()))
-    step = 1
-    while True:
-        ahead = np.full(n, -1, np.int64)
-        ahead[:-step or None] = rank[step:] if step < n else -1
-        order = np.lexsort((ahead, rank))
-        new = np.ones(n, bool)
-        new[1:] = (rank[order][1:] != rank[order][:-1]) | (ahead[order][1:] != ahead[order][:-1])
-        fresh = np.empty(n, np.int64)
-        fresh[order] = np.cumsum(new) - 1
-        rank = fresh
-        if new.all() or step >= n:
-            break
+    ends = np.flatnonzero(symbols == 0)
+    order = np.argsort(symbols, kind="stable")
+    # a rank is the first place of its group in the order; groups of one are settled, the others are sorted on
+    new = np.append(True, symbols[order][1:] != symbols[order][:-1])
+    new[:len(ends)] = True
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    tied, step = order[~(new & np.append(new[1:], True))], 1
+    while len(tied):
+        ahead = np.where(tied + step < n, rank[np.minimum(tied + step, n - 1)], -1)
+        sort = np.lexsort((ahead, rank[tied]))
+        tied, ahead = tied[sort], ahead[sort]
+        group = rank[tied]
+        index = np.arange(len(tied))
+        head = np.append(True, group[1:] != group[:-1])
+        place = group + index - np.maximum.accumulate(np.where(head, index, 0))
+        order[place] = tied
+        new = head | np.append(True, ahead[1:] != ahead[:-1])
+        rank[tied] = np.maximum.accumulate(np.where(new, place, 0))
+        tied = tied[~(new & np.append(new[1:], True))]
         step *= 2
     before = np.empty_like(symbols)
     before[1:] = symbols[:-1]
@@ -245,9 +262,8 @@ class Runs:
         doc = np.searchsorted(offsets, high, "right") - 1
         low = np.maximum(low, offsets[doc])
         high = np.minimum(high, offsets[doc + 1] - length)
-        mark = np.zeros(int(offsets[-1]) + 2, np.int32)
-        np.add.at(mark, low[low <= high], 1)
-        np.add.at(mark, high[low <= high] + 1, -1)
+        size = int(offsets[-1]) + 2
+        mark = np.bincount(low[low <= high], minlength=size) - np.bincount(high[low <= high] + 1, minlength=size)
         self.candidate = np.cumsum(mark, dtype=np.int32) > 0
         before = np.zeros(len(mark) + 1, np.int32)
         np.cumsum(self.candidate, out=before[1:])
@@ -377,8 +393,8 @@ def _checked(table, blocks, length, rounds, bits, id_type, id_col) -> DataFrame:
             offsets = exchange.unpack(row["offsets"], np.int64)
             mark = np.zeros(len(data) + 1, np.int32)
             for low, high in ((runs.first[runs.copies], runs.last[runs.copies]), (at[again], at[again])):
-                np.add.at(mark, low, 1)
-                np.add.at(mark, high + length, -1)
+                mark += np.bincount(low, minlength=len(mark)).astype(np.int32)
+                mark -= np.bincount(high + length, minlength=len(mark)).astype(np.int32)
             gone = np.cumsum(mark[:-1], dtype=np.int32) > 0
             yield _result(row["ids"], data, offsets, gone, kind, id_col)
 

@@ -89,13 +89,14 @@ def summed(requests: DataFrame, extra: str = "", width: int = 1) -> DataFrame:
         distinct, _, which = distinct_keys(keys if width == 1 else keys.reshape(-1, width))
         del keys
         counts = counts.reshape(len(which), -1)
-        total = np.zeros((len(distinct), counts.shape[1]), np.int64)
-        np.add.at(total, which, counts)
+        # sums of doubles are exact here: counts of tokens stay far below 2 ** 53
+        total = np.stack([np.bincount(which, c, len(distinct)).astype(np.int64) for c in counts.T], axis=1)
         columns = [total[which]]
         if extra == "first":
             first = np.full(len(distinct), len(which))
             some = np.flatnonzero(counts[:, 0] > 0)
-            np.minimum.at(first, which[some], some)
+            key, at = np.unique(which[some], return_index=True)
+            first[key] = some[at]
             own = np.zeros(len(which), np.int64)
             own[first[first < len(which)]] = 1
             columns.append(own[:, None])
