@@ -29,8 +29,9 @@ from .tasks import map_arrow, texts, written
 
 #: Text bytes of a shard; bounds the memory of building and of searching it.
 SHARD_BYTES = 8 << 20
-#: Text bytes of test items searched at once.
+#: Text bytes of test items searched at once, and bytes of such blocks that are broadcast at once.
 BLOCK_BYTES = 1 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -151,23 +152,41 @@ def test_phrases(items: DataFrame, window: int, id_col: str = "item_id", text_co
                       ("phrases", "binary")], BLOCK_BYTES)
 
 
+def _passes(blocks: DataFrame) -> list[list[int]]:
+    """Block numbers in groups of at most BROADCAST_BYTES; one empty group where there are none."""
+    sizes = blocks.select("block", (F.octet_length("phrases") + F.octet_length("owner") + F.octet_length("sizes"))
+                          .alias("size")).orderBy("block").collect()      # one row per megabyte of test items
+    out, room = [[]], BROADCAST_BYTES
+    for r in sizes:
+        if out[-1] and r["size"] > room:
+            out.append([])
+            room = BROADCAST_BYTES
+        out[-1].append(r["block"])
+        room -= r["size"]
+    return out
+
+
 def search(index: DataFrame, items: DataFrame, window: int = 10, slack: int = 0,
            item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Documents with matches: (shard, doc: place in the shard, ranges: word ranges [start, end) inside
     a match, relative to the document; item_ids).
 
-    The stated set of test items is taken in blocks of bounded size against every shard.
+    The stated set of test items is taken in blocks of bounded size against every shard; blocks travel to the
+    shards in passes of at most ``BROADCAST_BYTES`` (a larger block is a pass of its own).
     """
     kind = T.ArrayType(items.schema[item_col].dataType)
-    blocks = test_phrases(items, window, item_col, text_col)
-    pairs = (index.select("shard", "n_words", "terms", "postings", "counts").crossJoin(blocks))
+    blocks = written(test_phrases(items, window, item_col, text_col).withColumn("block", F.monotonically_increasing_id()),
+                     "test-phrases")
     ranges = "array<struct<start:long,end:long>>"
     arrow_ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batch):
+        shard, number = None, None
         for k in range(batch.num_rows):
             r = {n: batch.column(j)[k] for j, n in enumerate(batch.schema.names)}
-            shard = Shard(*(r[c].as_py() for c in ("terms", "postings", "counts", "n_words")))
+            if shard is None or r["shard"].as_py() != number:  # a shard's blocks follow each other
+                shard = Shard(*(r[c].as_py() for c in ("terms", "postings", "counts", "n_words")))
+                number = r["shard"].as_py()
             owner = np.frombuffer(r["owner"].as_py(), "<i8")
             bounds = offsets_of(np.frombuffer(r["sizes"].as_py(), "<i8"))
             phrase, start, doc = shard.find(np.frombuffer(r["phrases"].as_py(), np.uint64), bounds, slack)
@@ -194,8 +213,12 @@ def search(index: DataFrame, items: DataFrame, window: int = 10, slack: int = 0,
                    "doc": pa.array(out["doc"], pa.int64()), "ranges": pa.array(out["ranges"], arrow_ranges),
                    "item_ids": pa.array(out["item_ids"], pa.list_(batch.schema.field("item_ids").type.value_type))}
 
-    found = map_arrow(pairs, run, [("shard", "long"), ("doc", "long"), ("ranges", ranges),
-                                   ("item_ids", kind)], None)
+    found = None
+    for numbers in _passes(blocks):
+        some = blocks.where(F.col("block").isin(numbers)).drop("block")
+        pairs = index.select("shard", "n_words", "terms", "postings", "counts").crossJoin(F.broadcast(some))
+        part = map_arrow(pairs, run, [("shard", "long"), ("doc", "long"), ("ranges", ranges), ("item_ids", kind)], None)
+        found = part if found is None else found.unionAll(part)
     return found.groupBy("shard", "doc").agg(
         F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"),
         F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))

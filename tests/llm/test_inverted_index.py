@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from callrisk.llm import inverted_index, queries
 from callrisk.sources.tables import read_table
@@ -60,6 +61,18 @@ def test_blocks_of_items_meet_in_one_row(spark, documents, monkeypatch):
     assert run(documents, items) == brute(rows_of(documents), [(r.item_id, r.text) for r in items.collect()])
 
 
+def test_broadcast_is_bounded(spark, documents, monkeypatch):
+    """Blocks go out in passes of bounded size, whatever the number of test items."""
+    monkeypatch.setattr(inverted_index, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(inverted_index, "BROADCAST_BYTES", 20_000)
+    items = read_table(spark, SF, "benchmark").repartition(2)
+    blocks = inverted_index.test_phrases(items, 10)
+    numbered = blocks.withColumn("block", F.monotonically_increasing_id()).cache()
+    passes = inverted_index._passes(numbered)
+    assert len(passes) > 1 and sorted(n for p in passes for n in p) == sorted(r.block for r in numbered.collect())
+    assert run(documents, items) == brute(rows_of(documents), [(r.item_id, r.text) for r in items.collect()])
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a x b c"), (2, "a b c"), (3, "a x x x b c"), (4, "c b a")],
                                  "doc_id long, text string")
