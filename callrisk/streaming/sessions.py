@@ -120,24 +120,25 @@ BUFFER_SCHEMA = ("contact_id long, segment_count long, latest_segment_id long, f
 BUFFER_STATE = "segment_ids array<long>, speakers array<string>, neg array<double>, pos array<double>"
 
 
+BUFFER_FIELDS = ["segment_id", "speaker", "negative_score", "positive_score"]
+
+
 def _buffer_fn(n: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, spk, neg, pos = (list(x) for x in state.get) if state.exists else ([], [], [], [])
-        for pdf in pdfs:
-            for sid, sp, ng, ps in zip(pdf["segment_id"], pdf["speaker"], pdf["negative_score"],
-                                       pdf["positive_score"]):
-                ids.append(int(sid))
-                spk.append(sp)
-                neg.append(float(ng))
-                pos.append(float(ps))
-        order = sorted(range(len(ids)), key=lambda i: ids[i])[-n:]       # keep the newest n only
-        ids, spk, neg, pos = ([a[i] for i in order] for a in (ids, spk, neg, pos))
-        state.update((ids, spk, neg, pos))
-        cust = [i for i, s in enumerate(spk) if s == "CUSTOMER"]
+        kept = pd.DataFrame(dict(zip(BUFFER_FIELDS, state.get if state.exists else ([], [], [], []))))
+        for pdf in pdfs:                                  # never more than one Arrow batch beside the newest n
+            newest = pdf[BUFFER_FIELDS].nlargest(n, "segment_id")
+            kept = (pd.concat([kept, newest]) if len(kept) else newest).nlargest(n, "segment_id")
+        kept = kept.sort_values("segment_id", kind="stable")
+        state.update(([int(i) for i in kept["segment_id"]], kept["speaker"].tolist(),
+                      [float(x) for x in kept["negative_score"]], [float(x) for x in kept["positive_score"]]))
+        cust = kept[kept["speaker"] == "CUSTOMER"]
         yield pd.DataFrame([{
-            "contact_id": int(key[0]), "segment_count": len(ids), "latest_segment_id": ids[-1] if ids else None,
-            "first_customer_neg": neg[cust[0]] if cust else None,
-            "last_customer_pos": pos[cust[-1]] if cust else None, "n_customer": len(cust)}])
+            "contact_id": int(key[0]), "segment_count": len(kept),
+            "latest_segment_id": int(kept["segment_id"].iloc[-1]) if len(kept) else None,
+            "first_customer_neg": float(cust["negative_score"].iloc[0]) if len(cust) else None,
+            "last_customer_pos": float(cust["positive_score"].iloc[-1]) if len(cust) else None,
+            "n_customer": len(cust)}])
     return fn
 
 

@@ -36,6 +36,15 @@ def test_entry_works_without_the_text_operators(tmp_path):
     assert set(said.stdout.split()) == set(E.queries()) - set(E.LLM_QUERIES)
 
 
+def test_entry_works_without_a_library_of_the_text_operators():
+    import subprocess
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    said = subprocess.run([sys.executable, "-B", "-c", "import sys; sys.modules['public_tokenizers'] = None\n"
+                           "import __spark_entry__ as e; print(*e.queries())"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
+    assert set(said.stdout.split()) == set(E.queries()) - set(E.LLM_QUERIES)
+
+
 @pytest.mark.parametrize("name", ["customer_features", "call_history", "call_sessions", "rule_auc",
                                   "describe_calls", "segment_buffer", "crm_upsert", "rule_reasons"])
 def test_query_equals_oracle(spark, name):
