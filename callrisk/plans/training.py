@@ -120,7 +120,7 @@ def q_small_grid_search(spark, d):
         more = stored(OS.oversampled(whole, _MEANFILL_FEATS, "contact_id"), "fold-oversampled")
         return assembled(more.withColumn("row_no", F.monotonically_increasing_id()), "row_no")
 
-    found = SE.search(assembled(calls, "contact_id"), MD.boosted(), MD.SMALL_GRID, 5, "contact_id", prepare=rebalanced)
+    found = SE.search(assembled(calls, "contact_id"), MD.boosted(), MD.SMALL_GRID, 5, "contact_id", 10, rebalanced)
     best = SE.best_point(found)
     rows = [(p["maxIter"], p["maxDepth"], p["stepSize"], mean, per, p == best) for p, mean, per in found]
     out = spark.createDataFrame(rows, "rounds int, depth int, learning_rate double, mean_auc double, "
