@@ -5,6 +5,7 @@ the distributed rank job of ``functions.ranking``."""
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -12,8 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import exact_quantiles
 from ..functions.selection import quantiles
+from ..session import stored
 from .clean import numeric_columns
 
+#: Column pairs of one aggregate: a correlation has six buffers.
+PAIRS = 15
+
 
 def null_profile(df: DataFrame, only_missing: bool = True) -> DataFrame:
     """PRF-1: null count per column in one pass, as (column, nulls)."""
@@ -104,17 +109,22 @@ def box_stats(df: DataFrame, col: str, by: str) -> DataFrame:
 
 
 def correlation_long(df: DataFrame, cols=None) -> DataFrame:
-    """PRF-7: Pearson correlation of every column pair in one aggregate pass,
-    long form (a, b, corr).  Nulls are dropped pair by pair, as pandas does.
+    """PRF-7: Pearson correlation of every column pair, long form (a, b, corr).
+    Nulls are dropped pair by pair, as pandas does.  The columns are written once;
+    an aggregate takes ``PAIRS`` pairs, since Spark compiles no aggregate of more than
+    ``spark.sql.codegen.maxFields`` buffers, and reads their columns alone.
     For very wide tables (hundreds of columns) ``ml.stat.Correlation`` over an
     assembled vector is the better plan; this form keeps pairwise null handling."""
     cols = list(cols) if cols is not None else numeric_columns(df, ())
     pairs = list(combinations(cols, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, corr double")
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}")
-                   for i, (a, b) in enumerate(pairs)])
-    stacked = row.unpivot([], [f"{i}" for i in range(len(pairs))], "_i", "corr")
+    values = stored(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), "correlated")
+    numbered = list(enumerate(pairs))
+    parts = [numbered[i:i + PAIRS] for i in range(0, len(numbered), PAIRS)]
+    stacked = reduce(DataFrame.unionAll, [
+        values.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in part]).unpivot([], [f"{i}" for i, _ in part], "_i", "corr")
+        for part in parts])
     names = df.sparkSession.createDataFrame([(str(i), a, b) for i, (a, b) in enumerate(pairs)],
                                             "_i string, a string, b string")
     return stacked.join(F.broadcast(names), "_i").select("a", "b", "corr")   # names: one row per pair
