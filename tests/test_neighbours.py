@@ -84,3 +84,28 @@ def test_plan_has_no_cross_join(spark):
     finally:
         N.stored = real
     assert len(plans) >= 6 and not any(w in p for p in plans for w in ("Cartesian", "NestedLoop", "Cross"))
+
+
+def test_many_cells_and_more_dimensions_than_axes(spark, small_blocks, monkeypatch):
+    """Cells of a few blocks, cut a few blocks at a time; boxes know 8 of the 10 dimensions, far from zero."""
+    monkeypatch.setattr(N, "CELL_BLOCKS", 2)
+    monkeypatch.setattr(N, "CUT_BLOCKS", 1)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in 1e6 + rng.integers(0, 9, 10)]) for i in range(600)]
+    assert run(spark, rows, 3, dims=10) == brute(rows, 3)
+
+
+def test_points_that_travel_grow_with_the_table(spark, monkeypatch):
+    """All vectors differ: four times the points send about four times as many to other blocks, never whole blocks."""
+    monkeypatch.setattr(N, "BLOCK", 32)
+    sent, real = [], N.asked
+
+    def counted(*args):
+        sent.append(real(*args).agg(F.sum(F.size("ids"))).first()[0])
+        return real(*args)
+
+    monkeypatch.setattr(N, "asked", counted)
+    for n in (2000, 8000):
+        rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(n).normal(size=(n, 2)))]
+        assert len(run(spark, rows, 5)) == n
+    assert 0 < sent[1] <= min(5 * sent[0], 4 * 8000)
