@@ -170,11 +170,16 @@ def start_live_scoring(events_stream: DataFrame, crm: DataFrame, out_dir: str, c
     return W.deliver_rooms(messages, out_dir, checkpoint, "agent_id", trigger)
 
 
+#: A call whose end never comes keeps writing its scores for so long after its last event.
+CRM_OPEN_MS = 30 * 24 * 3_600_000
+
+
 def start_crm_updates(events_stream: DataFrame, crm: DataFrame, table: KeyedTable, checkpoint: str,
-                      trigger: dict | None = None):
+                      trigger: dict | None = None, timeout_ms: int = CRM_OPEN_MS):
     """PL-6 / SNK-8: every live score goes back to the customer's record: score, level, time, factors and
-    recommendations, the latest one staying.  The update key is the customer, who calls under the same id."""
-    scored = ST.live_results(ST.score_events(events_stream, crm), crm).where("outcome = 'SCORED'")
+    recommendations, the latest one staying.  The update key is the customer, who calls under the same id.
+    A call takes scores until its end event, as in the original."""
+    scored = ST.live_results(ST.score_events(events_stream, crm), crm, timeout_ms=timeout_ms).where("outcome = 'SCORED'")
     updates = W.risk_update_record(scored.select(
         F.col("call_id").alias("customer_id"), "risk_score", F.col("risk_category").alias("risk_level"),
         F.col("ts").alias("risk_updated_at"), "event_id", "factors", "recommendations"))
