@@ -98,3 +98,10 @@ def test_neighbour_joins_side_by_side_leave_the_session_as_it_was(spark, rows):
         found = list(pool.map(lambda p: NB.knn_join(p, FEATS, 3, "record_no"), parts))
     assert spark.conf.get(name) == before
     assert [both(df, ["record_no", "rank", "neighbour"]) for df in found] == alone
+
+
+def test_calls_are_aggregated_once_for_the_means_and_the_filled_rows(spark):
+    """The means are read from written calls, so that the lines are not shuffled a second time to fill them."""
+    from callrisk.plans.prepare import q_mean_filled_features
+    out = q_mean_filled_features(spark, "/root/testdata/sf0.001")
+    assert "lineitem" not in plan(out) and "Exchange" not in plan(out) and out.count() > 0
